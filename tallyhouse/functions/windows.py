@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,16 @@ def window_end(grain: str, slide: str | None = None) -> Column:
     """The label of an event's window. Grouping by this one timestamp gives the
     same groups as the (start, end) pair with a narrower key."""
     return event_window(grain, slide)["end"]
+
+
+def time_literal(moment: datetime) -> Column:
+    """A time as a zone-less literal (UTC is meant), comparable with either
+    timestamp type. Text keeps it clear of the driver's own time zone."""
+    if moment.tzinfo:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def run_time(as_of: datetime | None) -> Column:
+    """The time stamped on all-time rows: the given one, or now."""
+    return F.current_timestamp() if as_of is None else time_literal(as_of).cast("timestamp")

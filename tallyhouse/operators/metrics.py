@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.events import asset_key, asset_name, is_sale, is_transfer
 from tallyhouse.functions.ranking import keep_top
-from tallyhouse.functions.windows import ALL_TIME, event_window, metric_name, window_end
+from tallyhouse.functions.windows import ALL_TIME, event_window, metric_name, run_time, window_end
 from tallyhouse.operators.catalogue import PRESENT, Family, measures
 from tallyhouse.schemas import ASSET_COLUMNS, SALE_TYPES
 
@@ -49,8 +49,7 @@ def metric_rows(
         time_key = ["timestamp"]
     groups = _group(rows, families, time_key, sale_types)
     if not time_key:
-        stamp = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-        groups = groups.withColumn("timestamp", stamp)
+        groups = groups.withColumn("timestamp", run_time(as_of))
     picked = _keep_ranked(_pick(groups, families), families)
     return _emit(picked, families, grain)
 

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.windows import ALL_TIME, metric_name
+from tallyhouse.functions.windows import ALL_TIME, metric_name, run_time
 from tallyhouse.operators import catalogue as C
 from tallyhouse.operators.metrics import metric_rows
 from tallyhouse.schemas import COLLECTION_COLUMNS, GLOBAL_COLUMNS
@@ -145,10 +145,9 @@ def _with_empty_totals(feed: DataFrame, as_of: datetime | None) -> DataFrame:
         (metric_name(name, ALL_TIME), 0.0 if name in counts else None, "")
         for name, _ in C.GLOBAL_ALL_TIME.metrics
     ]
-    stamp = F.current_timestamp() if as_of is None else F.lit(as_of)
     empty = feed.sparkSession.createDataFrame(
         totals, "metric string, value double, collection string"
-    ).withColumn("timestamp", stamp.cast("timestamp"))
+    ).withColumn("timestamp", run_time(as_of))
     return (
         feed.unionByName(empty)
         .groupBy("metric", "timestamp", "collection")

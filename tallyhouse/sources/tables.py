@@ -55,7 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as an unbounded file source."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern the path may name one file or a folder of files.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def _with_fields(events: DataFrame) -> DataFrame:
