@@ -20,8 +20,10 @@ def keep_top(
     n: int,
     spread: Column | None = None,
     salts: int = 64,
+    own_n: Column | None = None,
 ) -> DataFrame:
-    """Rows ranked 1..n in their group under a total order.
+    """Rows ranked 1..n in their group under a total order. ``own_n`` may state
+    a lower bound per group.
 
     Up to the threshold, Spark cuts each task's rows to n per group before the
     shuffle. For a larger n the same cut is made in a first salted pass, so a
@@ -41,8 +43,7 @@ def keep_top(
             .drop("_rank", "_salt")
         )
     by_group = W.partitionBy(*group).orderBy(*order)
-    return (
-        df.withColumn("_rank", F.row_number().over(by_group))
-        .filter(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+    ranked = df.withColumn("_rank", F.row_number().over(by_group)).filter(F.col("_rank") <= n)
+    if own_n is not None:
+        ranked = ranked.filter(F.col("_rank") <= own_n)
+    return ranked.drop("_rank")

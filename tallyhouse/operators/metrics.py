@@ -185,14 +185,15 @@ def _keep_ranked(picked: DataFrame, families: Sequence[Family]) -> DataFrame:
     )
     by = _case(families, lambda f: F.col(f.rank_by or "events").cast("double"))
     ties = [F.asc_nulls_last(key) for key in LEVEL_KEYS["asset"]]
-    top = keep_top(
+    sizes = {f.top_n for f in ranked}
+    return keep_top(
         picked.withColumn("scope", scope).withColumn("rank_value", by),
         ["family", "timestamp", "scope"],
         [F.desc_nulls_last("rank_value"), *ties],
-        max(f.top_n for f in ranked),
+        max(sizes),
         spread=F.struct(*LEVEL_KEYS["asset"]),
+        own_n=_case(families, lambda f: F.lit(f.top_n or 1)) if len(sizes) > 1 else None,
     )
-    return top
 
 
 def _emit(picked: DataFrame, families: Sequence[Family], grain: str) -> DataFrame:

@@ -142,12 +142,17 @@ def _with_empty_totals(feed: DataFrame, as_of: datetime | None) -> DataFrame:
     """
     counts = {"total_number_of_events", "total_transfers", "total_sales"}
     totals = [
-        (metric_name(name, ALL_TIME), 0.0 if name in counts else None, "")
+        F.struct(
+            F.lit(metric_name(name, ALL_TIME)).alias("metric"),
+            F.lit(0.0 if name in counts else None).cast("double").alias("value"),
+        )
         for name, _ in C.GLOBAL_ALL_TIME.metrics
     ]
-    empty = feed.sparkSession.createDataFrame(
-        totals, "metric string, value double, collection string"
-    ).withColumn("timestamp", run_time(as_of))
+    empty = (
+        feed.sparkSession.range(1)
+        .select(F.inline(F.array(*totals)))
+        .select("*", run_time(as_of).alias("timestamp"), F.lit("").alias("collection"))
+    )
     return (
         feed.unionByName(empty)
         .groupBy("metric", "timestamp", "collection")

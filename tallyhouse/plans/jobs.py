@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.events import clean_events
 from tallyhouse.plans.families import collections_feed, global_feed
 from tallyhouse.session import scratch_dir
-from tallyhouse.sinks.clean_table import read_clean, write_clean
+from tallyhouse.sinks.clean_table import read_clean, write_clean_in_place
 from tallyhouse.sources.archive import in_time_range, read_archive
 
 log = logging.getLogger(__name__)
@@ -25,12 +25,11 @@ def read_clean_archive(
     return in_time_range(clean_events(read_archive(spark, path, start, end)), start, end)
 
 
-def land(clean: DataFrame, path: str | None = None) -> DataFrame:
+def land(clean: DataFrame) -> DataFrame:
     """Clean events parsed once and kept as Parquet for the plans that follow."""
-    spark = clean.sparkSession
-    path = path or scratch_dir(spark, "clean")
-    write_clean(clean, path)
-    return read_clean(spark, path)
+    path = scratch_dir(clean.sparkSession, "clean")
+    write_clean_in_place(clean, path)
+    return read_clean(clean.sparkSession, path)
 
 
 def write_counted(rows: DataFrame, write: Writer, name: str) -> int:

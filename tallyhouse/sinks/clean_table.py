@@ -11,8 +11,9 @@ FOLDERS = ["event_date", "kind"]
 
 
 def write_clean(clean: DataFrame, path: str) -> None:
-    """Folders by day and event type: a sales plan and a transfers plan then
-    read disjoint files, and a time range reads its days only."""
+    """A table to keep. Folders by day and event type: a sales plan and a
+    transfers plan then read disjoint files, and a time range reads its days
+    only. Rebalancing gives each folder few files and splits a large one."""
     (
         clean.withColumn("event_date", F.to_date("sent_at"))
         .withColumn("kind", F.col("event_type"))
@@ -23,6 +24,12 @@ def write_clean(clean: DataFrame, path: str) -> None:
     )
 
 
+def write_clean_in_place(clean: DataFrame, path: str) -> None:
+    """A copy for one run. Each task writes what it parsed, one file per event
+    type, so the whole input is not shuffled for it."""
+    clean.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(path)
+
+
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
     """Clean events whose ``event_type`` is the folder name, so that filters on
     it prune folders."""
