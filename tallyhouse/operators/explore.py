@@ -115,9 +115,10 @@ def sales_of_top_collections(clean: DataFrame, grain: str, top_n: int | None = N
 
     The list of collections stays a table: a semi join, which AQE turns into a
     broadcast only if the list turns out small, and whose large side it splits
-    where one collection dominates.
+    where one collection dominates. The list keeps its duplicates, one per
+    window: a distinct between shuffle and join would stop AQE from splitting.
     """
-    listed = collection_windows(clean, grain, top_n).select("collection_slug").distinct()
+    listed = collection_windows(clean, grain, top_n).select("collection_slug")
     return sales_items(clean, SOLD).join(listed, "collection_slug", "left_semi")
 
 
