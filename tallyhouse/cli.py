@@ -6,7 +6,7 @@ import argparse
 import logging
 import os
 import time
-from functools import partial
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-cpu-cores", type=int)
     batch = p.add_argument_group("batch")
     batch.add_argument("--raw-events-s3-uri", help="folder of the raw message archive")
+    batch.add_argument("--also", nargs="*", default=[], choices=BATCH_GRAINS, help="more grains from the same pass")
     batch.add_argument("--timestamp-start", type=parse_time)
     batch.add_argument("--timestamp-end", type=parse_time)
     stream = p.add_argument_group("stream")
@@ -84,7 +85,12 @@ def _store(args: argparse.Namespace, feed: str) -> str | None:
 def _batch_writer(args: argparse.Namespace, feed: str, run: int):
     """The feed's sink: the metric table, a topic, or a count only."""
     if store := _store(args, feed):
-        return partial(write_metrics, path=store, run=run)
+        batches = count()
+
+        def to_store(rows: DataFrame) -> None:
+            write_metrics(rows, store, run, next(batches))
+
+        return to_store
     if topic := _topic(args, feed):
         if not args.kafka_brokers:
             raise ValueError("--kafka-brokers is required to write to a topic")
@@ -103,10 +109,12 @@ def _batch_writer(args: argparse.Namespace, feed: str, run: int):
 def batch(args: argparse.Namespace, spark: SparkSession) -> dict[str, int]:
     if not args.raw_events_s3_uri:
         raise ValueError("--raw-events-s3-uri is required in batch")
+    # A run has one folder per grain in the table, numbered like stream batches.
     run = time.time_ns() // 1_000_000
     writers = {f"write_{feed}": _batch_writer(args, feed, run) for feed in _feeds(args)}
     clean = read_clean_archive(spark, args.raw_events_s3_uri, args.timestamp_start, args.timestamp_end)
-    return run_batch(clean, args.time_window, args.slide_duration, **writers)
+    grains = list(dict.fromkeys([args.time_window, *args.also]))
+    return run_batch(clean, grains, args.slide_duration, **writers)
 
 
 def _stream_writer(args: argparse.Namespace, feed: str, rows: DataFrame):

@@ -14,6 +14,15 @@ BATCH_GRAINS = ("all time", "14 days", "7 days", "1 day", "12 hours", "1 hour")
 STREAM_GRAINS = ("30 minutes", "5 minutes", "1 minute", "30 seconds")
 
 
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def seconds(grain: str) -> int:
+    """Length of a grain such as ``12 hours``."""
+    count, unit = grain.split()
+    return int(count) * UNIT_SECONDS[unit.rstrip("s")]
+
+
 def grain_text(grain: str) -> str:
     return "_".join(grain.split())
 

@@ -62,6 +62,23 @@ def measures(sale_types: Sequence[str] = SALE_TYPES) -> dict[str, Column]:
     }
 
 
+def partial_measures(sale_types: Sequence[str] = SALE_TYPES) -> dict[str, Column]:
+    """What to keep per small group so that larger groups can be merged from it."""
+    kept = measures(sale_types)
+    del kept["avg_usd"]
+    return {**kept, "priced": F.count(F.when(is_sale(sale_types), F.col("usd_price")))}
+
+
+def merged_measures() -> dict[str, Column]:
+    """The measures of a group from the partial measures of its parts."""
+    sums = ["events", "transfers", "items", "sales", "sold", "usd", "eth"]
+    return {
+        **{name: F.sum(name) for name in sums},
+        "floor_usd": F.min("floor_usd"),
+        "avg_usd": F.try_divide(F.sum("usd"), F.sum("priced")),
+    }
+
+
 GLOBAL_WINDOWED = Family(
     "global_windowed",
     "global",

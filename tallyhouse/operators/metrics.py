@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.events import asset_key, asset_name, is_sale, is_transfer
 from tallyhouse.functions.ranking import keep_top
 from tallyhouse.functions.windows import ALL_TIME, event_window, metric_name, run_time, window_end
-from tallyhouse.operators.catalogue import PRESENT, Family, measures
+from tallyhouse.operators.catalogue import PRESENT, Family, measures, merged_measures
 from tallyhouse.schemas import ASSET_COLUMNS, SALE_TYPES
 
 LEVEL_KEYS = {
@@ -36,18 +36,23 @@ def metric_rows(
     slide: str | None = None,
     as_of: datetime | None = None,
     sale_types: Sequence[str] = SALE_TYPES,
+    from_partials: bool = False,
 ) -> DataFrame:
     """Long rows ``metric, timestamp, collection, value, asset_name, asset_url,
     image_url, asset_key`` for the given families at one grain.
 
     All-time rows carry ``as_of`` (now, if not given) as their timestamp.
+    ``clean`` may be the partial groups of ``plans.rollup`` in place of events.
     """
-    rows = clean.filter(_wanted_rows(families, sale_types))
+    if from_partials:
+        rows, aggregates = clean.filter(_wanted_partials(families)), merged_measures()
+    else:
+        rows, aggregates = clean.filter(_wanted_rows(families, sale_types)), measures(sale_types)
     time_key = []
     if grain != ALL_TIME:
         rows = rows.withColumn("timestamp", window_end(grain, slide))
         time_key = ["timestamp"]
-    groups = _group(rows, families, time_key, sale_types)
+    groups = _group(rows, families, time_key, _named(aggregates))
     if not time_key:
         groups = groups.withColumn("timestamp", run_time(as_of))
     picked = _keep_ranked(_pick(groups, families), families)
@@ -112,14 +117,20 @@ def _wanted_rows(families: Sequence[Family], sale_types: Sequence[str]) -> Colum
     return reduce(lambda a, b: a | b, tests)
 
 
+def _wanted_partials(families: Sequence[Family]) -> Column:
+    """The partial groups any of the families merges."""
+    if any(f.level == "asset" and f.rows == "events" for f in families):
+        raise ValueError("partial groups know the assets of sales and transfers only")
+    return F.expr(" or ".join(f"({PRESENT[kind]})" for kind in sorted({f.rows for f in families})))
+
+
 def _group(
     rows: DataFrame,
     families: Sequence[Family],
     time_key: list[str],
-    sale_types: Sequence[str],
+    aggregates: list[Column],
 ) -> DataFrame:
     levels = [level for level in LEVELS if any(f.level == level for f in families)]
-    aggregates = _named(measures(sale_types))
     sets = [time_key + LEVEL_KEYS[level] for level in levels]
     if len(levels) == 1:
         groups = rows.groupBy(*sets[0]).agg(*aggregates).withColumn("level", F.lit(levels[0]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.events import clean_events
 from tallyhouse.plans.families import collections_feed, global_feed
-from tallyhouse.session import scratch_dir
+from tallyhouse.plans.rollup import check_base, partial_groups
+from tallyhouse.session import materialise, scratch_dir
 from tallyhouse.sinks.clean_table import read_clean, write_clean_in_place
 from tallyhouse.sources.archive import in_time_range, read_archive
 
@@ -43,25 +44,32 @@ def write_counted(rows: DataFrame, write: Writer, name: str) -> int:
 
 def run_batch(
     clean: DataFrame,
-    grain: str,
+    grains: Sequence[str],
     slide: str | None = None,
     write_global: Writer | None = None,
     write_collections: Writer | None = None,
     as_of: datetime | None = None,
-    landed: bool = False,
+    base: str = "1 hour",
 ) -> dict[str, int]:
-    """Compute and write the asked-for feeds of one grain.
+    """Compute and write the asked-for feeds of the given grains.
 
-    One global feed reads its input once; anything more reads it several
-    times, so raw input is landed first.
+    One global feed reads its input once. Both feeds of one grain read it
+    several times, so raw input is landed first. Several grains share one pass
+    into partial groups, which are stored and merged per grain.
     """
-    if write_collections and not landed:
+    options = {"as_of": as_of}
+    if len(grains) > 1:
+        check_base(base, grains, slide)
+        clean = materialise(partial_groups(clean, base), "partials")
+        options["from_partials"] = True
+    elif write_collections:
         clean = land(clean)
     counts = {}
-    if write_global:
-        feed = global_feed(clean, grain, slide, as_of=as_of)
-        counts["global"] = write_counted(feed, write_global, "global")
-    if write_collections:
-        feed = collections_feed(clean, grain, slide, as_of=as_of, with_asset_key=True)
-        counts["collections"] = write_counted(feed, write_collections, "collections")
+    for grain in grains:
+        if write_global:
+            feed = global_feed(clean, grain, slide, **options)
+            counts[f"global {grain}"] = write_counted(feed, write_global, f"global {grain}")
+        if write_collections:
+            feed = collections_feed(clean, grain, slide, with_asset_key=True, **options)
+            counts[f"collections {grain}"] = write_counted(feed, write_collections, f"collections {grain}")
     return counts

@@ -416,7 +416,15 @@ IN_RANGE = f"sent_at > {LOW} and sent_at <= {HIGH}"
 TRANSFER_RANKS = "top_collections_by_transfers_volume_transfers_count__1_hour"
 
 
+def _all_of(queries: list[str], columns: str) -> str:
+    return "\nunion all\n".join(f"select {columns} from ({query})" for query in queries)
+
+
 def oracle_sql() -> dict[str, str]:
+    windowed = ["14 days", "7 days", "1 day", "12 hours", "1 hour"]
+    global_all_time = (
+        _with(EVENTS, SIDES, ALL_TIME_TABLES) + global_all_time_rows() + "\nunion all\n" + top_all_time_rows()
+    )
     feed_1h = global_feed_rows("1 hour")
     o = {
         "scan_archive": CLEAN,
@@ -458,11 +466,14 @@ qualify row_number() over (partition by metric, collection, "timestamp" order by
         "top_assets_by_transfers_1d": on_collections("1 day", asset_transfer_rows("1 day", "awt_top")),
         "global_feed_1h": global_feed("1 hour"),
         "collections_feed_1h": collections_feed("1 hour"),
-        "global_feed_all_time": _with(EVENTS, SIDES, ALL_TIME_TABLES)
-        + global_all_time_rows()
-        + "\nunion all\n"
-        + top_all_time_rows(),
+        "global_feed_all_time": global_all_time,
         "collections_feed_all_time": collections_all_time(EVENTS),
+        "global_feed_every_grain": _all_of(
+            [global_all_time, *[global_feed(g) for g in windowed]], 'metric, "timestamp", value, collection'
+        ),
+        "collections_feed_every_grain": _all_of(
+            [collections_all_time(EVENTS), *[collections_feed(g) for g in windowed]], COLLECTION_OUT
+        ),
         "trades_global_feed_7d": global_feed("7 days", TRADES),
         "trades_collections_feed_all_time": collections_all_time(TRADES),
         "event_type_counts": _with(EVENTS) + "select event_type, count(*) as count from clean group by 1",

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import TimestampType
 
-from tallyhouse.functions.windows import ALL_TIME, metric_name
+from tallyhouse.functions.windows import ALL_TIME, BATCH_GRAINS, metric_name
 from tallyhouse.operators import events as ev
 from tallyhouse.operators import explore
 from tallyhouse.plans import families as fam
+from tallyhouse.plans.rollup import partial_groups
 from tallyhouse.schemas import CLEAN_COLUMNS, COLLECTION_COLUMNS, COLLECTION_SCHEMA, GLOBAL_COLUMNS, GLOBAL_SCHEMA
 from tallyhouse.serving import reads
-from tallyhouse.session import scratch_dir, use_utc
+from tallyhouse.session import materialise, scratch_dir, use_utc
 from tallyhouse.sinks.archive import archive_writer, write_archive
 from tallyhouse.sinks.messages import decode_messages, encode_messages
 from tallyhouse.sinks.store import read_metrics, write_metrics
@@ -168,6 +170,24 @@ def upsert_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(read_metrics(spark, path).select(*COLLECTION_COLUMNS))
 
 
+# Feeds over several grains
+
+
+def global_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batch grains merged from one pass over the events."""
+    use_utc(spark)
+    parts = materialise(partial_groups(tables.market_events(spark, sf_dir)), "partials")
+    feeds = [fam.global_feed(parts, grain, as_of=AS_OF, from_partials=True) for grain in BATCH_GRAINS]
+    return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
+
+
+def collections_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_utc(spark)
+    parts = materialise(partial_groups(tables.market_events(spark, sf_dir)), "partials")
+    feeds = [fam.collections_feed(parts, grain, as_of=AS_OF, from_partials=True) for grain in BATCH_GRAINS]
+    return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
+
+
 # Streams
 
 
@@ -299,6 +319,8 @@ def queries() -> dict[str, Query]:
         "collections_feed_1h": _on_events(lambda c: fam.collections_feed(c, "1 hour")),
         "global_feed_all_time": _on_events(lambda c: fam.global_feed(c, ALL_TIME, as_of=AS_OF)),
         "collections_feed_all_time": _on_events(lambda c: fam.collections_feed(c, ALL_TIME, as_of=AS_OF)),
+        "global_feed_every_grain": global_feed_every_grain,
+        "collections_feed_every_grain": collections_feed_every_grain,
         "trades_global_feed_7d": _on_trades(lambda c: fam.global_feed(c, "7 days")),
         "trades_collections_feed_all_time": _on_trades(lambda c: fam.collections_feed(c, ALL_TIME, as_of=AS_OF)),
         # profiles and drill-downs

@@ -7,6 +7,7 @@ from helpers import T0, event, events, message, values
 from tallyhouse import cli
 from tallyhouse.plans import families as fam
 from tallyhouse.plans.jobs import land, run_batch
+from tallyhouse.plans.rollup import check_base, partial_groups
 from tallyhouse.schemas import CLEAN_COLUMNS, COLLECTION_COLUMNS, GLOBAL_COLUMNS
 from tallyhouse.session import scratch_dir
 from tallyhouse.sinks.archive import write_archive
@@ -52,14 +53,56 @@ def test_batch_run_fills_both_tables(spark, tmp_path, archive, grain):
     clean = cli.read_clean_archive(spark, archive)
     columns = ["metric", "collection", "value"]
     expected = fam.global_feed(clean, grain)
-    assert counts["global"] == expected.count()
+    assert counts[f"global {grain}"] == expected.count()
     assert values(read_metrics(spark, g), *columns) == values(expected, *columns)
     expected = fam.collections_feed(clean, grain)
-    assert counts["collections"] == expected.count()
+    assert counts[f"collections {grain}"] == expected.count()
     columns = [x for x in COLLECTION_COLUMNS if x != "timestamp"]
     assert values(read_metrics(spark, c), *columns) == values(expected, *columns)
 
 
+def test_many_grains_share_one_pass(spark, tmp_path, archive):
+    g, c = str(tmp_path / "g"), str(tmp_path / "c")
+    grains = ["1 hour", "12 hours", "1 day", "7 days", "14 days", "all time"]
+    counts = run(
+        ["all", grains[0], "--also", *grains[1:], "--raw-events-s3-uri", archive]
+        + ["--global-store", g, "--collections-store", c]
+    )
+    assert len(counts) == 12
+    clean = cli.read_clean_archive(spark, archive)
+    for path, feed in ((g, fam.global_feed), (c, fam.collections_feed)):
+        stored = read_metrics(spark, path)
+        columns = [x for x in feed(clean, "1 hour").columns if x != "timestamp"]
+        for grain in grains:
+            expected = feed(clean, grain)
+            got = stored.filter(stored.metric.endswith("__" + "_".join(grain.split())))
+            assert values(got, *columns) == values(expected, *columns), (path, grain)
+
+
+def test_partial_groups_keep_untimed_events_and_slides(spark):
+    clean = events(
+        spark,
+        event(at=None, usd=2.0),
+        event(slug=None, usd=None),
+        event("item_received_bid", slug=None),
+        event("item_transferred", at=T0 + timedelta(minutes=61), quantity=4),
+        event("item_listed", "b", at=T0 + timedelta(minutes=119), usd=4.0),
+    )
+    parts = partial_groups(clean)
+    for grain, slide in (("all time", None), ("1 day", None), ("12 hours", "6 hours")):
+        as_of = datetime(2024, 2, 1)
+        for feed in (fam.global_feed, fam.collections_feed):
+            expected = feed(clean, grain, slide, as_of=as_of)
+            merged = feed(parts, grain, slide, as_of=as_of, from_partials=True)
+            assert values(merged, *expected.columns) == values(expected, *expected.columns)
+
+
+@pytest.mark.parametrize("grains, slide", [(["90 minutes"], None), (["1 day"], "30 minutes")])
+def test_grains_must_be_whole_base_windows(grains, slide):
+    with pytest.raises(ValueError):
+        check_base("1 hour", grains, slide)
+
+
 def test_batch_run_over_a_time_range_with_a_slide(spark, tmp_path, archive):
     g = str(tmp_path / "g")
     start, end = "2024-01-01T03:00:00", "2024-01-01T09:00:00"
@@ -73,7 +116,7 @@ def test_batch_run_over_a_time_range_with_a_slide(spark, tmp_path, archive):
 
 
 def test_batch_run_without_a_sink_counts_rows(archive, spark):
-    assert run(["global", "1 day", "--raw-events-s3-uri", archive])["global"] > 0
+    assert run(["global", "1 day", "--raw-events-s3-uri", archive])["global 1 day"] > 0
 
 
 def test_stream_run_then_batch_run_share_a_table(spark, tmp_path, archive):
@@ -142,7 +185,7 @@ def test_a_run_over_both_feeds_reads_raw_input_once(spark, archive):
         read.extend(feed.inputFiles())
         feed.write.format("noop").mode("overwrite").save()
 
-    run_batch(cli.read_clean_archive(spark, archive), "1 hour", write_global=write, write_collections=write)
+    run_batch(cli.read_clean_archive(spark, archive), ["1 hour"], write_global=write, write_collections=write)
     assert read and all(name.endswith(".parquet") for name in read)
 
 
