@@ -119,8 +119,8 @@ def _wanted_rows(families: Sequence[Family], sale_types: Sequence[str]) -> Colum
 
 def _wanted_partials(families: Sequence[Family]) -> Column:
     """The partial groups any of the families merges."""
-    if any(f.level == "asset" and f.rows == "events" for f in families):
-        raise ValueError("partial groups know the assets of sales and transfers only")
+    if any(f.level == "asset" for f in families):
+        raise ValueError("partial groups have no assets")
     return F.expr(" or ".join(f"({PRESENT[kind]})" for kind in sorted({f.rows for f in families})))
 
 
@@ -156,8 +156,9 @@ def _coarsest_first(levels: list[str]) -> Column:
 def _pick(groups: DataFrame, families: Sequence[Family]) -> DataFrame:
     """One row per (group, family it belongs to), as column ``family``."""
     members = [F.when(_present(f), F.lit(i)) for i, f in enumerate(families)]
-    if len(members) == 1:
-        picked = groups.withColumn("family", members[0])
+    if len({f.level for f in families}) == len(families):
+        # No group can belong to two families.
+        picked = groups.withColumn("family", F.coalesce(*members))
     else:
         picked = groups.withColumn("family", F.explode(F.array(*members)))
     return picked.filter(F.col("family").isNotNull())
@@ -197,9 +198,10 @@ def _keep_ranked(picked: DataFrame, families: Sequence[Family]) -> DataFrame:
     by = _case(families, lambda f: F.col(f.rank_by or "events").cast("double"))
     ties = [F.asc_nulls_last(key) for key in LEVEL_KEYS["asset"]]
     sizes = {f.top_n for f in ranked}
+    # Rows are sorted by these keys; the first should tell most of them apart.
     return keep_top(
         picked.withColumn("scope", scope).withColumn("rank_value", by),
-        ["family", "timestamp", "scope"],
+        ["timestamp", "scope", "family"],
         [F.desc_nulls_last("rank_value"), *ties],
         max(sizes),
         spread=F.struct(*LEVEL_KEYS["asset"]),

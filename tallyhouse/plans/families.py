@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,19 +91,32 @@ def top_assets_all_time(
     return _collections(clean, families, as_of=as_of, **options)
 
 
+def _merged(clean: DataFrame, partials: DataFrame | None) -> tuple[DataFrame, dict]:
+    """The rows to build non-asset metrics from, and how to read them."""
+    return (clean, {}) if partials is None else (partials, {"from_partials": True})
+
+
 def global_feed(
-    clean: DataFrame, grain: str, slide: str | None = None, as_of: datetime | None = None, **options
+    clean: DataFrame,
+    grain: str,
+    slide: str | None = None,
+    as_of: datetime | None = None,
+    partials: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
-    """All global-level metrics of one grain in one scan."""
+    """All global-level metrics of one grain in one scan, of the events or, if
+    given, of the partial groups made from them (``plans.rollup``)."""
+    source, how = _merged(clean, partials)
+    options.update(how)
     if grain != ALL_TIME:
         families = [C.GLOBAL_WINDOWED, C.TOP_COLLECTIONS_BY_SALES, C.TOP_COLLECTIONS_BY_TRANSFERS]
-        return _global(clean, families, grain, slide=slide, **options)
+        return _global(source, families, grain, slide=slide, **options)
     families = [
         C.GLOBAL_ALL_TIME,
         C.TOP_COLLECTIONS_BY_SALES_ALL_TIME,
         C.TOP_COLLECTIONS_BY_TRANSFERS_ALL_TIME,
     ]
-    return _with_empty_totals(_global(clean, families, as_of=as_of, **options), as_of)
+    return _with_empty_totals(_global(source, families, as_of=as_of, **options), as_of)
 
 
 def collections_feed(
@@ -112,26 +126,40 @@ def collections_feed(
     as_of: datetime | None = None,
     n_per_collection: int = 50,
     with_asset_key: bool = False,
+    partials: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """All collection- and asset-level metrics of one grain.
 
-    Windowed: sales and transfers share no rows, so each side is one plan over
-    its own events. All time: one plan, for a collection's row needs both sides.
+    All time: one plan, for a collection's row needs both of its sides.
+    Windowed: one plan per family, reading only that family's rows and columns.
+    Collections and assets could share a scan through grouping sets, but their
+    groups differ so much in number that this measures slower (README).
+    Partial groups, if given, serve the collections; assets need the events.
     """
     options["with_asset_key"] = with_asset_key
+    source, how = _merged(clean, partials)
     if grain == ALL_TIME:
-        families = [
-            C.COLLECTION_ALL_TIME,
+        collections = [C.COLLECTION_ALL_TIME]
+        assets = [
             replace(C.TOP_ASSETS_BY_SALES_ALL_TIME, top_n=n_per_collection),
             replace(C.TOP_ASSETS_BY_TRANSFERS_ALL_TIME, top_n=n_per_collection),
         ]
-        return _collections(clean, families, as_of=as_of, **options)
-    sales = _collections(clean, [C.COLLECTION_SALES, C.TOP_ASSETS_BY_SALES], grain, slide=slide, **options)
-    transfers = _collections(
-        clean, [C.COLLECTION_TRANSACTIONS, C.ASSET_TRANSFERS], grain, slide=slide, **options
-    )
-    return sales.unionByName(transfers)
+        if partials is None:
+            return _collections(clean, collections + assets, as_of=as_of, **options)
+        parts = [
+            _collections(source, collections, as_of=as_of, **options, **how),
+            _collections(clean, assets, as_of=as_of, **options),
+        ]
+    else:
+        parts = [
+            _collections(source, [family], grain, slide=slide, **options, **how)
+            for family in (C.COLLECTION_SALES, C.COLLECTION_TRANSACTIONS)
+        ] + [
+            _collections(clean, [family], grain, slide=slide, **options)
+            for family in (C.TOP_ASSETS_BY_SALES, C.ASSET_TRANSFERS)
+        ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _with_empty_totals(feed: DataFrame, as_of: datetime | None) -> DataFrame:

@@ -53,17 +53,16 @@ def run_batch(
 ) -> dict[str, int]:
     """Compute and write the asked-for feeds of the given grains.
 
-    One global feed reads its input once. Both feeds of one grain read it
-    several times, so raw input is landed first. Several grains share one pass
-    into partial groups, which are stored and merged per grain.
+    One global feed reads its input once. More than that reads it several
+    times, so raw input is landed first, unless partial groups are all that is
+    needed of it. Several grains share the partial groups.
     """
-    options = {"as_of": as_of}
     if len(grains) > 1:
         check_base(base, grains, slide)
-        clean = materialise(partial_groups(clean, base), "partials")
-        options["from_partials"] = True
-    elif write_collections:
+    if write_collections:
         clean = land(clean)
+    partials = materialise(partial_groups(clean, base), "partials") if len(grains) > 1 else None
+    options = {"as_of": as_of, "partials": partials}
     counts = {}
     for grain in grains:
         if write_global:

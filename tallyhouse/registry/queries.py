@@ -176,15 +176,17 @@ def upsert_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def global_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batch grains merged from one pass over the events."""
     use_utc(spark)
-    parts = materialise(partial_groups(tables.market_events(spark, sf_dir)), "partials")
-    feeds = [fam.global_feed(parts, grain, as_of=AS_OF, from_partials=True) for grain in BATCH_GRAINS]
+    clean = tables.market_events(spark, sf_dir)
+    parts = materialise(partial_groups(clean), "partials")
+    feeds = [fam.global_feed(clean, grain, as_of=AS_OF, partials=parts) for grain in BATCH_GRAINS]
     return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
 
 
 def collections_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
-    parts = materialise(partial_groups(tables.market_events(spark, sf_dir)), "partials")
-    feeds = [fam.collections_feed(parts, grain, as_of=AS_OF, from_partials=True) for grain in BATCH_GRAINS]
+    clean = tables.market_events(spark, sf_dir)
+    parts = materialise(partial_groups(clean), "partials")
+    feeds = [fam.collections_feed(clean, grain, as_of=AS_OF, partials=parts) for grain in BATCH_GRAINS]
     return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
 
 

@@ -93,7 +93,7 @@ def test_partial_groups_keep_untimed_events_and_slides(spark):
         as_of = datetime(2024, 2, 1)
         for feed in (fam.global_feed, fam.collections_feed):
             expected = feed(clean, grain, slide, as_of=as_of)
-            merged = feed(parts, grain, slide, as_of=as_of, from_partials=True)
+            merged = feed(clean, grain, slide, as_of=as_of, partials=parts)
             assert values(merged, *expected.columns) == values(expected, *expected.columns)
 
 

