@@ -24,14 +24,12 @@ def split_envelope(messages: DataFrame) -> DataFrame:
 
     One parse of the text yields all three fields.
     """
-    envelope = F.from_json(F.col("value").cast("string"), ENVELOPE_SCHEMA)
-    return messages.select(envelope.alias("e")).select("e.*")
+    return messages.select(_parsed_once(ENVELOPE_SCHEMA))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Message text straight to the nested raw event, in one parse."""
-    envelope = F.from_json(F.col("value").cast("string"), RAW_SCHEMA)
-    return messages.select(envelope.alias("e")).select("e.*")
+    return messages.select(_parsed_once(RAW_SCHEMA))
 
 
 def clean_events(raw: DataFrame, is_json_payload: bool = False) -> DataFrame:
@@ -75,6 +73,12 @@ def sales_items(clean: DataFrame, sale_types: Sequence[str] = SALE_TYPES) -> Dat
     return clean.filter(is_sale(sale_types))
 
 
+def _parsed_once(schema: str) -> Column:
+    """The fields of the message text. As a generator's output they are not
+    recomputed by a filter above, as a plain expression's would be."""
+    return F.inline(F.array(F.from_json(F.col("value").cast("string"), schema)))
+
+
 def _typed_fields() -> list[Column]:
     return [
         F.col(f"payload.{path}").try_cast(kind).alias(name)
