@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.events import clean_events
 from tallyhouse.plans.families import collections_feed, global_feed
 from tallyhouse.plans.rollup import check_base, partial_groups
-from tallyhouse.session import materialise, scratch_dir
+from tallyhouse.session import materialise, scratch_space
 from tallyhouse.sinks.clean_table import read_clean, write_clean_in_place
 from tallyhouse.sources.archive import in_time_range, read_archive
 
@@ -26,9 +26,8 @@ def read_clean_archive(
     return in_time_range(clean_events(read_archive(spark, path, start, end)), start, end)
 
 
-def land(clean: DataFrame) -> DataFrame:
+def land(clean: DataFrame, path: str) -> DataFrame:
     """Clean events parsed once and kept as Parquet for the plans that follow."""
-    path = scratch_dir(clean.sparkSession, "clean")
     write_clean_in_place(clean, path)
     return read_clean(clean.sparkSession, path)
 
@@ -57,18 +56,20 @@ def run_batch(
     times, so raw input is landed first, unless partial groups are all that is
     needed of it. Several grains share the partial groups.
     """
-    if len(grains) > 1:
+    several = len(grains) > 1
+    if several:
         check_base(base, grains, slide)
-    if write_collections:
-        clean = land(clean)
-    partials = materialise(partial_groups(clean, base), "partials") if len(grains) > 1 else None
-    options = {"as_of": as_of, "partials": partials}
     counts = {}
-    for grain in grains:
-        if write_global:
-            feed = global_feed(clean, grain, slide, **options)
-            counts[f"global {grain}"] = write_counted(feed, write_global, f"global {grain}")
+    with scratch_space(clean.sparkSession, "batch") as scratch:
         if write_collections:
-            feed = collections_feed(clean, grain, slide, with_asset_key=True, **options)
-            counts[f"collections {grain}"] = write_counted(feed, write_collections, f"collections {grain}")
+            clean = land(clean, f"{scratch}/clean")
+        partials = materialise(partial_groups(clean, base), f"{scratch}/partials") if several else None
+        options = {"as_of": as_of, "partials": partials}
+        for grain in grains:
+            if write_global:
+                feed = global_feed(clean, grain, slide, **options)
+                counts[f"global {grain}"] = write_counted(feed, write_global, f"global {grain}")
+            if write_collections:
+                feed = collections_feed(clean, grain, slide, with_asset_key=True, **options)
+                counts[f"collections {grain}"] = write_counted(feed, write_collections, f"collections {grain}")
     return counts

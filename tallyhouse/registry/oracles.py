@@ -327,7 +327,8 @@ def on_collections(grain: str, rows: str) -> str:
 
 def stream_collections(grain: str) -> str:
     rows = [collection_sales_rows(grain), collection_transaction_rows(grain), asset_transfer_rows(grain)]
-    return on_collections(grain, "\nunion all\n".join(rows))
+    stored = on_collections(grain, "\nunion all\n".join(rows))
+    return f"select * from ({stored}) where collection is not null"
 
 
 def sold_windows(grain: str, top_n: int | None = None) -> str:
@@ -453,8 +454,9 @@ select metric, "timestamp", value, collection from (
   select *, 1 as run from ({global_feed("1 day", EARLY_EVENTS)})
   union all
   select *, 2 as run from ({global_feed("1 day")}))
+where collection is not null  -- the table has no row without a key
 qualify row_number() over (partition by metric, collection, "timestamp" order by run desc) = 1""",
-        "upsert_collections": collections_feed("1 day"),
+        "upsert_collections": f"select * from ({collections_feed('1 day')}) where collection is not null",
         "global_all_time": _with(EVENTS, SIDES, ALL_TIME_TABLES) + global_all_time_rows(),
         "collection_all_time": _with(EVENTS, SIDES, collection_all_time_table()) + collection_all_time_rows(),
         "top_collections_all_time": _with(EVENTS, SIDES, ALL_TIME_TABLES) + top_all_time_rows(),
@@ -536,7 +538,7 @@ group by 1, 2, 3""",
             "1 day",
             f"""
 select metric, "timestamp", collection, value from ({collection_sales_rows("1 day")}) r
-where metric = 'collection_total_usd_volume__1_day'
+where metric = 'collection_total_usd_volume__1_day' and collection is not null
 qualify rank() over (partition by collection order by "timestamp" desc) = 1
 order by value desc nulls last, collection limit 10""",
         ),
@@ -585,7 +587,7 @@ where metric <> 'total_eth_volume__all_time'""",
         + """
 select '<a target=''_Self'' href=''/collections?collection=' || collection_slug || '''>'
   || collection_slug || '</a>' as collection, format('{:,}', cast(usd_price as bigint)) as volume
-from tops""",
+from tops where collection_slug is not null""",
     }
     for label, grain in {"1h": "1 hour", "12h": "12 hours", "1d": "1 day", "7d": "7 days", "14d": "14 days"}.items():
         o[f"global_windowed_{label}"] = global_windowed(grain)

@@ -177,7 +177,7 @@ def global_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batch grains merged from one pass over the events."""
     use_utc(spark)
     clean = tables.market_events(spark, sf_dir)
-    parts = materialise(partial_groups(clean), "partials")
+    parts = materialise(partial_groups(clean), scratch_dir(spark, "partials"))
     feeds = [fam.global_feed(clean, grain, as_of=AS_OF, partials=parts) for grain in BATCH_GRAINS]
     return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
 
@@ -185,7 +185,7 @@ def global_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collections_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     clean = tables.market_events(spark, sf_dir)
-    parts = materialise(partial_groups(clean), "partials")
+    parts = materialise(partial_groups(clean), scratch_dir(spark, "partials"))
     feeds = [fam.collections_feed(clean, grain, as_of=AS_OF, partials=parts) for grain in BATCH_GRAINS]
     return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
 

@@ -38,7 +38,7 @@ def read_global(
         raise ValueError("metric and grain must be given together")
     if metric and grain:
         rows = rows.filter(F.col("metric") == stored_name(metric, grain))
-    key_order = [F.asc("metric"), F.asc("collection"), F.desc("timestamp")]
+    key_order = [F.asc("metric"), F.asc_nulls_last("collection"), F.desc("timestamp")]
     return _cut(rows, from_ts, to_ts, limit, order_ascending, key_order)
 
 
@@ -61,7 +61,7 @@ def read_collection(
         rows = rows.filter(
             (F.col("collection") == collection) & (F.col("metric") == stored_name(metric, grain))
         )
-    key_order = [F.asc("collection"), F.asc("metric"), F.desc("timestamp")]
+    key_order = [F.asc_nulls_last("collection"), F.asc("metric"), F.desc("timestamp")]
     return _cut(rows, from_ts, to_ts, limit, order_ascending, key_order)
 
 
@@ -81,16 +81,16 @@ def _cut(
         order = key_order
     else:
         by_time = F.asc("timestamp") if order_ascending else F.desc("timestamp")
-        order = [by_time, F.asc("metric"), F.asc("collection")]
+        order = [by_time, F.asc("metric"), F.asc_nulls_last("collection")]
     # Rows of one window differ by asset: break ties so a limit is repeatable.
-    order = order + [F.asc(c) for c in ("asset_key", "asset_name", "asset_url", "image_url") if c in rows.columns]
-    rows = rows.orderBy(*order)
+    ties = [c for c in ("asset_key", "asset_name", "asset_url", "image_url") if c in rows.columns]
+    rows = rows.orderBy(*order, *[F.asc_nulls_last(c) for c in ties])
     return rows.limit(limit) if limit else rows
 
 
 def latest_value(rows: DataFrame) -> DataFrame:
     """The newest row of one metric, as an indicator shows it."""
-    order = [F.desc("timestamp"), F.asc("collection")]
+    order = [F.desc("timestamp"), F.asc_nulls_last("collection")]
     order += [F.asc(c) for c in ("asset_key",) if c in rows.columns]
     return rows.orderBy(*order).limit(1).select("metric", "timestamp", "value")
 

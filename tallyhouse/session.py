@@ -55,13 +55,23 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch_space(spark: SparkSession, label: str) -> Iterator[str]:
+    """A scratch folder that is deleted at the end of the block."""
+    path = scratch_dir(spark, label)
+    try:
+        yield path
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write once to shared storage and read back, cutting the lineage.
 
     Used where several plans read the same expensive input; the Parquet copy
     keeps column pruning and filter pushdown, and survives lost executors.
     """
-    path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -170,7 +171,7 @@ def test_the_grain_picks_the_mode_unless_told():
 def test_landed_events_are_the_same_and_prune_by_type(spark, tmp_path):
     clean = events(spark, *[event(k, usd=1.0, at=T0 + timedelta(days=i)) for i, k in enumerate(KINDS)], event(at=None))
     write_clean(clean, str(tmp_path / "clean"))
-    for table in (land(clean), read_clean(spark, str(tmp_path / "clean"))):
+    for table in (land(clean, str(tmp_path / "landed")), read_clean(spark, str(tmp_path / "clean"))):
         assert values(table, *CLEAN_COLUMNS) == values(clean, *CLEAN_COLUMNS)
         plan = table.filter("event_type = 'item_sold'")._jdf.queryExecution().toString()
         scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
@@ -189,8 +190,12 @@ def test_a_run_over_both_feeds_reads_raw_input_once(spark, archive):
     assert read and all(name.endswith(".parquet") for name in read)
 
 
-def test_scratch_is_the_shared_folder(spark):
-    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+def test_scratch_is_the_shared_folder_and_runs_leave_nothing_there(spark, archive):
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(spark, "x").startswith(base)
+    before = set(os.listdir(base))
+    run(["all", "1 day", "--also", "7 days", "--raw-events-s3-uri", archive])
+    assert set(os.listdir(base)) == before
 
 
 def test_as_of_is_read_as_utc(spark):
