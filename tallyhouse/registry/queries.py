@@ -16,7 +16,7 @@ from tallyhouse.operators import events as ev
 from tallyhouse.operators import explore
 from tallyhouse.plans import families as fam
 from tallyhouse.plans.rollup import partial_groups
-from tallyhouse.schemas import CLEAN_COLUMNS, COLLECTION_COLUMNS, COLLECTION_SCHEMA, GLOBAL_COLUMNS, GLOBAL_SCHEMA
+from tallyhouse.schemas import COLLECTION_COLUMNS, COLLECTION_SCHEMA, GLOBAL_COLUMNS, GLOBAL_SCHEMA
 from tallyhouse.serving import reads
 from tallyhouse.session import materialise, scratch_dir, use_utc
 from tallyhouse.sinks.archive import archive_writer, write_archive

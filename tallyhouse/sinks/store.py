@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyhouse.schemas import COLLECTION_SCHEMA, GLOBAL_SCHEMA
+from tallyhouse.schemas import COLLECTION_SCHEMA
 
 STORED_SCHEMA = COLLECTION_SCHEMA
 KEY = ["metric", "collection", "timestamp", "asset_key"]
@@ -64,10 +64,6 @@ def compact_metrics(spark: SparkSession, source: str, target: str) -> None:
     )
 
 
-def global_rows(stored: DataFrame) -> DataFrame:
-    return stored.select(*[f.split()[0] for f in GLOBAL_SCHEMA.split(", ")])
-
-
 def _read_all(spark: SparkSession, path: str) -> DataFrame:
     # The stored types are stated: folder names would be guessed at otherwise.
     schema = STORED_SCHEMA + ", run bigint, batch bigint, kept boolean"
