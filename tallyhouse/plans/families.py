@@ -131,35 +131,25 @@ def collections_feed(
 ) -> DataFrame:
     """All collection- and asset-level metrics of one grain.
 
-    All time: one plan, for a collection's row needs both of its sides.
-    Windowed: one plan per family, reading only that family's rows and columns.
-    Collections and assets could share a scan through grouping sets, but their
-    groups differ so much in number that this measures slower (README).
-    Partial groups, if given, serve the collections; assets need the events.
+    Each plan reads only its own rows and columns, so raw input should be
+    landed first. Collections and assets could share a scan through grouping
+    sets, but their groups differ so much in number that this measures slower
+    (README). Partial groups, if given, serve the collections.
     """
     options["with_asset_key"] = with_asset_key
     source, how = _merged(clean, partials)
     if grain == ALL_TIME:
-        collections = [C.COLLECTION_ALL_TIME]
-        assets = [
-            replace(C.TOP_ASSETS_BY_SALES_ALL_TIME, top_n=n_per_collection),
-            replace(C.TOP_ASSETS_BY_TRANSFERS_ALL_TIME, top_n=n_per_collection),
-        ]
-        if partials is None:
-            return _collections(clean, collections + assets, as_of=as_of, **options)
-        parts = [
-            _collections(source, collections, as_of=as_of, **options, **how),
-            _collections(clean, assets, as_of=as_of, **options),
-        ]
+        collections = [[C.COLLECTION_ALL_TIME]]
+        top_sales = replace(C.TOP_ASSETS_BY_SALES_ALL_TIME, top_n=n_per_collection)
+        top_transfers = replace(C.TOP_ASSETS_BY_TRANSFERS_ALL_TIME, top_n=n_per_collection)
+        assets = [[top_sales, top_transfers]]
     else:
-        parts = [
-            _collections(source, [family], grain, slide=slide, **options, **how)
-            for family in (C.COLLECTION_SALES, C.COLLECTION_TRANSACTIONS)
-        ] + [
-            _collections(clean, [family], grain, slide=slide, **options)
-            for family in (C.TOP_ASSETS_BY_SALES, C.ASSET_TRANSFERS)
-        ]
-    return reduce(DataFrame.unionByName, parts)
+        collections = [[C.COLLECTION_SALES], [C.COLLECTION_TRANSACTIONS]]
+        assets = [[C.TOP_ASSETS_BY_SALES], [C.ASSET_TRANSFERS]]
+    options.update(slide=slide, as_of=as_of)
+    feeds = [_collections(source, families, grain, **options, **how) for families in collections]
+    feeds += [_collections(clean, families, grain, **options) for families in assets]
+    return reduce(DataFrame.unionByName, feeds)
 
 
 def _with_empty_totals(feed: DataFrame, as_of: datetime | None) -> DataFrame:
