@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.events import clean_events
 from tallyhouse.plans.families import collections_feed, global_feed
-from tallyhouse.plans.rollup import check_base, partial_groups
+from tallyhouse.plans.rollup import common_base, partial_groups
 from tallyhouse.session import materialise, scratch_space
 from tallyhouse.sinks.clean_table import read_clean, write_clean_in_place
 from tallyhouse.sources.archive import in_time_range, read_archive
@@ -48,7 +48,6 @@ def run_batch(
     write_global: Writer | None = None,
     write_collections: Writer | None = None,
     as_of: datetime | None = None,
-    base: str = "1 hour",
 ) -> dict[str, int]:
     """Compute and write the asked-for feeds of the given grains.
 
@@ -56,14 +55,14 @@ def run_batch(
     times, so raw input is landed first, unless partial groups are all that is
     needed of it. Several grains share the partial groups.
     """
-    several = len(grains) > 1
-    if several:
-        check_base(base, grains, slide)
     counts = {}
+    partials = None
     with scratch_space(clean.sparkSession, "batch") as scratch:
         if write_collections:
             clean = land(clean, f"{scratch}/clean")
-        partials = materialise(partial_groups(clean, base), f"{scratch}/partials") if several else None
+        if len(grains) > 1:
+            base = common_base(grains, slide)
+            partials = materialise(partial_groups(clean, base), f"{scratch}/partials")
         options = {"as_of": as_of, "partials": partials}
         for grain in grains:
             if write_global:

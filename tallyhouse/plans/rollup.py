@@ -1,9 +1,9 @@
 """Many grains from one pass over the events.
 
 Counts, sums and minima of a window can be merged from those of the smaller
-windows it consists of, and every grain offered is made of whole hours aligned
-to the epoch. So the events are grouped once, into partial measures per hour
-and collection; each grain's global and collection metrics come from those.
+windows it consists of, and all windows are aligned to the epoch. So the events
+are grouped once, into partial measures per base window and collection; each
+grain's global and collection metrics come from those.
 
 Assets are left out: one asset is seldom traded twice in an hour, so partial
 groups by asset would be about as many as the events themselves.
@@ -12,11 +12,12 @@ groups by asset would be about as many as the events themselves.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.windows import ALL_TIME, seconds
+from tallyhouse.functions.windows import ALL_TIME, UNIT_SECONDS, seconds
 from tallyhouse.operators.catalogue import partial_measures
 from tallyhouse.schemas import SALE_TYPES
 
@@ -39,8 +40,7 @@ def partial_groups(
     return keyed.groupBy("sent_at", "collection_slug").agg(*aggregates)
 
 
-def check_base(base: str, grains: Sequence[str], slide: str | None = None) -> None:
-    """Refuse grains that are not whole multiples of the base window."""
-    for grain in [*grains, *([slide] if slide else [])]:
-        if grain != ALL_TIME and seconds(grain) % seconds(base):
-            raise ValueError(f"{grain!r} is not made of whole windows of {base!r}")
+def common_base(grains: Sequence[str], slide: str | None = None) -> str:
+    """The longest window that all the given windows consist of."""
+    lengths = [seconds(grain) for grain in [*grains, slide] if grain and grain != ALL_TIME]
+    return f"{gcd(*lengths) or UNIT_SECONDS['day']} seconds"

@@ -8,7 +8,7 @@ from helpers import T0, event, events, message, values
 from tallyhouse import cli
 from tallyhouse.plans import families as fam
 from tallyhouse.plans.jobs import land, run_batch
-from tallyhouse.plans.rollup import check_base, partial_groups
+from tallyhouse.plans.rollup import common_base, partial_groups
 from tallyhouse.schemas import CLEAN_COLUMNS, COLLECTION_COLUMNS, GLOBAL_COLUMNS
 from tallyhouse.session import scratch_dir
 from tallyhouse.sinks.archive import write_archive
@@ -98,10 +98,41 @@ def test_partial_groups_keep_untimed_events_and_slides(spark):
             assert values(merged, *expected.columns) == values(expected, *expected.columns)
 
 
-@pytest.mark.parametrize("grains, slide", [(["90 minutes"], None), (["1 day"], "30 minutes")])
-def test_grains_must_be_whole_base_windows(grains, slide):
-    with pytest.raises(ValueError):
-        check_base("1 hour", grains, slide)
+@pytest.mark.parametrize(
+    "grains, slide, base",
+    [
+        (["14 days", "7 days", "all time"], None, 7 * 86400),
+        (["1 day", "1 hour"], None, 3600),
+        (["1 day", "12 hours"], "30 minutes", 1800),
+        (["all time"], None, 86400),
+    ],
+)
+def test_the_base_window_divides_all_grains(grains, slide, base):
+    assert common_base(grains, slide) == f"{base} seconds"
+
+
+@pytest.mark.parametrize("base", ["3600 seconds", "7200 seconds"])
+def test_any_base_that_divides_the_grain_gives_the_same(spark, archive, base):
+    clean = cli.read_clean_archive(spark, archive)
+    parts = partial_groups(clean, base)
+    for feed in (fam.global_feed, fam.collections_feed):
+        expected = feed(clean, "12 hours", "4 hours")
+        merged = feed(clean, "12 hours", "4 hours", partials=parts)
+        assert values(merged, *expected.columns) == values(expected, *expected.columns)
+
+
+def test_output_is_computed_once(spark, archive):
+    """The row count of a write comes from the write itself."""
+    writes = []
+
+    def write(feed):
+        writes.append(feed)
+        feed.write.format("noop").mode("overwrite").save()
+
+    clean = cli.read_clean_archive(spark, archive)
+    counts = run_batch(clean, ["1 day"], write_global=write)
+    assert len(writes) == 1
+    assert counts == {"global 1 day": fam.global_feed(clean, "1 day").count()}
 
 
 def test_batch_run_over_a_time_range_with_a_slide(spark, tmp_path, archive):
