@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.staging import Stage
 
 
-def _stars(edges: DataFrame, stage: Stage) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its least neighbour (or itself)."""
     both = edges.union(edges.select("b", "a"))
-    least = stage.put(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.filter("a <> b").distinct()
 
 
-def _roots(edges: DataFrame, stage: Stage) -> DataFrame:
+def _roots(edges: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and itself, move to its least neighbour."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = stage.put(down.groupBy("a").agg(F.min("b").alias("m")))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return moved.union(own).filter("a <> b").distinct()
@@ -30,18 +30,17 @@ def components(edges: DataFrame, stage: Stage, max_rounds: int = 60) -> DataFram
 
     Large-star and small-star steps in turn until nothing changes, which takes
     a number of rounds logarithmic in the number of nodes. Every step is a
-    minimum that combines before the shuffle and an equality join of two
-    scanned tables, so a node with very many edges is split by AQE. Nothing is
-    gathered on the driver but a count and a checksum. Loops and repeated edges
-    do nothing.
+    minimum that combines before the shuffle and an equality join. A round is
+    one job; a count and a checksum of its edges are observed on the way, and
+    nothing else comes to the driver. Loops and repeated edges do nothing.
     """
-    edges = stage.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     before = None
     for _ in range(max_rounds):
-        stars = stage.put(_stars(edges, stage))
-        after = stage.put(_roots(stars, stage))
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = after
+        seen = Observation()
+        after = _roots(_stars(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+        edges = stage.put(after)
+        mark = (seen.get["n"], seen.get["s"])
         if mark == before:
             found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return found.union(found.select("root", "root")).distinct()

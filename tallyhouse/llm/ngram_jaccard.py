@@ -129,6 +129,7 @@ class _Join:
     def __init__(self, docs: DataFrame, n_words: int, percent: int):
         self.docs, self.n_words, self.percent = docs, n_words, percent
         self.stage = Stage(docs.sparkSession, "ngram-jaccard")
+        self.roots: DataFrame | None = None
 
     def far(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
@@ -161,15 +162,12 @@ class _Join:
         total = counted.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
         return total.filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * self.percent).select("a", "b")
 
-    def labelled(self, links: DataFrame | None) -> DataFrame:
+    def labelled(self) -> DataFrame:
         """Kept n-grams with their classes' labels, without settled ones."""
-        met = self.met.withColumn("label", F.col("class"))
-        if links is not None:
-            roots = self.stage.put(components(links, self.stage))
-            met = self.met.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-        met = self.stage.put(met)
-        open_ = met.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
-        return self.stage.put(met.join(self.stage.put(open_), "gram"))
+        met = self.met.join(self.roots.withColumnRenamed("node", "class"), "class", "left")
+        met = self.stage.put(met.withColumn("label", F.coalesce("root", "class")).drop("root"))
+        unsettled = met.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        return met.join(self.stage.put(unsettled.select("gram")), "gram")
 
     def unpaired(self, met: DataFrame) -> tuple[int, int]:
         """Kept n-grams, and pairs of classes with different labels that meet in them."""
@@ -179,7 +177,7 @@ class _Join:
 
     def leaders(self, met: DataFrame, turn: int) -> DataFrame:
         lead = met.groupBy("gram").agg(F.min_by(F.struct("class", "n", "label"), F.xxhash64("class", F.lit(turn))).alias("lead"))
-        faced = met.join(self.stage.put(lead), "gram").filter((F.col("label") != F.col("lead.label")) & self.far("n", "lead.n"))
+        faced = met.join(lead, "gram").filter((F.col("label") != F.col("lead.label")) & self.far("n", "lead.n"))
         shared = faced.groupBy(F.col("class").alias("a"), F.col("n").alias("na"), F.col("lead.class").alias("b"), F.col("lead.n").alias("nb")).agg(F.count("*").alias("shared"))
         best = shared.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("shared", "b")).alias("best"))
         return best.select("a", "na", "best.b", "best.nb")
@@ -190,27 +188,34 @@ class _Join:
         pairs = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb"))
         return pairs.select("a", "na", "b", "nb").distinct()
 
-    def links(self) -> DataFrame | None:
-        links, met = None, self.labelled(None)
-        for turn in range(ROUNDS):
+    def link(self, pairs: DataFrame) -> None:
+        """Adds the links among some pairs; ``roots`` has the least class that each linked one reaches."""
+        found = self.stage.put(self.verified(self.stage.put(pairs)))
+        if self.roots is not None:
+            found = found.union(self.roots.select("node", "root"))
+        self.roots = self.stage.put(components(found, self.stage))
+
+    def link_all(self) -> None:
+        self.link(self.leaders(self.met.withColumn("label", F.col("class")), 0))
+        for turn in range(1, ROUNDS):
+            met = self.labelled()
             rows, pairs = self.unpaired(met)
-            if not pairs or (turn and pairs <= FEW * rows):
+            if pairs <= FEW * rows:
                 break
-            found = self.stage.put(self.verified(self.stage.put(self.leaders(met, turn))))
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.union(found)
-            met = self.labelled(links)
-        found = self.stage.put(self.verified(self.stage.put(self.rest(met))))
-        return found if links is None else links.union(found)
+            self.link(self.leaders(met, turn))
+        else:
+            met = self.labelled()
+            pairs = self.unpaired(met)[1]
+        if pairs:
+            self.link(self.rest(met))
 
     def run(self) -> DataFrame:
         self.sign()
         self.meet()
-        roots = self.stage.put(components(self.links(), self.stage))
-        named = self.classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        named = self.stage.put(named.withColumnRenamed("doc_id", "class_id"))
-        least = self.stage.put(named.groupBy("root").agg(F.min("class_id").alias("component_id")))
+        self.link_all()
+        named = self.classes.join(self.roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        named = named.withColumnRenamed("doc_id", "class_id")
+        least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
         named = self.stage.put(named.join(least, "root"))
         out = self.signed.select("doc_id", "text_hash", "n", "class", "check").join(named, ["n", "class", "check"], "left")
         alone = F.col("component_id").isNull() | F.col("doc_id").isNull()
