@@ -13,8 +13,8 @@ Which pairs are counted:
   is kept. Passages that many documents share fall out this way, and n-grams of
   one class only are never looked at again.
 * Classes that meet in a kept n-gram are not all paired. In each round every
-  n-gram has a leader (the class with the least hash), every class is counted
-  against the leader it meets most often, and linked classes get one label.
+  n-gram has a leader (first the class whose n-grams are most common, then one
+  by hash), every class is counted against the leader it meets most often, and linked classes get one label.
   N-grams whose classes all have one label are settled. Rounds go on while
   they pay; then *every* pair with different labels that still meets is
   counted. So components are exact, without all pairs of a group of copies.
@@ -36,7 +36,7 @@ from tallyhouse.llm.staging import Stage
 
 FRAGMENT_BITS = 3
 #: Rounds of leaders before the rest is paired, and the pairs per kept n-gram that count as few.
-ROUNDS, FEW = 6, 2
+ROUNDS, FEW = 3, 2
 
 
 def _sets(chunk: W.Chunk, n_words: int) -> list[np.ndarray]:
@@ -148,7 +148,11 @@ class _Join:
         often = self.stage.put(often.filter("low <> high").select("gram", "times"))
         rarest = Window.partitionBy("class").orderBy(F.desc("times"), F.desc("gram"))
         met = heads.join(often, "gram").withColumn("place", F.row_number().over(rarest))
-        self.met = self.stage.put(met.filter("place > left_out").select("class", "n", "gram").distinct())
+        # How common a class's n-grams are: of a group of copies, the one with the fewest changes has most.
+        met = met.withColumn("central", F.sum("times").over(Window.partitionBy("class")) / F.col("n"))
+        met = met.filter("place > left_out").select("class", "n", "central", "gram").distinct()
+        kept = F.array_sort(F.collect_list("gram").over(Window.partitionBy("class")))
+        self.met = self.stage.put(met.withColumn("kept", kept))
         self.stage.drop(heads)
         wanted = self.met.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
         own = self.docs.join(wanted, "doc_id").mapInArrow(_fragments(self.n_words), "class long, part int, grams array<long>")
@@ -176,17 +180,20 @@ class _Join:
         return int(row["rows"] or 0), int(row["pairs"] or 0)
 
     def leaders(self, met: DataFrame, turn: int) -> DataFrame:
-        lead = met.groupBy("gram").agg(F.min_by(F.struct("class", "n", "label"), F.xxhash64("class", F.lit(turn))).alias("lead"))
+        rank = F.struct("central", "class") if not turn else F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class")
+        lead = met.groupBy("gram").agg(F.max_by(F.struct("class", "n", "label"), rank).alias("lead"))
         faced = met.join(lead, "gram").filter((F.col("label") != F.col("lead.label")) & self.far("n", "lead.n"))
         shared = faced.groupBy(F.col("class").alias("a"), F.col("n").alias("na"), F.col("lead.class").alias("b"), F.col("lead.n").alias("nb")).agg(F.count("*").alias("shared"))
         best = shared.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("shared", "b")).alias("best"))
         return best.select("a", "na", "best.b", "best.nb")
 
     def rest(self, met: DataFrame) -> DataFrame:
-        a = met.select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        b = met.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb"))
-        return pairs.select("a", "na", "b", "nb").distinct()
+        """Pairs with different labels, each from the first kept n-gram that both have."""
+        a, b = (met.select("gram", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), F.col("kept").alias(f"k{x}")) for x in "ab")
+        b = b.withColumnRenamed("gram", "other")
+        first = F.array_min(F.array_intersect("ka", "kb")) == F.col("gram")
+        apart = (F.col("gram") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb") & first
+        return a.join(b, apart).select("a", "na", "b", "nb")
 
     def link(self, pairs: DataFrame) -> None:
         """Adds the links among some pairs; ``roots`` has the least class that each linked one reaches."""
