@@ -6,6 +6,7 @@ import argparse
 import logging
 import os
 import time
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +83,7 @@ def _store(args: argparse.Namespace, feed: str) -> str | None:
     return args.global_store if feed == "global" else args.collections_store
 
 
-def _batch_writer(args: argparse.Namespace, feed: str, run: int):
+def _batch_writer(args: argparse.Namespace, feed: str, run: str):
     """The feed's sink: the metric table, a topic, or a count only."""
     if store := _store(args, feed):
         batches = count()
@@ -110,7 +111,7 @@ def batch(args: argparse.Namespace, spark: SparkSession) -> dict[str, int]:
     if not args.raw_events_s3_uri:
         raise ValueError("--raw-events-s3-uri is required in batch")
     # A run has one folder per grain in the table, numbered like stream batches.
-    run = time.time_ns() // 1_000_000
+    run = f"batch-{uuid.uuid4().hex}"
     writers = {f"write_{feed}": _batch_writer(args, feed, run) for feed in _feeds(args)}
     clean = read_clean_archive(spark, args.raw_events_s3_uri, args.timestamp_start, args.timestamp_end)
     grains = list(dict.fromkeys([args.time_window, *args.also]))
@@ -124,8 +125,7 @@ def _stream_writer(args: argparse.Namespace, feed: str, rows: DataFrame):
     if args.debug_mode:
         return console_writer(shown, checkpoint)
     if store := _store(args, feed):
-        # Run 0: a batch recompute, numbered by its start time, comes after.
-        return store_writer(rows, store, run=0, checkpoint=checkpoint)
+        return store_writer(rows, store, checkpoint)
     topic = _topic(args, feed)
     if topic and not args.kafka_brokers:
         raise ValueError("--kafka-brokers is required to write to a topic")

@@ -45,6 +45,8 @@ def metric_rows(
     ``clean`` may be the partial groups of ``plans.rollup`` in place of events.
     """
     if from_partials:
+        if set(sale_types) != set(SALE_TYPES):
+            raise ValueError("partial groups hold all sale types: compute a narrower feed from events")
         rows, aggregates = clean.filter(_wanted_partials(families)), merged_measures()
     else:
         rows, aggregates = clean.filter(_wanted_rows(families, sale_types)), measures(sale_types)

@@ -515,6 +515,8 @@ from clean where event_type = 'item_sold' and sent_at is not null group by 1, 2"
         "sales_in_top_10_windows": _with(EVENTS, sold_windows("1 day", 10)) + IN_WINDOWS,
         "top_sales_by_price": top_sales_by_price("14 days"),
         "top_collection_stats": top_collection_stats("1 hour"),
+        "metric_value_counts_all": _with(EVENTS, global_sums("1 hour"))
+        + f"select value, count(*) as count from ({global_rows('1 hour')}) group by 1",
         "metric_value_counts": _with(EVENTS, global_sums("1 hour"))
         + f"select value, count(*) as count from ({global_rows('1 hour')}) where value < 2000 group by 1",
         "metric_name_counts": feed_1h + "select metric, count(*) as count from feed group by 1",

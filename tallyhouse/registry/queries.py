@@ -96,7 +96,7 @@ def _to_files(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 def _to_store(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = scratch_dir(spark, "store")
-    _drain(spark, jobs.store_writer(rows, f"{path}/rows", run=0, checkpoint=f"{path}/checkpoint"))
+    _drain(spark, jobs.store_writer(rows, f"{path}/rows", checkpoint=f"{path}/checkpoint"))
     return read_metrics(spark, f"{path}/rows")
 
 
@@ -245,7 +245,7 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
         messages.write.mode("append").text(f"{path}/messages")
         source = spark.readStream.schema("value string").text(f"{path}/messages")
         rows = jobs.global_stream(ev.clean_messages(source), "1 hour", watermark=WATERMARK)
-        _drain(spark, jobs.store_writer(rows, f"{path}/rows", run=0, checkpoint=f"{path}/checkpoint"))
+        _drain(spark, jobs.store_writer(rows, f"{path}/rows", checkpoint=f"{path}/checkpoint"))
 
     arrive_and_run()
     arrive_and_run()
@@ -343,6 +343,7 @@ def queries() -> dict[str, Query]:
         "sales_in_top_10_windows": _on_events(lambda c: explore.sales_in_top_windows(c, "1 day", top_n=10)),
         "top_sales_by_price": _on_events(lambda c: explore.top_sales_by_price(c, "14 days")),
         "top_collection_stats": _on_events(lambda c: explore.top_collection_stats(c, "1 hour")),
+        "metric_value_counts_all": _on_events(lambda c: explore.metric_value_counts(fam.global_metrics(c, "1 hour"))),
         "metric_value_counts": _on_events(lambda c: explore.metric_value_counts(fam.global_metrics(c, "1 hour"), 2000)),
         "metric_name_counts": _on_events(lambda c: explore.metric_name_counts(fam.global_feed(c, "1 hour"))),
         "metric_summary": _on_events(_summary),

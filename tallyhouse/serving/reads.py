@@ -130,8 +130,10 @@ def latest_top(rows: DataFrame, group: str, n: int = 10) -> DataFrame:
     return latest_per_group(rows, group).orderBy(F.desc_nulls_last("value"), *ties).limit(n)
 
 
-def series(rows: DataFrame, hue: str, points: int = 10) -> DataFrame:
-    """Lines to plot: the newest ``points`` of every hue value."""
+def series(rows: DataFrame, hue: str, points: int | None = None) -> DataFrame:
+    """Lines to plot: all points, or the newest ``points`` of every hue value."""
+    if points is None:
+        return rows.select("timestamp", "value", F.col(hue).alias("hue"))
     ties = [F.asc_nulls_last(c) for c in ("asset_key", "asset_url", "image_url") if c in rows.columns]
     newest_first = W.partitionBy(hue).orderBy(
         F.desc("timestamp"), F.desc_nulls_last("value"), *ties

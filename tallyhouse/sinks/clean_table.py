@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.schemas import CLEAN_COLUMNS
+from tallyhouse.functions.events import is_sale, is_transfer
+from tallyhouse.schemas import CLEAN_COLUMNS, CLEAN_FIELDS
 
+SCHEMA = ", ".join(["event string", *[f"{name} {kind}" for name, (_, kind) in CLEAN_FIELDS.items()]])
 FOLDERS = ["event_date", "kind"]
 
 
 def write_clean(clean: DataFrame, path: str) -> None:
-    """A table to keep. Folders by day and event type: a sales plan and a
-    transfers plan then read disjoint files, and a time range reads its days
-    only. Rebalancing gives each folder few files and splits a large one."""
+    """A table to keep. Folders by day and kind (sale, transfer, other; event
+    types have no bound): a sales plan and a transfers plan then read disjoint
+    row groups, and a time range reads its days only. Rebalancing gives each folder few files and splits a large one."""
     (
         clean.withColumn("event_date", F.to_date("sent_at"))
-        .withColumn("kind", F.col("event_type"))
+        .withColumn("kind", _kind())
         .hint("rebalance", *FOLDERS)
         .write.mode("overwrite")
         .partitionBy(*FOLDERS)
@@ -25,13 +27,16 @@ def write_clean(clean: DataFrame, path: str) -> None:
 
 
 def write_clean_in_place(clean: DataFrame, path: str) -> None:
-    """A copy for one run. Each task writes what it parsed, one file per event
-    type, so the whole input is not shuffled for it."""
-    clean.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(path)
+    """A copy for one run. Each task writes what it parsed, one file per
+    kind, so the whole input is not shuffled for it."""
+    clean.withColumn("kind", _kind()).write.partitionBy("kind").parquet(path)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    """Clean events whose ``event_type`` is the folder name, so that filters on
-    it prune folders."""
-    landed = spark.read.parquet(path)
-    return landed.withColumn("event_type", F.col("kind").cast("string")).select(*CLEAN_COLUMNS)
+    """Clean events as they were landed. Types are stated, so a table without
+    rows reads as one; values are data and never folder names."""
+    return spark.read.schema(SCHEMA).parquet(path).select(*CLEAN_COLUMNS)
+
+
+def _kind() -> Column:
+    return F.when(is_sale(), "sale").when(is_transfer(), "transfer").otherwise("other")

@@ -1,12 +1,16 @@
 """The metric table: keyed rows, last write wins.
 
 Every write is one folder ``run=R/batch=N`` and replaces that folder when it is
-retried. Reading keeps the newest row per key, newest by (run, batch). A batch
-recompute started later therefore replaces what a stream wrote earlier.
+retried; R names the writer, and no two writers share one (a stream's is the id
+in its checkpoint). Rows carry the time of their write, and reading keeps the
+row written last per key, whether a stream or a batch run wrote it.
 """
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,14 +21,27 @@ STORED_SCHEMA = COLLECTION_SCHEMA
 KEY = ["metric", "collection", "timestamp", "asset_key"]
 
 
-def write_metrics(rows: DataFrame, path: str, run: int, batch: int = 0, spread: int = 16) -> None:
-    """Store one batch of metric rows.
+_clock = threading.Lock()
+_last = 0
+
+
+def _now() -> int:
+    """Nanoseconds; later calls of this process get larger numbers."""
+    global _last
+    with _clock:
+        _last = max(time.time_ns(), _last + 1)
+        return _last
+
+
+def write_metrics(rows: DataFrame, path: str, run: int | str, batch: int = 0, spread: int = 16) -> None:
+    """Store one batch of metric rows as the writer ``run``.
 
     Rows whose key has a NULL cannot be addressed; they land under
     ``kept=false`` and reads of the table do not see them.
     """
     (
         _stored_columns(rows)
+        .withColumn("written", F.lit(_now()))
         .withColumn("kept", _has_key())
         .withColumn("_part", F.pmod(F.xxhash64("collection", "asset_key"), F.lit(spread)))
         .hint("rebalance", "metric", "_part")
@@ -37,15 +54,15 @@ def write_metrics(rows: DataFrame, path: str, run: int, batch: int = 0, spread:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """The newest row of every key. A filter on ``metric`` prunes folders."""
-    return latest(_read_all(spark, path).filter("kept")).drop("kept", "run", "batch")
+    return latest(_read_all(spark, path).filter("kept")).drop("kept", "run", "batch", "written")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return _read_all(spark, path).filter("not kept").drop("kept", "run", "batch")
+    return _read_all(spark, path).filter("not kept").drop("kept", "run", "batch", "written")
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    newest_first = W.partitionBy(*KEY).orderBy(F.desc("run"), F.desc("batch"))
+    newest_first = W.partitionBy(*KEY).orderBy(F.desc("written"), F.desc("run"), F.desc("batch"))
     return (
         rows.withColumn("_rank", F.row_number().over(newest_first))
         .filter(F.col("_rank") == 1)
@@ -66,7 +83,7 @@ def compact_metrics(spark: SparkSession, source: str, target: str) -> None:
 
 def _read_all(spark: SparkSession, path: str) -> DataFrame:
     # The stored types are stated: folder names would be guessed at otherwise.
-    schema = STORED_SCHEMA + ", run bigint, batch bigint, kept boolean"
+    schema = STORED_SCHEMA + ", written bigint, run string, batch bigint, kept boolean"
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 

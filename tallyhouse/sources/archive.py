@@ -16,19 +16,23 @@ def read_archive(
     path: str,
     start: datetime | None = None,
     end: datetime | None = None,
-    slack: timedelta = timedelta(days=1),
+    skew: timedelta = timedelta(days=1),
+    lateness: timedelta | None = None,
 ) -> DataFrame:
     """Raw events below ``year=/month=/day=/hour=`` folders of gzipped JSON lines.
 
-    Folders are named by arrival hour. With ``start`` or ``end`` (event time),
-    folders outside the range widened by ``slack`` are not listed into the
-    scan; the exact cut on ``sent_at`` is ``in_time_range``, after cleaning.
+    Folders are named by arrival hour. No event arrives before it is sent, so
+    with ``start`` (event time) folders before it are not read, but for clocks
+    that differ by ``skew``. An event may arrive at any time after ``end``
+    (outages, replays), so nothing is cut above, unless the caller states how
+    late events can be. Folders are listed all, then pruned. The exact cut on
+    ``sent_at`` is ``in_time_range``, after cleaning.
     """
     raw = spark.read.schema(RAW_SCHEMA + ", year int, month int, day int, hour int").json(path)
     if start:
-        raw = raw.filter(_folder_hour() >= _hour_number(start - slack))
-    if end:
-        raw = raw.filter(_folder_hour() <= _hour_number(end + slack))
+        raw = raw.filter(_folder_hour() >= _hour_number(start - skew))
+    if end and lateness is not None:
+        raw = raw.filter(_folder_hour() <= _hour_number(end + lateness))
     return raw
 
 

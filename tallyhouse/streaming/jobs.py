@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -68,12 +70,24 @@ def checkpoint_path(base: str, query: str) -> str:
     return f"{base.rstrip('/')}/{query}"
 
 
-def store_writer(rows: DataFrame, path: str, run: int, checkpoint: str) -> DataStreamWriter:
-    """Changed rows of each micro-batch to the metric table. A retried batch
-    overwrites its own folder."""
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint keeps for its query from its first start on."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
+def store_writer(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Changed rows of each micro-batch to the metric table.
+
+    The writer's name is the query's id, which the checkpoint keeps: a retried
+    batch overwrites its own folder, and no other query's.
+    """
+
+    names: list[str] = []
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        write_metrics(batch, path, run, batch_id)
+        if not names:
+            names.append(f"stream-{query_id(batch.sparkSession, checkpoint)}")
+        write_metrics(batch, path, names[0], batch_id)
 
     return (
         rows.writeStream.foreachBatch(store_batch)
@@ -95,12 +109,14 @@ def run_available(
     writer: DataStreamWriter,
     spark: SparkSession,
     state_partitions: int | None = None,
-    timeout: int = 3600,
+    timeout: int | None = None,
 ) -> None:
-    """Process what the source holds now, then stop."""
+    """Process what the source holds now, then stop; raise after ``timeout`` seconds, if given."""
     query = start(writer.trigger(availableNow=True), spark, state_partitions)
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream still running after {timeout} s")
     finally:
         query.stop()

@@ -199,14 +199,34 @@ def test_the_grain_picks_the_mode_unless_told():
     assert mode("30 seconds", "--mode", "batch") == "batch"
 
 
-def test_landed_events_are_the_same_and_prune_by_type(spark, tmp_path):
-    clean = events(spark, *[event(k, usd=1.0, at=T0 + timedelta(days=i)) for i, k in enumerate(KINDS)], event(at=None))
+def test_landed_events_are_the_same_and_push_types_down(spark, tmp_path):
+    kinds = [*KINDS, "", None, "01", "1"]
+    clean = events(spark, *[event(k, usd=1.0, at=T0 + timedelta(days=i)) for i, k in enumerate(kinds)], event(at=None))
     write_clean(clean, str(tmp_path / "clean"))
     for table in (land(clean, str(tmp_path / "landed")), read_clean(spark, str(tmp_path / "clean"))):
         assert values(table, *CLEAN_COLUMNS) == values(clean, *CLEAN_COLUMNS)
         plan = table.filter("event_type = 'item_sold'")._jdf.queryExecution().toString()
-        scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
-        assert "item_sold" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+        scan = next(line for line in plan.splitlines() if "PushedFilters" in line)
+        assert "EqualTo(event_type,item_sold)" in scan.split("PushedFilters:")[1]
+
+
+def test_a_run_over_nothing_writes_nothing(spark):
+    count = lambda feed: feed.write.format("noop").mode("overwrite").save()
+    counts = run_batch(events(spark).limit(0), ["1 hour", "1 day"], write_global=count, write_collections=count)
+    assert set(counts.values()) == {0}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Bare(), "x")
+
+
+def test_partials_refuse_other_sale_types(spark):
+    with pytest.raises(ValueError, match="sale types"):
+        fam.global_feed(events(spark), "1 hour", sale_types=("item_sold",), partials=events(spark))
 
 
 def test_a_run_over_both_feeds_reads_raw_input_once(spark, archive):

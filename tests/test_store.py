@@ -55,14 +55,28 @@ def test_rows_without_a_collection_are_rejected_by_the_store(spark, tmp_path):
     assert store.read_rejects(spark, str(tmp_path)).count() == 5
 
 
+def test_stream_then_batch_then_stream(spark, tmp_path):
+    path = str(tmp_path)
+    for run, batch, value in (("stream-a", 5, 1.0), ("batch-b", 0, 2.0), ("stream-a", 6, 9.0)):
+        store.write_metrics(metric_rows(spark, ("m", T0, value, "")), path, run, batch)
+        assert values(store.read_metrics(spark, path), "value") == [(value,)]
+
+
+def test_two_writers_keep_their_folders(spark, tmp_path):
+    path = str(tmp_path)
+    store.write_metrics(metric_rows(spark, ("m__1_minute", T0, 1.0, "")), path, "stream-a", 0)
+    store.write_metrics(metric_rows(spark, ("m__5_minutes", T0, 2.0, "")), path, "stream-b", 0)
+    assert values(store.read_metrics(spark, path), "value") == [(1.0,), (2.0,)]
+
+
 def test_compaction_keeps_the_newest_rows_and_their_order(spark, tmp_path):
     source, target = str(tmp_path / "a"), str(tmp_path / "b")
     store.write_metrics(metric_rows(spark, ("m", T0, 1.0, "")), source, run=1, batch=0)
     store.write_metrics(metric_rows(spark, ("m", T0, 2.0, "")), source, run=1, batch=5)
     store.compact_metrics(spark, source, target)
     assert store._read_all(spark, target).count() == 1
-    store.write_metrics(metric_rows(spark, ("m", T0, 0.0, "")), target, run=1, batch=4)
-    assert values(store.read_metrics(spark, target), "value") == [(2.0,)]
+    store.write_metrics(metric_rows(spark, ("m", T0, 0.0, "")), target, run=2, batch=4)
+    assert values(store.read_metrics(spark, target), "value") == [(0.0,)]
 
 
 def test_a_metric_filter_prunes_folders(spark, tmp_path):

@@ -32,7 +32,7 @@ def at(minutes=0, seconds=0):
 
 
 def drain(spark, rows, tmp_path):
-    writer = jobs.store_writer(rows, str(tmp_path / "store"), run=0, checkpoint=str(tmp_path / "checkpoint"))
+    writer = jobs.store_writer(rows, str(tmp_path / "store"), str(tmp_path / "checkpoint"))
     jobs.run_available(writer, spark, state_partitions=2, timeout=300)
     return read_metrics(spark, str(tmp_path / "store"))
 
@@ -128,7 +128,7 @@ def test_stream_state_is_one_aggregate_dropped_behind_the_watermark(spark, tmp_p
     make_history(tmp_path / "in")
     clean = clean_messages(message_file_stream(spark, str(tmp_path / "in"), files_per_trigger=1))
     rows = jobs.collections_stream(clean, "30 minutes", watermark="10 minutes")
-    writer = jobs.store_writer(rows, str(tmp_path / "store"), 0, str(tmp_path / "checkpoint"))
+    writer = jobs.store_writer(rows, str(tmp_path / "store"), str(tmp_path / "checkpoint"))
     query = jobs.start(writer.trigger(availableNow=True), spark, 2)
     query.awaitTermination(300)
     operators = query.lastProgress["stateOperators"]
@@ -151,7 +151,7 @@ def test_wait_for_all_reports_a_failed_query(spark, tmp_path):
     def fail(batch, batch_id):
         raise RuntimeError("no room")
 
-    good = jobs.start(jobs.store_writer(rows, str(tmp_path / "s"), 0, str(tmp_path / "c1")), spark, 2)
+    good = jobs.start(jobs.store_writer(rows, str(tmp_path / "s"), str(tmp_path / "c1")), spark, 2)
     bad = jobs.start(
         rows.writeStream.foreachBatch(fail).outputMode("update").option("checkpointLocation", str(tmp_path / "c2")),
         spark,
@@ -183,12 +183,14 @@ def test_archive_folders_are_arrival_hours_and_round_trip(spark, tmp_path):
     assert raw.filter("payload.payload.item.nft_id = 'n1'").count() == 2
 
 
-def test_a_time_range_prunes_archive_folders_with_slack(spark, tmp_path):
+def test_a_time_range_reads_late_arrivals_and_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "archive")
     write_archive(stamped(spark, *[(message(), T0 + timedelta(days=d)) for d in range(10)]), path)
     day = T0 + timedelta(days=5)
-    raw = read_archive(spark, path, day, day, slack=timedelta(days=1))
-    assert sorted(r["day"] for r in raw.collect()) == [5, 6, 7]
+    raw = read_archive(spark, path, day, day)
+    assert sorted(r["day"] for r in raw.collect()) == [5, 6, 7, 8, 9, 10]
+    stated = read_archive(spark, path, day, day, lateness=timedelta(days=1))
+    assert sorted(r["day"] for r in stated.collect()) == [5, 6, 7]
     plan = raw._jdf.queryExecution().toString()
     scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
     assert "year" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
