@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entries
 from check_queries import canonical, connect
+from tallyhouse.registry import oracles, queries
 
 GIVEN = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not GIVEN.exists(), reason="the given tables are not here")
@@ -37,17 +38,18 @@ def data(tmp_path_factory):
     return str(folder), connect(str(folder))
 
 
-@pytest.mark.parametrize("name", sorted(entries.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_equals_its_sql(spark, data, name):
     folder, sql = data
-    ours = entries.queries()[name](spark, folder).toPandas()
-    theirs = sql.sql(entries.oracle_sql()[name]).df()
+    ours = queries.queries()[name](spark, folder).toPandas()
+    theirs = sql.sql(oracles.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert canonical(ours) == canonical(theirs)
 
 
 def test_every_query_has_its_sql():
-    assert entries.queries().keys() == entries.oracle_sql().keys()
+    assert queries.queries().keys() == oracles.oracle_sql().keys()
+    assert queries.queries().keys() <= entries.queries().keys()
 
 
 def test_entry(spark):
