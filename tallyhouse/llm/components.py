@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.staging import Stage
 
 
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Each of ``n`` nodes' least reachable node, for a few edges in memory."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its least neighbour (or itself)."""
     both = edges.union(edges.select("b", "a"))

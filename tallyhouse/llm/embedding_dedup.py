@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tallyhouse.llm.components import components
+from tallyhouse.llm.components import components, forest
 from tallyhouse.llm.staging import Stage
 
 BLOCK = 1024
@@ -63,20 +63,6 @@ def _sign(signs: int, tables: int):
     return run
 
 
-def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Each node's least reachable node."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _cell(rows: pa.Table, threshold: float) -> pa.RecordBatch | None:
     """Counts and forest edges of one cell: block ``side`` 0 against block 1, or one block with itself."""
     keys = rows["class"].to_numpy()
@@ -104,7 +90,7 @@ def _cell(rows: pa.Table, threshold: float) -> pa.RecordBatch | None:
     links = np.zeros(len(keys), dtype=np.int64)
     np.add.at(links, a, weight[b])
     np.add.at(links, b, weight[a])
-    root = _forest(a, b, len(keys))
+    root = forest(a, b, len(keys))
     hit = np.flatnonzero(links)
     return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(links[hit]), pa.array(keys[root[hit]])], ["class", "links", "near"])
 

@@ -17,7 +17,10 @@ Which pairs are counted:
   by hash), every class is counted against the leader it meets most often, and linked classes get one label.
   N-grams whose classes all have one label are settled. Rounds go on while
   they pay; then *every* pair with different labels that still meets is
-  counted. So components are exact, without all pairs of a group of copies.
+  counted, so components are exact. Pairs of an n-gram that few classes have
+  are listed. The classes of a crowded one are cut into blocks, and every two
+  blocks are a cell of bounded size, counted as a matrix, fragment by fragment;
+  only a forest of the links found leaves it.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhouse.llm import words as W
-from tallyhouse.llm.components import components
+from tallyhouse.llm.components import components, forest
 from tallyhouse.llm.staging import Stage
 
 FRAGMENT_BITS = 3
 #: Rounds of leaders before the rest is paired, and the pairs per kept n-gram that count as few.
 ROUNDS, FEW = 3, 2
+#: Classes that a kept n-gram may have before its pairs are counted in cells; classes and n-grams of a block, about.
+CROWD, BLOCK, BLOCK_GRAMS = 16, 512, 1 << 20
 
 
 def _sets(chunk: W.Chunk, n_words: int) -> list[np.ndarray]:
@@ -125,6 +130,95 @@ def _fragments(n_words: int):
     return run
 
 
+class _Sets:
+    """Rows' n-grams of one kind, as (row, n-gram) pairs."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        self.grams = np.concatenate([np.zeros(0, np.int64), *lists])
+        self.count = len(lists)
+
+    def table(self, known: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, self.grams), len(known) - 1)
+        has = known[at] == self.grams
+        out = np.zeros((self.count, len(known)), dtype=np.float32)
+        out[self.rows[has], at[has]] = 1
+        return out
+
+
+def _shared(left: _Sets, right: _Sets, width: int = 4096) -> np.ndarray:
+    """How many n-grams each left row has in common with each right row."""
+    out = np.zeros((left.count, right.count), dtype=np.float32)
+    both = np.intersect1d(left.grams, right.grams)
+    for first in range(0, len(both), width):
+        known = both[first : first + width]
+        out += left.table(known) @ right.table(known).T
+    return out
+
+
+def _cell(rows: pa.Table, percent: int) -> pa.RecordBatch | None:
+    """Forest edges of one cell: block ``side`` 0 against block 1, or one block with itself."""
+    side, label, n, gram = (rows[c].to_numpy() for c in ("side", "label", "n", "gram"))
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    single = not rows["split"][0].as_py()
+    if single:
+        other = own
+    if not len(own) or not len(other):
+        return None
+    kept = [np.asarray(x.values) for x in rows["kept"]]
+    earlier = [x[x < g] for x, g in zip(kept, gram, strict=True)]
+    low, high = np.minimum.outer(n[own], n[other]), np.maximum.outer(n[own], n[other])
+    wanted = (label[own][:, None] != label[other]) & (low * 100 >= high * percent)
+    wanted &= _shared(_Sets([earlier[i] for i in own]), _Sets([earlier[i] for i in other])) == 0
+    if single:
+        wanted = np.triu(wanted, 1)
+    a, b = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(a):
+        return None
+    wanted = wanted[np.ix_(a, b)]
+    a, b = own[a], other[b]
+    total = np.add.outer(n[a], n[b])
+    counts = np.zeros(total.shape, dtype=np.int64)
+    seen = np.zeros(len(n), dtype=np.int64)
+    pieces = [{p["part"].as_py(): np.asarray(p["grams"].values) for p in x} for x in rows["parts"]]
+    none = np.zeros(0, np.int64)
+    for part in range(1 << FRAGMENT_BITS):
+        held = [x.get(part, none) for x in pieces]
+        counts += _shared(_Sets([held[i] for i in a]), _Sets([held[i] for i in b])).astype(np.int64)
+        seen += [len(x) for x in held]
+        most = counts + np.minimum.outer((n - seen)[a], (n - seen)[b])
+        wanted &= most * 100 >= (total - most) * percent
+        if not wanted.any():
+            return None
+    x, y = np.nonzero(wanted)
+    x, y = a[x], b[y]
+    root = forest(x, y, len(n))
+    keys = rows["class"].to_numpy()
+    hit = np.flatnonzero(root != np.arange(len(n)))
+    return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(keys[root[hit]])], ["a", "b"])
+
+
+def _cells(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = _column(batch, "cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                part = pa.Table.from_batches([batch.slice(first, last - first)])
+                if rest and rest[0]["cell"][0].as_py() != int(cell[first]):
+                    if (out := _cell(pa.concat_tables(rest).combine_chunks(), percent)) is not None:
+                        yield out
+                    rest = []
+                rest.append(part)
+        if rest and (out := _cell(pa.concat_tables(rest).combine_chunks(), percent)) is not None:
+            yield out
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, n_words: int, percent: int):
         self.docs, self.n_words, self.percent = docs, n_words, percent
@@ -195,26 +289,59 @@ class _Join:
         apart = (F.col("gram") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb") & first
         return a.join(b, apart).select("a", "na", "b", "nb")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Adds the links among some pairs; ``roots`` has the least class that each linked one reaches."""
+    def crowded(self, met: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(a, b): a forest of the links among classes that first meet in n-grams with ``blocks`` blocks."""
+        met = met.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
+        met = met.withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("block", "facing"), F.greatest("block", "facing")
+        placed = met.select(
+            F.xxhash64("gram", low, high).alias("cell"),
+            "class",
+            "n",
+            "label",
+            "gram",
+            "kept",
+            (low != high).alias("split"),
+            F.when(F.col("block") == low, 0).otherwise(1).alias("side"),
+        )
+        sets = self.fragments.join(placed.select("class").distinct(), "class", "left_semi")
+        sets = sets.groupBy("class").agg(F.collect_list(F.struct("part", "grams")).alias("parts"))
+        spark = met.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return placed.join(sets, "class").repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cells(self.percent), "a long, b long")
+
+    def link_rest(self, met: DataFrame) -> None:
+        """Adds all links among classes with different labels."""
+        sizes = met.groupBy("gram").agg(F.count("*").alias("c"), F.sum("n").alias("grams")).filter(F.col("c") > CROWD)
+        blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int")
+        sizes = self.stage.put(sizes.select("gram", blocks.alias("blocks")))
+        near = self.rest(met.join(sizes, "gram", "left_anti"))
+        self.link(near, self.stage.put(self.crowded(met, sizes)))
+
+    def link(self, pairs: DataFrame, linked: DataFrame | None = None) -> None:
+        """Adds the links among some pairs, and known ones; ``roots`` has the least class that each linked one reaches."""
         found = self.stage.put(self.verified(self.stage.put(pairs)))
+        if linked is not None:
+            found = found.union(linked)
         if self.roots is not None:
             found = found.union(self.roots.select("node", "root"))
         self.roots = self.stage.put(components(found, self.stage))
 
     def link_all(self) -> None:
         self.link(self.leaders(self.met.withColumn("label", F.col("class")), 0))
+        before = None
         for turn in range(1, ROUNDS):
             met = self.labelled()
             rows, pairs = self.unpaired(met)
-            if pairs <= FEW * rows:
+            if pairs <= FEW * rows or (before is not None and pairs > before / 2):
                 break
+            before = pairs
             self.link(self.leaders(met, turn))
         else:
             met = self.labelled()
             pairs = self.unpaired(met)[1]
         if pairs:
-            self.link(self.rest(met))
+            self.link_rest(met)
 
     def run(self) -> DataFrame:
         self.sign()
