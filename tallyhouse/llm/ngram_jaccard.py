@@ -41,7 +41,7 @@ FRAGMENT_BITS = 3
 #: Rounds of leaders before the rest is paired, and the pairs per kept n-gram that count as few.
 ROUNDS, FEW = 3, 2
 #: Classes that a kept n-gram may have before its pairs are counted in cells; classes and n-grams of a block, about.
-CROWD, BLOCK, BLOCK_GRAMS = 16, 512, 1 << 20
+CROWD, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 20
 
 
 def _sets(chunk: W.Chunk, n_words: int) -> list[np.ndarray]:
@@ -245,8 +245,7 @@ class _Join:
         # How common a class's n-grams are: of a group of copies, the one with the fewest changes has most.
         met = met.withColumn("central", F.sum("times").over(Window.partitionBy("class")) / F.col("n"))
         met = met.filter("place > left_out").select("class", "n", "central", "gram").distinct()
-        kept = F.array_sort(F.collect_list("gram").over(Window.partitionBy("class")))
-        self.met = self.stage.put(met.withColumn("kept", kept))
+        self.met = self.stage.put(met)
         self.stage.drop(heads)
         wanted = self.met.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
         own = self.docs.join(wanted, "doc_id").mapInArrow(_fragments(self.n_words), "class long, part int, grams array<long>")
@@ -282,15 +281,16 @@ class _Join:
         return best.select("a", "na", "best.b", "best.nb")
 
     def rest(self, met: DataFrame) -> DataFrame:
-        """Pairs with different labels, each from the first kept n-gram that both have."""
-        a, b = (met.select("gram", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), F.col("kept").alias(f"k{x}")) for x in "ab")
+        """Pairs with different labels that meet in some n-gram."""
+        a, b = (met.select("gram", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
         b = b.withColumnRenamed("gram", "other")
-        first = F.array_min(F.array_intersect("ka", "kb")) == F.col("gram")
-        apart = (F.col("gram") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb") & first
-        return a.join(b, apart).select("a", "na", "b", "nb")
+        apart = (F.col("gram") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb")
+        return a.join(b, apart).select("a", "na", "b", "nb").distinct()
 
     def crowded(self, met: DataFrame, sizes: DataFrame) -> DataFrame:
-        """(a, b): a forest of the links among classes that first meet in n-grams with ``blocks`` blocks."""
+        """(a, b): a forest of the links among classes whose first common n-gram is one with ``blocks`` blocks."""
+        crowd = met.join(sizes, "gram").select("class").distinct()
+        kept = self.met.join(crowd, "class").groupBy("class").agg(F.array_sort(F.collect_list("gram")).alias("kept"))
         met = met.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
         met = met.withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         low, high = F.least("block", "facing"), F.greatest("block", "facing")
@@ -300,12 +300,11 @@ class _Join:
             "n",
             "label",
             "gram",
-            "kept",
             (low != high).alias("split"),
             F.when(F.col("block") == low, 0).otherwise(1).alias("side"),
         )
-        sets = self.fragments.join(placed.select("class").distinct(), "class", "left_semi")
-        sets = sets.groupBy("class").agg(F.collect_list(F.struct("part", "grams")).alias("parts"))
+        sets = self.fragments.join(crowd, "class").groupBy("class").agg(F.collect_list(F.struct("part", "grams")).alias("parts"))
+        sets = self.stage.put(sets.join(kept, "class"))
         spark = met.sparkSession
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         return placed.join(sets, "class").repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cells(self.percent), "a long, b long")

@@ -85,7 +85,13 @@ def test_near_duplicates(docs):
     assert ordered(got) == ordered(components(rows))
 
 
-def test_a_group_of_copies_changed_in_many_places(docs):
+@pytest.mark.parametrize("crowd, block", [(64, 512), (1, 8), (1, 64)])
+def test_a_group_of_copies_changed_in_many_places(docs, monkeypatch, crowd, block):
+    """Also where pairs are counted in cells, of one block and of several."""
+    monkeypatch.setattr(ngram_jaccard, "CROWD", crowd)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    if crowd == 1:
+        monkeypatch.setattr(ngram_jaccard, "ROUNDS", 1)
     base, rows = prose("base", 130), []
     for i in range(40):
         own = list(base)
