@@ -5,11 +5,15 @@ three lengths, so words made from a known stem are known. Filters of several
 widths run over the words of a text; the strongest answer of each filter
 anywhere in the text (max pooling) goes into a logistic unit. Trained in numpy
 on a sample of labelled rows (bounds below); every text is scored whole. A
-score depends on the text alone. Thresholds are then set for each language.
+score depends on the text alone. Thresholds are then set for each language, from
+histograms of the scores of all labelled rows that the model hasn't learnt from.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +33,8 @@ BEGINNINGS = (3, 4, 5)
 PASSES, RATE, SHARE = 5, 0.05, 5
 #: The threshold of a language with fewer toxic rows to set one by.
 THRESHOLD, ENOUGH = 0.3, 8
+#: Bins of a histogram for each unit of the logit, and parts of the sample where a language needs its rows too.
+BINS, PARTS = 32, 4
 
 _LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _WORD = np.arange(256, dtype=W.U)
@@ -153,21 +159,25 @@ def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in W.chunks(_column(batch, "text")):
             buckets, which, first = word_buckets(chunk)
             texts = [buckets[which[a:b]].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            kept = [_column(batch, c).slice(chunk.rows.start, len(texts)) for c in ("place", "lang", "toxic")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary())], ["place", "lang", "toxic", "buckets"])
+            kept = [_column(batch, c).slice(chunk.rows.start, len(texts)) for c in ("place", "doc_id", "lang", "toxic")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary())], ["place", "doc_id", "lang", "toxic", "buckets"])
 
 
 def _fold(column: str, folds: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def _sample(docs: DataFrame, labels: DataFrame, held_out_fold: int, folds: int) -> list[tuple[str, int, np.ndarray]]:
-    """Rows of (lang, toxic, buckets), as many as the bounds allow, in hash order."""
+def _known(labels: DataFrame, held_out_fold: int, folds: int) -> DataFrame:
+    """(doc_id, toxic) of the training folds, a row per document."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(_fold("doc_id", folds) != held_out_fold)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def _sample(docs: DataFrame, known: DataFrame) -> list[tuple[int, str, int, np.ndarray]]:
+    """Rows of (doc_id, lang, toxic, buckets), as many as the bounds allow, in hash order."""
     chosen = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").dropna(subset=["doc_id"]).join(F.broadcast(chosen), "doc_id")
-    made = rows.mapInArrow(_to_buckets, "place long, lang string, toxic int, buckets binary")
+    made = rows.mapInArrow(_to_buckets, "place long, doc_id long, lang string, toxic int, buckets binary")
     width, out, words = len(BEGINNINGS) + 1, [], 0
     size = (F.octet_length("buckets") / (4 * width)).cast("long")
     # Rows go to the driver up to the bound on words; a single text beyond it is left out of the sample.
@@ -176,35 +186,73 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out_fold: int, folds: int)
         words += len(own)
         if words > WORDS:
             break
-        out.append((row["lang"], int(row["toxic"]), own))
+        out.append((row["doc_id"], str(row["lang"]), int(row["toxic"]), own))
     return out
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the cut with the greatest F1; THRESHOLD where there is too little to tell."""
-    if labels.sum() < ENOUGH:
+def histograms(docs: DataFrame, known: DataFrame, learnt: list[int], shared) -> dict[str, dict[int, list[float]]]:
+    """Of each language: by bin of the score, [toxic rows, rows, least score, greatest score], of rows not learnt from.
+
+    Texts are scored where they lie; only ids and scores meet the labels. What
+    comes to the driver is bounded by the bins of each language.
+    """
+    own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text", "lang")
+    shape = StructType([own.schema["row"], own.schema["lang"], StructField("score", DoubleType())])
+    found = own.filter("row.doc_id is not null").mapInArrow(_run(shared, "score"), shape).select("row.doc_id", "lang", "score")
+    seen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(learnt))], "doc_id long")
+    rest = found.join(known.join(F.broadcast(seen), "doc_id", "left_anti"), "doc_id")
+    logit = F.log(F.col("score") / (1 - F.col("score")))
+    counts = rest.groupBy(F.coalesce("lang", F.lit("None")).alias("lang"), F.floor(F.coalesce(logit, F.lit(40.0)) * BINS).alias("bin"))
+    out: dict[str, dict[int, list[float]]] = {}
+    for r in counts.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect():
+        out.setdefault(r["lang"], {})[r["bin"]] = [r["toxic"], r["n"], r["low"], r["high"]]
+    return out
+
+
+def _add(bins: dict[int, list[float]], score: float, toxic: int) -> None:
+    k = math.floor(math.log(score / (1 - score)) * BINS) if score < 1 else 40 * BINS
+    own = bins.setdefault(k, [0, 0, score, score])
+    bins[k] = [own[0] + toxic, own[1] + 1, min(own[2], score), max(own[3], score)]
+
+
+def threshold_of(bins: dict[int, list[float]]) -> float:
+    """The middle of the cut between bins with the greatest F1; THRESHOLD where there is too little to tell."""
+    if sum(b[0] for b in bins.values()) < ENOUGH:
         return THRESHOLD
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    f1[:-1][scores[order][1:] == scores[order][:-1]] = 0
-    k = int(f1.argmax())
-    low = scores[order][k + 1] if k + 1 < len(order) else 0.0
-    return float((scores[order][k] + low) / 2)
+    toxic, n, least, greatest = np.array([bins[k] for k in sorted(bins, reverse=True)]).T
+    k = int((2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())).argmax())
+    return float((least[k] + (greatest[k + 1] if k + 1 < len(n) else 0.0)) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4) -> tuple[Model, dict[str, float]]:
-    """The model, and the threshold of each language, set on a part of the sample that the first fit hasn't seen."""
+    """The model, learnt from four fifths of the sample, and the threshold of each language, set on all other labelled rows.
+
+    A language that has too few toxic rows there, but enough with those of the
+    sample, gets these too, each scored by a model that hasn't learnt from it.
+    """
     ship(docs.sparkSession)
-    sample = _sample(docs, labels, held_out_fold, folds)
-    truth = np.array([t for _, t, _ in sample], dtype=np.float64)
-    texts = [x for _, _, x in sample]
-    aside = np.arange(len(sample)) % SHARE == 0
-    trial = train([x for x, a in zip(texts, aside, strict=True) if not a], truth[~aside])
-    scores = np.array([_one(trial, x) for x, a in zip(texts, aside, strict=True) if a])
-    langs = np.array([str(lang) for lang, _, _ in sample], dtype=object)[aside]
-    limits = {lang: best_threshold(scores[langs == lang], truth[aside][langs == lang]) for lang in sorted(set(langs))}
-    return trial, limits
+    known = _known(labels, held_out_fold, folds)
+    rows = [x for i, x in enumerate(_sample(docs, known)) if i % SHARE]
+    truth = np.array([t for _, _, t, _ in rows], dtype=np.float64)
+    texts = [x for *_, x in rows]
+    trial = train(texts, truth)
+    shared = docs.sparkSession.sparkContext.broadcast(trial)
+    bins = histograms(docs.filter(_fold("doc_id", folds) != held_out_fold), known, [i for i, *_ in rows], shared)
+    toxic = Counter()
+    for lang, own in bins.items():
+        toxic[lang] += sum(b[0] for b in own.values())
+    more = Counter(toxic)
+    for _, lang, t, _ in rows:
+        more[lang] += t
+    short = {lang for lang, n in more.items() if n >= ENOUGH > toxic[lang]}
+    # Copies of a document fall in one part.
+    part = np.array([zlib.crc32(str(i).encode()) % PARTS for i, *_ in rows], dtype=np.int64)
+    for k in range(PARTS if short else 0):
+        model = train([x for x, p in zip(texts, part, strict=True) if p != k], truth[part != k])
+        for (_, lang, t, x), p in zip(rows, part, strict=True):
+            if p == k and lang in short:
+                _add(bins.setdefault(lang, {}), _one(model, x), t)
+    return trial, {lang: threshold_of(own) for lang, own in sorted(bins.items())}
 
 
 def _one(model: Model, own: np.ndarray) -> float:
@@ -213,13 +261,13 @@ def _one(model: Model, own: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
-def _run(shared):
+def _run(shared, name: str = "toxicity"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             scores = [model.scores(chunk) for chunk in W.chunks(_column(batch, "text"))]
             made = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([_column(batch, "row"), _column(batch, "lang"), made], ["row", "lang", "toxicity"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "row"), _column(batch, "lang"), made], ["row", "lang", name])
 
     return run
 

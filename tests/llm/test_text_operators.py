@@ -235,3 +235,38 @@ def test_digest_of_kept_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.queries()["op1_substring_dedup"](spark, str(tmp_path)).collect()
     assert ordered(got) == ordered((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in cut(rows, 50))
+
+
+def test_thresholds_from_all_labels(spark, monkeypatch):
+    """Toxic rows of a language that the sample leaves out, or learns from, set its threshold."""
+    rows, labels = [], []
+    for i in range(400):
+        own = prose(i, 60)
+        if i % 4 == 0:
+            own[i % 60] = f"vequ{i}"
+        rows.append((i, " ".join(own), "rare" if i % 20 < 2 else "often"))
+        labels.append((i, int(i % 4 == 0)))
+    texts, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for most in (60, 6000):
+        monkeypatch.setattr(toxicity, "ROWS", most)
+        limits = toxicity.fit(texts, known)[1]
+        assert set(limits) == {"rare", "often"} and toxicity.THRESHOLD not in limits.values()
+
+
+def test_threshold_of_bins():
+    import random
+
+    rng = random.Random(3)
+    scores, labels, bins = [], [], {}
+    for _ in range(300):
+        toxic = rng.random() < 0.2
+        scores.append(rng.choice([0.05, 0.2, 0.4, 0.6, 0.9] if toxic else [0.05, 0.1, 0.2, 0.4, 1.0]))
+        labels.append(int(toxic))
+        toxicity._add(bins, scores[-1], labels[-1])
+    limit = toxicity.threshold_of(bins)
+
+    def f1(at):
+        return 2 * sum(t for x, t in zip(scores, labels, strict=True) if x >= at) / (sum(x >= at for x in scores) + sum(labels))
+
+    assert f1(limit) == max(map(f1, scores)) and limit not in scores
+    assert toxicity.threshold_of({0: [toxicity.ENOUGH - 1, 50, 0.5, 0.5]}) == toxicity.THRESHOLD
