@@ -154,14 +154,16 @@ class Index:
         for s, b in keys[:, new[size >= self.bound[keys[0, new]]]].T.tolist():
             item, text = self.segments[s]
             k, width = int(self.budget[s]), int(self.half[s])
-            low = max(0, b * width - k)
+            low = b * width - k
             high = b * width + 2 * width + len(text) + k
-            found = align(text, data[low:high], max(k, 0)) if k else None
+            # Bytes that match nothing (plain texts have none) stand for what lies before the text.
+            near = b"\0" * -low + data[max(0, low) : max(0, high)]
+            found = align(text, near, k) if k else None
             if not k:
-                spot = data.find(text, low, high)
-                found = (0, spot - low, spot - low + len(text)) if spot >= 0 else None
+                spot = near.find(text)
+                found = (0, spot, spot + len(text)) if spot >= 0 else None
             if found:
-                yield item, low + found[1], low + found[2], found[0]
+                yield item, max(0, low + found[1]), max(0, low + found[2]), found[0]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:

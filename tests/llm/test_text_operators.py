@@ -270,3 +270,31 @@ def test_threshold_of_bins():
 
     assert f1(limit) == max(map(f1, scores)) and limit not in scores
     assert toxicity.threshold_of({0: [toxicity.ENOUGH - 1, 50, 0.5, 0.5]}) == toxicity.THRESHOLD
+
+
+def least_edits(segment, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(segment):
+        new = [i + 1]
+        for j, b in enumerate(text):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_passages_at_either_end_of_a_text():
+    """Items of one segment that lack letters, or have others, where the text begins or ends."""
+    import random
+
+    rng = random.Random(11)
+    for n in range(300):
+        made = [bytes(rng.choice(b"abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+        item = b" ".join(made[:25])[: rng.randrange(40, 97)].strip()
+        own, k = bytearray(item), decontaminate.edit_budget(len(item))
+        at, gone = rng.randrange(len(own) - k), rng.randrange(1, k + 1)
+        own[at : at + gone] = bytes(rng.choice(b"qxz") for _ in range(rng.choice([0, 0, gone])))
+        parts = [bytes(own), *made[25:]] if n % 2 else [*made[25:], bytes(own)]
+        text = decontaminate.plain(b" ".join(parts).decode())
+        found = [x[3] for x in decontaminate.Index([(1, item.decode())]).regions(text)]
+        want = least_edits(item, text)
+        assert (min(found) if found else None) == (want if want <= k else None), (n, item, text)
