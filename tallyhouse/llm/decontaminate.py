@@ -2,7 +2,8 @@
 
 Texts are compared as lower-case words joined by one space. Benchmark items are
 cut into overlapping segments of ``SEGMENT`` letters (a shorter item is one
-segment); a segment of m letters may have ``m // 12`` edits, k. By the q-gram
+segment), and of ``FINE`` letters every ``FINE_STEP``, so each exact excerpt of
+``FINE + FINE_STEP - 1`` letters holds a whole one; a segment of m letters may have ``m // 12`` edits, k. By the q-gram
 lemma a region within k edits shares at least ``m + 1 - (k + 1) q`` q-grams with
 it, on diagonals that differ by k at most. So shared q-grams are counted per
 segment in diagonal bands of twice that width, each overlapping the next by
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from tallyhouse.llm import words as W
 from tallyhouse.llm.staging import ship
 
-Q, SEGMENT, STEP = 8, 96, 48
+Q, SEGMENT, STEP, FINE, FINE_STEP = 8, 96, 48, 64, 8
 #: Items of a block, and letters of one.
 BLOCK_ITEMS, BLOCK_LETTERS = 4096, 1 << 21
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 _TABLE_BITS = 22
+#: Keeps a band's number above zero: bands begin before the text by an item's letters at most.
+_FAR = 1 << 35
 
 
 def plain(text: str | None) -> bytes:
@@ -84,29 +87,49 @@ def align(segment: bytes, text: bytes, budget: int) -> tuple[int, int, int] | No
 
 
 class Index:
-    """Segments of some items, and where each q-gram stands in them."""
+    """Segments of some items, and where each q-gram stands in the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.segments: list[tuple[int, bytes]] = []
+        self.segments: list[tuple[int, bytes, bool]] = []
+        parts, places, starts, spans, owner = [], [], [], [], []
         for item, text in items:
             own = plain(text)
-            if len(own) >= Q:
-                last = max(0, len(own) - SEGMENT)
-                self.segments += [(item, own[a : a + SEGMENT]) for a in [*range(0, last, STEP), last]]
-        parts = [grams(np.frombuffer(s, dtype=np.uint8)) for _, s in self.segments]
+            if len(own) < Q:
+                continue
+            parts.append(grams(np.frombuffer(own, dtype=np.uint8)))
+            at = np.arange(len(parts[-1]))
+            span = []
+            for size, step, fine in ((SEGMENT, STEP, False), (FINE, FINE_STEP, True)):
+                last = max(0, len(own) - size)
+                begin = np.array([*range(0, last, step), last] if last or not fine else [], dtype=np.int64)
+                # The segments that hold the q-gram: the first of them, and how many.
+                low = np.searchsorted(begin, at + Q - min(size, len(own)))
+                span += [low + len(self.segments), np.searchsorted(begin, at, "right") - low]
+                self.segments += [(item, own[a : a + size], fine) for a in begin.tolist()]
+                starts.append(begin)
+            owner.append(len(owner))
+            places.append(at)
+            spans.append(np.array(span, dtype=np.int32))
         values = np.concatenate(parts) if parts else np.zeros(0, dtype=W.U)
-        segment = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        offset = np.concatenate([np.arange(len(p)) for p in parts]) if parts else segment
         order = np.argsort(values, kind="stable")
-        values, self.segment, self.offset = values[order], segment[order], offset[order]
+        values = values[order]
+        if parts:
+            self.place, self.start = np.concatenate(places).astype(np.int32)[order], np.concatenate(starts)
+            self.span = np.concatenate(spans, axis=1)[:, order]
+            self.owner = np.repeat(owner, [len(p) for p in parts])[order]
         self.values, self.first = np.unique(values, return_index=True)
         self.count = np.diff(np.append(self.first, len(values)))
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[_slot(self.values)] = True
-        sizes = np.array([len(s) for _, s in self.segments], dtype=np.int64)
+        sizes = np.array([len(s) for _, s, _ in self.segments], dtype=np.int64)
         self.budget = np.array([edit_budget(int(m)) for m in sizes], dtype=np.int64)
         self.bound = sizes + 1 - (self.budget + 1) * Q
         self.half = np.maximum(1, self.budget)
+        # Of each item: the q-grams that its least demanding segment must share.
+        self.least = np.full(len(parts), 1 << 30)
+        if parts:
+            held = np.repeat(owner, [len(s[0]) + len(s[1]) for s in zip(starts[::2], starts[1::2], strict=True)])
+            np.minimum.at(self.least, held, self.bound)
         # For the first look: per kind of segment the width of a region and the q-grams it must share.
         kinds: dict[int, int] = {}
         for m, k, need in zip(sizes, self.budget, self.bound, strict=True):
@@ -125,8 +148,21 @@ class Index:
             np.add.at(near, last[begin], -1)
         return hit & (np.cumsum(near)[:-1] > 0)
 
-    def regions(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, stop, edits) in a plain text."""
+    def passages(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """(item, start, stop, edits) in a plain text; of a fine segment only where no other of the item lies."""
+        best: dict[tuple[int, int, bool], tuple[int, int, int, int]] = {}
+        for *x, fine in self.regions(data):
+            key = (x[0], x[1], fine)
+            best[key] = min(best.get(key, tuple(x)), tuple(x), key=lambda y: y[3])
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for (item, start, fine), x in sorted(best.items(), key=lambda y: (y[0][2], y[1][3], y[1])):
+            own = out.setdefault(item, [])
+            if not fine or all(x[2] <= y[1] or y[2] <= start for y in own):
+                own.append(x)
+        return sorted(x for own in out.values() for x in own)
+
+    def regions(self, data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
+        """(item, start, stop, edits, whether of a fine segment) in a plain text."""
         values = grams(np.frombuffer(data, dtype=np.uint8))
         if not len(values) or not len(self.values):
             return
@@ -142,17 +178,26 @@ class Index:
         place = np.searchsorted(self.values, values[at])
         many = self.count[place]
         entry = np.repeat(self.first[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        segment, diagonal = self.segment[entry], np.repeat(at, many) - self.offset[entry]
+        begun = np.repeat(at, many) - self.place[entry]  # where the item would begin
+        # A segment's shared q-grams lie on half + 1 neighbouring diagonals of its item, so in two neighbouring bands.
+        line, which, n = np.unique((self.owner[entry] << 36) + begun // self.half.max() + _FAR, return_inverse=True, return_counts=True)
+        beside = np.diff(line) == 1
+        near = n + np.maximum(np.append(n[1:] * beside, 0), np.insert(n[:-1] * beside, 0, 0))
+        kept = near[which] >= self.least[self.owner[entry]]
+        entry, begun, found = entry[kept], begun[kept], []
+        for low, n in ((self.span[0][entry], self.span[1][entry]), (self.span[2][entry], self.span[3][entry])):
+            one = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append((one, np.repeat(begun, n) + self.start[one]))
+        segment, diagonal = (np.concatenate(x) for x in zip(*found, strict=True))
         half = self.half[segment]
         band = diagonal // half
         # A band and the one before it, so that any half + 1 neighbouring diagonals share one.
-        keys = np.stack([np.concatenate([segment, segment]), np.concatenate([band, band - 1])])
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(keys, axis=1) != 0).any(axis=0)]))
-        size = np.diff(np.append(new, keys.shape[1]))
-        for s, b in keys[:, new[size >= self.bound[keys[0, new]]]].T.tolist():
-            item, text = self.segments[s]
+        line = (segment << 36) + band + _FAR
+        line, size = np.unique(np.concatenate([line, line - 1]), return_counts=True)
+        segment, band = line >> 36, (line & ((1 << 36) - 1)) - _FAR
+        enough = size >= self.bound[segment]
+        for s, b in zip(segment[enough].tolist(), band[enough].tolist(), strict=True):
+            item, text, fine = self.segments[s]
             k, width = int(self.budget[s]), int(self.half[s])
             low = b * width - k
             high = b * width + 2 * width + len(text) + k
@@ -163,7 +208,7 @@ class Index:
                 spot = near.find(text)
                 found = (0, spot, spot + len(text)) if spot >= 0 else None
             if found:
-                yield item, max(0, low + found[1]), max(0, low + found[2]), found[0]
+                yield item, max(0, low + found[1]), max(0, low + found[2]), found[0], fine
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -179,10 +224,7 @@ def _search(items: list[tuple[int, str]]):
                 part = batch.slice(low, 512)
                 found = []
                 for text, before in zip(_column(part, "text"), _column(part, "regions"), strict=True):
-                    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-                    for x in index.regions(plain(text.as_py())):
-                        best[x[:2]] = min(best.get(x[:2], x), x, key=lambda y: y[3])
-                    own = [dict(zip(("item_id", "start", "stop", "edits"), x, strict=True)) for x in sorted(best.values())]
+                    own = [dict(zip(("item_id", "start", "stop", "edits"), x, strict=True)) for x in index.passages(plain(text.as_py()))]
                     found.append((before.as_py() or []) + own)
                 yield pa.RecordBatch.from_arrays([_column(part, "doc_id"), _column(part, "text"), pa.array(found, kind)], ["doc_id", "text", "regions"])
 
@@ -206,7 +248,8 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, regions), a row per row.
 
     ``regions`` lists (item_id, start, stop, edits), positions in bytes of the
-    plain text; a region may be found by several segments of an item. Null and
+    plain text; a region may be found by several segments of an item. Each exact
+    excerpt of 71 letters (bytes of the plain text) of an item is found. Null and
     empty texts have none; items that are null or have fewer than 8 letters
     are not looked for. Any doc_id, null or repeated, is passed on. Other
     columns are not read. An empty benchmark finds nothing.

@@ -295,6 +295,21 @@ def test_passages_at_either_end_of_a_text():
         own[at : at + gone] = bytes(rng.choice(b"qxz") for _ in range(rng.choice([0, 0, gone])))
         parts = [bytes(own), *made[25:]] if n % 2 else [*made[25:], bytes(own)]
         text = decontaminate.plain(b" ".join(parts).decode())
-        found = [x[3] for x in decontaminate.Index([(1, item.decode())]).regions(text)]
+        found = [edits for *_, edits, fine in decontaminate.Index([(1, item.decode())]).regions(text) if not fine]
         want = least_edits(item, text)
         assert (min(found) if found else None) == (want if want <= k else None), (n, item, text)
+
+
+def test_excerpts_at_every_offset():
+    size = decontaminate.FINE + decontaminate.FINE_STEP - 1
+    item = decontaminate.plain(" ".join(prose("long", 60)))
+    before, after = (decontaminate.plain(" ".join(prose(x, 30))) for x in ("before", "after"))
+    for own in (item, item[:200], item[: size + 9]):
+        index = decontaminate.Index([(1, " ".join(prose("another", 60))), (7, own.decode(errors="ignore"))])
+        own = decontaminate.plain(own.decode(errors="ignore"))
+        for at in range(len(own) - size + 1):
+            text = before + b" " + own[at : at + size] + b" " + after
+            found = index.passages(text)
+            assert found and all(x[0] == 7 and x[1] < len(before) + 1 + size and x[2] > len(before) for x in found), at
+            assert index.passages(own[at : at + size]), at
+    assert not index.passages(before + b" " + after)
