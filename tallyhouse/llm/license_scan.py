@@ -70,8 +70,18 @@ class Notice:
 
     def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
         for a, b in self.places(text):
-            for m in self.pattern.finditer(text, a, min(b, len(text))):
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
+            yield from self._within(text, a, min(b, len(text)))
+
+    def _within(self, text: bytes, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """The best match of a stretch, and likewise those before and after it, in order."""
+        stretches, found = [(a, b)], []
+        while stretches:
+            a, b = stretches.pop()
+            m = self.pattern.search(text, a, b) if b - a >= len(self.text) - self.edits else None
+            if m:
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                stretches += [(a, m.start()), (m.end(), b)]
+        yield from sorted(found)
 
 
 def _exact(text: bytes, phrase: bytes) -> Iterator[int]:

@@ -313,3 +313,15 @@ def test_excerpts_at_every_offset():
             assert found and all(x[0] == 7 and x[1] < len(before) + 1 + size and x[2] > len(before) for x in found), at
             assert index.passages(own[at : at + size]), at
     assert not index.passages(before + b" " + after)
+
+
+def test_edited_notices_beside_exact_ones():
+    for text in license_scan.NOTICES:
+        notice = license_scan.Notice(text, "x")
+        own = text.encode()
+        edited = own.replace(b"e", b"x", 1)
+        for parts in ([edited, own], [own, edited], [edited, own, edited], [edited, edited, own, own, edited]):
+            whole = b" " + b" ".join(parts) + b" "
+            found = list(notice.matches(whole))
+            assert [e for *_, e in found] == [int(p == edited) for p in parts], parts
+            assert all(y[0] >= x[1] for x, y in zip(found, found[1:], strict=False))
