@@ -210,6 +210,12 @@ def metric_name_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("count"))
 
 
+def metric_quartiles(rows: DataFrame) -> DataFrame:
+    """Exact quartiles of the values, between two values in proportion. Tasks
+    hold distinct values with their counts."""
+    return rows.agg(*[F.percentile("value", F.lit(p / 4)).alias(f"q{p}") for p in (1, 2, 3)])
+
+
 def metric_summary(rows: DataFrame) -> DataFrame:
     """Count, missing, mean, spread and extremes of the values. The quartiles
     are approximate (relative rank error 1e-4), so no task holds all values."""

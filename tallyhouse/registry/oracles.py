@@ -524,6 +524,10 @@ from clean where event_type = 'item_sold' and sent_at is not null group by 1, 2"
         + """
 select count(v) as count, count(*) filter (where v is null) as null_count, avg(v) as mean,
   round(stddev_samp(v), 6) as std, min(v) as min, max(v) as max
+from (select cast(total_transfers as double) as v from g)""",
+        "metric_quartiles": _with(EVENTS, global_sums("1 hour"))
+        + """
+select quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as q2, quantile_cont(v, 0.75) as q3
 from (select cast(total_transfers as double) as v from g)""",
         "stream_global_1h": global_windowed("1 hour"),
         "stream_collections_1h": stream_collections("1 hour"),

@@ -282,6 +282,11 @@ def _display(clean: DataFrame) -> DataFrame:
     )
 
 
+def _quartiles(clean: DataFrame) -> DataFrame:
+    rows = _metric(fam.global_metrics(clean, "1 hour"), "total_transfers", "1 hour")
+    return explore.metric_quartiles(rows)
+
+
 def _summary(clean: DataFrame) -> DataFrame:
     rows = _metric(fam.global_metrics(clean, "1 hour"), "total_transfers", "1 hour")
     return explore.metric_summary(rows).drop("quartiles").withColumn("std", F.round("std", 6))
@@ -347,6 +352,7 @@ def queries() -> dict[str, Query]:
         "metric_value_counts": _on_events(lambda c: explore.metric_value_counts(fam.global_metrics(c, "1 hour"), 2000)),
         "metric_name_counts": _on_events(lambda c: explore.metric_name_counts(fam.global_feed(c, "1 hour"))),
         "metric_summary": _on_events(_summary),
+        "metric_quartiles": _on_events(_quartiles),
         # streams
         "stream_global_1h": stream_global_1h,
         "stream_collections_1h": stream_collections_1h,

@@ -70,6 +70,11 @@ def test_summary_of_values(spark):
     assert row["quartiles"] == [1.0, 2.0, 3.0]
 
 
+def test_quartiles_of_values(spark):
+    rows = spark.createDataFrame([(float(i),) for i in range(1, 5)] + [(None,)], "value double")
+    assert tuple(explore.metric_quartiles(rows).first()) == (1.75, 2.5, 3.25)
+
+
 def test_archive_files_roll_by_size(spark, tmp_path):
     rows = spark.createDataFrame([("{}", datetime(2024, 1, 1))] * 10, "value string, timestamp timestamp")
     write_archive(rows.coalesce(1), str(tmp_path / "a"), max_records_per_file=4)
