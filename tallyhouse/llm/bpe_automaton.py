@@ -51,7 +51,7 @@ def _plain_signs() -> tuple[str, str, str]:
 END = "\0"
 
 _SIGNS, _LETTERS, _NUMBERS = _plain_signs()
-_PLAIN = re.compile(f"[{_SIGNS}]*")
+PLAIN = re.compile(f"[{_SIGNS}]*")
 # The split pattern of the vocabulary's pre-tokenizer, over plain signs.
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
@@ -174,7 +174,7 @@ class Automaton:
 
     def split(self, text: str) -> list[str]:
         """Pre-split words of a text without special tokens, in byte signs."""
-        if _PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text):
             return self._plain_split(text)
         normal = self.library.normalizer.normalize_str(text)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
@@ -193,7 +193,7 @@ class Automaton:
         No word spans white space, so in a text of plain signs each stretch
         between white space stands for itself and is looked up whole.
         """
-        if _PLAIN.fullmatch(text) and not (self.cut and self.cut.search(text)):
+        if PLAIN.fullmatch(text) and not (self.cut and self.cut.search(text)):
             stretches = self.stretches
             return self._joined([stretches[w] for w in text.split()])
         ids = self.encode(text)

@@ -6,6 +6,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')"
 
+_TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 _ORACLES = {
     "op1_substring_dedup": f"""
 with docs as (select doc_id, {_WORDS.format("coalesce(text, '')")} as words from documents),
@@ -46,6 +48,18 @@ texts as (select conv_id, count(*)::bigint as n_turns,
           from turns group by conv_id)
 select conv_id, n_turns, sha256(whole) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars
 from texts""",
+    "op12_block_search": f"""
+with docs as (select doc_id, {_TERMS.format(_LOWER)} as terms from documents),
+whole as (select count(*) filter (where len(terms) > 0) as n_docs, sum(len(terms))::bigint as n_terms from docs),
+sizes as (select doc_id, 100 - 90 + (90 * len(terms)::bigint * n_docs) // n_terms as m from docs, whole where len(terms) > 0),
+postings as (select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(terms) as term from docs) group by all),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w
+            from (select term, count(*) as df from postings group by term), whole),
+items as (select distinct item_id, unnest({_TERMS.format(_LOWER)}) as term from benchmark),
+scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+           from items join postings using (term) join weights using (term) join sizes using (doc_id) group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10""",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe_automaton, chat_format, decontaminate, embedding_dedup, license_scan, maxent_lm, ngram_jaccard, substring_dedup, token_alignment, toxicity, warc
+from tallyhouse.llm import block_search, bpe_automaton, chat_format, decontaminate, embedding_dedup, license_scan, maxent_lm, ngram_jaccard, pii_crf, substring_dedup, token_alignment, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(chat_format.rows_to_records(rows.union(control))))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digests(pii_crf.personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
@@ -89,5 +97,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_substring_dedup, op2_ngram_jaccard, op3_warc_derivatives, op4_license_scan, op5_bpe, op6_embedding_dedup, op7_lm_score, op8_decontaminate, op9_toxicity, op10_chat_format, op13_token_alignment, pipeline]
+    own = [op1_substring_dedup, op2_ngram_jaccard, op3_warc_derivatives, op4_license_scan, op5_bpe, op6_embedding_dedup, op7_lm_score, op8_decontaminate, op9_toxicity, op10_chat_format, op11_personal_data, op12_block_search, op13_token_alignment, pipeline]
     return {f.__name__: f for f in own}

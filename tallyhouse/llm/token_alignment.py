@@ -6,6 +6,12 @@ key of its document and its offset at once. ``pandas.merge_asof`` finds for each
 token's start the other side's token that covers it; both directions together
 are all overlapping pairs. Where tokens of both sides end, a group ends.
 
+Encoding: neither side's tokens cross the start of a run of spaces (the split
+pattern of one side cuts there; no piece of the other holds a space behind
+another sign). So a worker keeps stretches (spaces and what follows) with their
+ids, and texts of plain signs are put together from these. The libraries encode
+new stretches, many at a time, and all other texts whole.
+
 Counts over the corpus: each task sums the documents of each pair of ids before
 the shuffle. The most frequent pairs (``HEAD`` at most, cut at a count read
 from a histogram) go out to the tasks; the others meet their counts in a join.
@@ -14,7 +20,9 @@ from a histogram) go out to the tasks; the others meet their counts in a join.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,63 +32,152 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import words as W
-from tallyhouse.llm.bpe_automaton import byte_signs
+from tallyhouse.llm.bpe_automaton import PLAIN, byte_signs
 from tallyhouse.llm.staging import Stage
+from tallyhouse.session import conf
 
 #: Pairs whose counts go out to the tasks, at most.
 HEAD = 1 << 17
 #: Tokens (both sides) aligned at once, unless one text has more; pairs a task keeps before it passes them on.
-SLICE, HELD = 1 << 20, 1 << 21
+SLICE, HELD = 1 << 19, 1 << 20
 #: A histogram step is a factor of 2 ** (1 / STEPS).
 STEPS = 16
-
-_LOADED: dict[int, tuple] = {}
-
-
-def vocabularies(files: tuple[str, bytes]):
-    """(tokenizer a, bytes of its ids, tokenizer b, bytes of its ids), loaded once per Python worker."""
-    key = hash(files)
-    if key not in _LOADED:
+NONE = np.zeros(0, np.int32)
+#: Ids take more room than texts: rows that go to a worker at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_DIGITS: list[np.ndarray] = [NONE, NONE]
+
+#: Stretches that a worker keeps per generation, and the letters of one that it keeps at most; letters encoded at once.
+KEPT, KEPT_LETTERS, AT_ONCE = 1 << 17, 48, 1 << 15
+
+_STRETCH = re.compile(" +[^ ]*")
+#: Other white space before two spaces: the first side's pattern has them in one piece.
+_MIXED = re.compile("[\t\n\r]  ")
+_LOADED: dict[int, Encoder] = {}
+
+
+class Side:
+    """One tokenizer: a text with a space in front to ids."""
+
+    def __init__(self, encode, spelled: list[bytes]):
+        self.encode, self.spelled = encode, spelled
+        self.length = np.array([len(x) for x in spelled], np.int64)
+
+    def ids(self, text: str) -> np.ndarray | None:
+        """None if the tokens don't spell the text."""
+        ids = self.encode(text)
+        spells = b"".join([self.spelled[i] for i in ids]) == text.encode()
+        return np.array(ids, np.int32) if spells else None
+
+    def pieces(self, stretches: list[str]) -> list[bytes | None]:
+        """The ids of each, as bytes, from one call for all."""
+        ids = self.ids("".join(stretches))
+        ends = np.cumsum([len(x.encode()) for x in stretches])
+        if ids is not None:
+            stops = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+            if (np.cumsum(self.length[ids])[stops - 1] == ends).all():
+                data, stops = ids.tobytes(), [0, *(4 * stops).tolist()]
+                return [data[i:j] for i, j in zip(stops[:-1], stops[1:], strict=True)]
+        each = [self.ids(x) for x in stretches]
+        return [None if x is None else x.tobytes() for x in each]
+
+
+class Encoder:
+    """Both tokenizers, and the stretches met last with their ids of both sides."""
+
+    def __init__(self, definition: str, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        a = Tokenizer.from_str(files[0])
+        a = Tokenizer.from_str(definition)
         a.encode_special_tokens = True
         a.no_truncation()
         a.no_padding()
         value = {sign: byte for byte, sign in enumerate(byte_signs())}
-        bytes_a = [b""] * (max(a.get_vocab().values(), default=-1) + 1)
+        spelled = [b""] * (max(a.get_vocab().values(), default=-1) + 1)
         for sign, i in a.get_vocab().items():
-            bytes_a[i] = bytes(value[s] for s in sign) if all(s in value for s in sign) else b""
-        b = sentencepiece.SentencePieceProcessor(model_proto=files[1])
-        bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
+            spelled[i] = bytes(value[s] for s in sign) if all(s in value for s in sign) else b""
+        b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        batch = getattr(a, "encode_batch_fast", a.encode_batch)  # without offsets
+        self.sides = (
+            Side(lambda text: batch([text], add_special_tokens=False)[0].ids, spelled),
+            # The model adds the space itself.
+            Side(lambda text: list(b.encode(text[1:])), [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]),
+        )
+        split = json.loads(definition)["pre_tokenizer"] or {}
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.kept: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def known(self, needed: set[str]) -> dict[str, tuple]:
+        known, new = {}, []
+        for stretch in needed:
+            ids = self.kept.get(stretch)
+            if ids is None and (ids := self.old.get(stretch)) is not None:
+                self.kept[stretch] = ids
+            if ids is None:
+                new.append(stretch)
+            else:
+                known[stretch] = ids
+        first = 0
+        while first < len(new):
+            last, letters = first, 0
+            while last < len(new) and letters < AT_ONCE:
+                letters += len(new[last])
+                last += 1
+            part = new[first:last]
+            for stretch, ids in zip(part, zip(*(side.pieces(part) for side in self.sides), strict=True), strict=True):
+                known[stretch] = ids
+                if len(stretch) <= KEPT_LETTERS:
+                    self.kept[stretch] = ids
+            first = last
+        if len(self.kept) > KEPT:
+            self.old, self.kept = self.kept, {}
+        return known
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of each text (a space in front); none if either side's tokens don't spell it."""
+        split = [_STRETCH.findall(t) if self.cuts and PLAIN.fullmatch(t) and not _MIXED.search(t) else None for t in texts]
+        known = self.known({x for own in split if own for x in own})
+        out = []
+        for text, own in zip(texts, split, strict=True):
+            made = None
+            if len(text) == 1:
+                made = NONE, NONE
+            elif own is not None:
+                both = [known[x] for x in own]
+                try:
+                    made = tuple(np.frombuffer(b"".join([x[side] for x in both]), np.int32) for side in (0, 1))
+                except TypeError:  # some stretch isn't spelled by its own tokens
+                    made = None
+            if made is None:
+                made = tuple(side.ids(text) for side in self.sides)
+                made = (NONE, NONE) if made[0] is None or made[1] is None else made
+            out.append(made)
+        return out
+
+
+def encoder(files: tuple[str, bytes]) -> Encoder:
+    """Loaded once per Python worker."""
+    key = hash(files)
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = (a, bytes_a, b, bytes_b)
+        _LOADED[key] = Encoder(*files)
     return _LOADED[key]
 
 
-def _flat(lists: list) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in lists)])
-
-
 def _encode(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, bytes_a, b, bytes_b = vocabularies(files.value)
+        both = encoder(files.value)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for chunk in W.chunks(batch.column(batch.schema.get_field_index("text"))):
                 data = chunk.data.tobytes()
-                whole = [data[i:j] for i, j in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
-                texts = [x.decode() for x in whole]
-                made_a = [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-                made_b = [list(x) for x in b.encode(texts, num_threads=1)]
-                for i, own in enumerate(whole):
-                    wanted = b" " + own
-                    if not own or b"".join([bytes_a[t] for t in made_a[i]]) != wanted or b"".join([bytes_b[t] for t in made_b[i]]) != wanted:
-                        made_a[i], made_b[i] = [], []
-                columns = [W.lists(pa.array(_flat(m)), np.array([len(x) for x in m])) for m in (made_a, made_b)]
-                yield pa.RecordBatch.from_arrays([ids.slice(chunk.rows.start, len(texts)), *columns], ["doc_id", "a", "b"])
+                made = both.ids([" " + data[i:j].decode() for i, j in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)])
+                columns = [W.lists(pa.array(np.concatenate([NONE, *m])), np.array([len(x) for x in m])) for m in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(chunk.rows.start, len(chunk.rows)), *columns], ["doc_id", "a", "b"])
 
     return run
 
@@ -94,14 +191,15 @@ class Aligned:
         end_a, end_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
         left = pd.DataFrame({"at": end_a - length_a[a], "a": np.arange(len(a))})
         right = pd.DataFrame({"at": end_b - length_b[b], "b": np.arange(len(b))})
-        covering_b = pd.merge_asof(left, right, on="at")["b"].to_numpy()
-        covering_a = pd.merge_asof(right, left, on="at")["a"].to_numpy()
+        covering_b = pd.merge_asof(left, right, on="at")["b"].to_numpy(np.int64)
+        covering_a = pd.merge_asof(right, left, on="at")["a"].to_numpy(np.int64)
+        start_a, start_b = left["at"].to_numpy(), right["at"].to_numpy()
+        together_a, together_b = start_b[covering_b] == start_a, start_a[covering_a] == start_b
         # Where both start together, both directions find the same pair.
-        new = left["at"].to_numpy()[covering_a] != right["at"].to_numpy() if len(a) else np.zeros(0, bool)
-        self.link_a = np.concatenate([np.arange(len(a)), covering_a[new]]).astype(np.int64)
-        self.link_b = np.concatenate([covering_b, np.flatnonzero(new)]).astype(np.int64)
-        self.cut_a = _held(end_a, end_b)
-        self.cut_b = _held(end_b, end_a)
+        self.link_a = np.concatenate([np.arange(len(a)), covering_a[~together_b]])
+        self.link_b = np.concatenate([covering_b, np.flatnonzero(~together_b)])
+        # Tokens end together where the next ones start together, and at the end of a text.
+        self.cut_a, self.cut_b = np.append(together_a[1:], True)[: len(a)], np.append(together_b[1:], True)[: len(b)]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Each link's document and pair of ids, as one number."""
@@ -119,29 +217,28 @@ class Aligned:
         until_a = np.cumsum(np.bincount(group_a))
         place_a = np.arange(len(self.a)) + before_b[group_a] if n else np.zeros(0, int)
         place_b = np.arange(len(self.b)) + until_a[group_b] if n else np.zeros(0, int)
-        ids, sign = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+        ids, sign = np.empty(n, np.int32), np.full(n, ord(","), np.uint8)
         ids[place_a], ids[place_b] = self.a, self.b
         last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(group_a)]
         sign[place_a[last_a]], sign[place_b[self.cut_b]] = ord("|"), ord(";")
-        digits = np.ones(n, np.int64)
-        while (more := ids >= 10**digits).any():
-            digits += more
-        ends = np.cumsum(digits + 1)
-        out = np.empty(int(ends[-1]) if n else 0, np.uint8)
-        out[ends - 1] = sign
-        for k in range(int(digits.max()) if n else 0):
-            has = digits > k
-            out[ends[has] - 2 - k] = 48 + ids[has] // 10**k % 10
+        digits, cells = _decimals(int(ids.max(initial=0)) + 1)
+        size, cell = digits[ids], cells[ids]
+        cell[np.arange(n), size] = sign
+        out = cell[np.arange(cell.shape[1]) <= size[:, None]]
+        ends = np.cumsum(size.astype(np.int64) + 1)
         stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(self.count_a + self.count_b)])]
         whole = out.tobytes()
         return [whole[i : max(i, j - 1)] for i, j in zip(stops[:-1], stops[1:], strict=True)]
 
 
-def _held(values: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which of some ascending values stand among other ones."""
-    if not len(other):
-        return np.zeros(len(values), bool)
-    return other[np.minimum(np.searchsorted(other, values), len(other) - 1)] == values
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the numbers below ``n``: how many digits, and the digits with room for a sign behind."""
+    if len(_DIGITS[0]) < n:
+        size = 1 << n.bit_length()
+        text = [str(i).encode() for i in range(size)]
+        width = len(text[-1]) + 1
+        _DIGITS[:] = np.array([len(t) for t in text], np.int8), np.frombuffer(b"".join(t.ljust(width) for t in text), np.uint8).reshape(size, width)
+    return _DIGITS[0], _DIGITS[1]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +264,7 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 def _count(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, bytes_a, _, bytes_b = vocabularies(files.value)
-        lengths = [np.array([len(x) for x in y], np.int64) for y in (bytes_a, bytes_b)]
+        lengths = [s.length for s in encoder(files.value).sides]
         codes, counts, held = [], [], 0
 
         def rows() -> pa.RecordBatch:
@@ -178,7 +274,7 @@ def _count(files):
         for batch in batches:
             for _, part in _aligned(batch, *lengths):
                 doc, code = part.pairs()
-                known, at = np.unique(code, return_inverse=True)
+                at, known = pd.factorize(code)
                 each = np.unique(doc * len(known) + at) % len(known) if len(known) else at
                 codes.append(known)
                 counts.append(np.bincount(each, minlength=len(known)))
@@ -197,15 +293,14 @@ def _count(files):
 
 def _report(files, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, bytes_a, _, bytes_b = vocabularies(files.value)
-        lengths = [np.array([len(x) for x in y], np.int64) for y in (bytes_a, bytes_b)]
+        lengths = [s.length for s in encoder(files.value).sides]
         head, head_count, best = shared.value
         for batch in batches:
             keys = [batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id")]
             for first, part in _aligned(batch, *lengths):
                 n = len(part.count_a)
                 doc, code = part.pairs()
-                known, at = np.unique(code, return_inverse=True)
+                at, known = pd.factorize(code)
                 place = np.minimum(np.searchsorted(head, known), max(len(head) - 1, 0))
                 has = head[place] == known if len(head) else np.zeros(len(known), bool)
                 count = np.where(has, head_count[place], 0) if len(head) else np.zeros(len(known), np.int64)
@@ -246,10 +341,14 @@ class Alignment:
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         made = own.mapInArrow(_encode(self.files), "doc_id long, a array<int>, b array<int>")
         # Written once, so the numbers stay as they are in all later steps.
-        self.encoded = self.stage.put(made.withColumn("row", F.monotonically_increasing_id()))
+        self.encoded = self.put(made.withColumn("row", F.monotonically_increasing_id()))
         found = self.encoded.select("a", "b").mapInArrow(_count(self.files), "code long, c long")
         summed = found.groupBy("code").agg(F.sum("c").alias("c"))
-        self.counts = self.stage.put(summed.select("code", F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "c"))
+        self.counts = self.put(summed.select("code", F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "c"))
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        with conf(rows.sparkSession, BATCH):
+            return self.stage.put(rows)
 
     def _cut(self, size: int) -> int:
         """The least step of counts such that no more than ``size`` pairs lie at or above it."""
@@ -273,7 +372,7 @@ class Alignment:
         best[top["a"].to_numpy(np.int64)] = top["most"].to_numpy(np.int64)
         shared = spark.sparkContext.broadcast((known["code"].to_numpy(np.int64), known["c"].to_numpy(np.int64), best))
         shape = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rest array<struct<code:long,n:long>>"
-        made = self.stage.put(self.encoded.mapInArrow(_report(self.files, shared), shape))
+        made = self.put(self.encoded.mapInArrow(_report(self.files, shared), shape))
         rare = self.counts.filter(~frequent).join(most, "a").select("code", "c", (F.col("c") == F.col("most")).alias("is_best"))
         rest = made.select("row", F.explode("rest").alias("r")).select("row", "r.code", "r.n").join(rare, "code")
         rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("c")).alias("more"), F.sum(F.when(F.col("is_best"), F.col("n")).otherwise(0)).alias("more_best"))
