@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone", "name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Labelled texts that are learnt from at most (the first by hash), and words of one that count.
 ROWS, LENGTH = 4000, 64
-STEPS, RATE, DECAY, SEED = 120, 0.15, 1e-3, 11
+STEPS, RATE, DECAY, SEED = 100, 0.15, 1e-3, 11
 #: A word of the labelled texts counts as itself if it stands there so often.
 OFTEN = 4
 
@@ -354,7 +354,7 @@ _CUES = {
     "email": ("", "mail", "e-mail:", "write to", "contact", "mailto", "Kontakt:", "correo"),
     "ip": ("", "ip", "IP:", "from host", "server", "ping", "address"),
 }
-_PLAIN = ("at the dot", "at noon", "point com", "on the phone today", "the card was", "a call at night", "his e-mail", "the address of", "dot by dot", "Dr. who", "the server at home")
+_PLAIN = ("at the dot", "at noon", "point com", "on the phone today", "the card was", "a call at night", "his e-mail", "the address of", "dot by dot", "Dr. who", "the server at home", "the Apache License, Version 2.0", "the GNU General Public License, version 3", "Creative Commons Attribution License", "Und Und Und Und Und", "The The The The", "Of Of Of are are are", "the City of New York", "In General Terms And Conditions")
 
 
 class _Writer:
@@ -371,11 +371,14 @@ class _Writer:
         return "".join(self.rng.choice(parts) for _ in range(self.rng.randrange(1, 5)))
 
     def words(self, most: int) -> list[str]:
-        out = []
+        """Prose: sentences of any length, one word too, and capitals inside them."""
+        out, opens = [], self.rng.random() < 0.4
         for _ in range(self.rng.randrange(most + 1)):
             word = self.word()
-            word = word.capitalize() if out and self.rng.random() < 0.2 else word
-            out.append(word + self.rng.choice(("", "", "", "", ",", ".", ";", "!", "###", "$$$", "%%%", "&&&", "***", "?", ")", '"')))
+            word = word.capitalize() if opens or (out and self.rng.random() < 0.12) else word
+            mark = self.rng.choice(("", "", "", "", "", ",", ".", ".", ".", ";", "!", "###", "$$$", "%%%", "&&&", "***", "?", ")", '"', ".###"))
+            opens = mark[:1] in (".", "!", "?") if mark else False
+            out.append(word + mark)
         return out
 
     def host(self) -> str:
@@ -413,14 +416,14 @@ class _Writer:
             f"20{self.number(2)}-0{self.number(1)}-{self.number(2)}", f"{self.number(2)}.{self.number(2)}.20{self.number(2)}", f"${self.number(1)},{self.number(3)}.00", f"{self.number(4)}", f"{self.number(1)}", f"{self.number(2)}:{self.number(2)}",
             f"v{self.number(1)}.{self.number(2)}.{self.number(1)}", f"{self.number(1)}.{self.number(1)}.{self.number(1)}", f"{self.number(1)}.{self.number(2)}.{self.number(1)}.{self.number(4)}.{self.number(3)}", f"{self.number(2)}.{self.number(4)}", f"{self.number(3)},{self.number(3)}",
             f'token = "{r.getrandbits(160):040x}"', f"key={r.getrandbits(64):016x}", f"978-{self.number(1)}-{self.number(2)}-{self.number(6)}-{self.number(1)}", f"#{self.number(6)}", f"{self.number(12)}", f"{self.number(24)}", digits, f"{self.number(5)}",
-            f"https://{self.host()}/{self.word()}?id={self.number(5)}", f"{self.number(3)} {self.number(3)} {self.number(3)}", f"@{self.word()}", f"{self.number(2)}%", r.choice(_PLAIN), f"{self.number(5)} {self.number(3)}", f"({self.number(4)})", f"({self.number(3)})", f"+{self.number(1)}",
+            f"https://{self.host()}/{self.word()}?id={self.number(5)}", f"{self.number(3)} {self.number(3)} {self.number(3)}", f"@{self.word()}", f"{self.number(2)}%", r.choice(_PLAIN), r.choice(_PLAIN), r.choice(_PLAIN), f"{self.number(5)} {self.number(3)}", f"({self.number(4)})", f"({self.number(3)})", f"+{self.number(1)}",
         ))
 
     def name(self) -> str:
         return " ".join((self.word() + self.word()).capitalize() for _ in range(self.rng.randrange(1, 4)))
 
     def text(self) -> tuple[str, list[dict]]:
-        pieces: list[tuple[str, str | None]] = [(w, None) for w in self.words(6)]
+        pieces: list[tuple[str, str | None]] = [(w, None) for w in self.words(12)]
         kind = None
         for _ in range(self.rng.randrange(5)):
             kind = kind if kind and self.rng.random() < 0.5 else self.rng.choice(("phone", "card", "email", "ip", "name", "other", "other"))
@@ -432,7 +435,8 @@ class _Writer:
                 cue = self.rng.choice(_CUES[kind])
                 pieces += ([(cue, None)] if cue else []) + [(getattr(self, kind)(), kind)]
             if kind == "name" or self.rng.random() < 0.6:
-                pieces += [(w, None) for w in self.words(4)]
+                more = self.words(6)
+                pieces += [(w[:1].lower() + w[1:] if kind == "name" and not i else w, None) for i, w in enumerate(more)]
         text, spans = "", []
         for piece, kind in pieces:
             text += " " if text else ""
@@ -470,7 +474,8 @@ def _holds(kind: str, text: str) -> bool:
         return True
     if kind == "email":
         return re.search(r"\S@\S|\bat\b.*\bdot\b|[(\[]at[)\]]", text) is not None
-    return text[:1].isupper()
+    words = text.split()
+    return text[:1].isupper() and len(set(words)) == len(words) <= 5 and not any(c.isdigit() for c in text)
 
 
 def _trim(kind: str, text: str, start: int, stop: int) -> tuple[int, int]:
@@ -514,8 +519,8 @@ def field_spans(field: Field, chunk: W.Chunk) -> dict[int, list[tuple[int, int,
         low, high = int(found.starts[first]), int(found.stops[last - 1])
         text = chunk.data[low:high].tobytes().decode()
         parts = [(0, len(text))]
-        if not _good(KINDS[kind], text, *parts[0]):
-            # What isn't one of its kind may be several, a word each.
+        if KINDS[kind] == "card" and not _good("card", text, *parts[0]):
+            # What isn't one card may be several, a word each.
             parts = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
         for start, stop in parts:
             if _good(KINDS[kind], text, start, stop):
