@@ -97,7 +97,7 @@ def _batch_writer(args: argparse.Namespace, feed: str, run: str):
             raise ValueError("--kafka-brokers is required to write to a topic")
 
         def to_topic(rows: DataFrame) -> None:
-            write_topic(rows.drop("asset_key"), topic, args.kafka_brokers)
+            write_topic(rows, topic, args.kafka_brokers)
 
         return to_topic
 
@@ -121,15 +121,15 @@ def batch(args: argparse.Namespace, spark: SparkSession) -> dict[str, int]:
 def _stream_writer(args: argparse.Namespace, feed: str, rows: DataFrame):
     name = f"{feed}-{grain_text(args.time_window)}"
     checkpoint = checkpoint_path(args.checkpoint_dir, name)
-    shown = rows.select(*[c for c in rows.columns if c in COLLECTION_COLUMNS])
     if args.debug_mode:
+        shown = rows.select(*[c for c in rows.columns if c in COLLECTION_COLUMNS])
         return console_writer(shown, checkpoint)
     if store := _store(args, feed):
         return store_writer(rows, store, checkpoint)
     topic = _topic(args, feed)
     if topic and not args.kafka_brokers:
         raise ValueError("--kafka-brokers is required to write to a topic")
-    return topic_writer(shown, topic, args.kafka_brokers, checkpoint)
+    return topic_writer(rows, topic, args.kafka_brokers, checkpoint)
 
 
 def stream(args: argparse.Namespace, spark: SparkSession) -> None:

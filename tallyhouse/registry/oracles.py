@@ -429,6 +429,8 @@ def oracle_sql() -> dict[str, str]:
     feed_1h = global_feed_rows("1 hour")
     o = {
         "scan_archive": CLEAN,
+        "message_files": CLEAN,
+        "archive_time_range": CLEAN + f" where sent_at >= {LOW} and sent_at <= {HIGH}",
         "stream_scan": CLEAN,
         "clean_events": CLEAN,
         "clean_events_json": CLEAN,
@@ -457,6 +459,8 @@ select metric, "timestamp", value, collection from (
 where collection is not null  -- the table has no row without a key
 qualify row_number() over (partition by metric, collection, "timestamp" order by run desc) = 1""",
         "upsert_collections": f"select * from ({collections_feed('1 day')}) where collection is not null",
+        "store_compacted": global_windowed("1 hour"),
+        "messages_to_store": f"select * from ({collections_feed('1 day')}) where collection is not null",
         "global_all_time": _with(EVENTS, SIDES, ALL_TIME_TABLES) + global_all_time_rows(),
         "collection_all_time": _with(EVENTS, SIDES, collection_all_time_table()) + collection_all_time_rows(),
         "top_collections_all_time": _with(EVENTS, SIDES, ALL_TIME_TABLES) + top_all_time_rows(),
@@ -530,6 +534,8 @@ from (select cast(total_transfers as double) as v from g)""",
 select quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as q2, quantile_cont(v, 0.75) as q3
 from (select cast(total_transfers as double) as v from g)""",
         "stream_global_1h": global_windowed("1 hour"),
+        "stream_global_5m": global_windowed("5 minutes"),
+        "stream_no_watermark": global_windowed("1 day"),
         "stream_collections_1h": stream_collections("1 hour"),
         "stream_late_drop": late_drop("1 hour"),
         "stream_sliding_collection": _with(EVENTS)

@@ -21,9 +21,11 @@ from tallyhouse.serving import reads
 from tallyhouse.session import materialise, scratch_dir, use_utc
 from tallyhouse.sinks.archive import archive_writer, write_archive
 from tallyhouse.sinks.messages import decode_messages, encode_messages
-from tallyhouse.sinks.store import read_metrics, write_metrics
+from tallyhouse.sinks.snapshots import SnapshotList, Storage
+from tallyhouse.sinks.store import compact_metrics, read_metrics, write_metrics
 from tallyhouse.sources import tables
-from tallyhouse.sources.archive import in_time_range, read_archive
+from tallyhouse.sources.archive import in_time_range, read_archive, read_message_files
+from tallyhouse.sources.topics import message_file_stream
 from tallyhouse.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,8 @@ AS_OF = datetime(2024, 2, 1)
 RANGE = (datetime(2024, 1, 5), datetime(2024, 1, 20, 12, 30))
 MIDWAY = datetime(2024, 1, 15, 12, 0)
 WATERMARK = "3 minutes"
+#: Files that the given events arrive in where they are streamed; each is a micro-batch.
+FILES = 4
 PAGE = [
     "total_number_of_events",
     "total_transfers",
@@ -73,9 +77,41 @@ def _on_messages(build: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
+#: Folders that a session has filled once, by what they hold.
+_FILLED: dict[tuple[str, str, str], str] = {}
+
+
+def _filled(spark: SparkSession, sf_dir: str, name: str, fill: Callable[[str], object]) -> str:
+    """A scratch folder that is filled at its first use in a session, as a stored table would be."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FILLED or not Storage(spark, _FILLED[key]).exists(""):
+        path = scratch_dir(spark, name)
+        fill(path)
+        _FILLED[key] = path
+    return _FILLED[key]
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, parts: int = FILES) -> str:
+    """The given events as files that arrive one after the other, in the order of their times."""
+
+    def fill(path: str) -> None:
+        events = tables.table(spark, sf_dir, "events")
+        span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+        at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        part = F.least(F.floor((at("ts") - at("low")) * parts / F.greatest(at("high") - at("low"), F.lit(1))), F.lit(parts - 1))
+        placed = events.crossJoin(span).withColumn("part", F.coalesce(part, F.lit(parts - 1)))
+        for i in range(parts):
+            placed.filter(F.col("part") == i).select(events.columns).coalesce(1).write.mode("append").parquet(path)
+
+    return _filled(spark, sf_dir, "arrivals", fill)
+
+
 def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given events as messages, a file per micro-batch."""
     use_utc(spark)
-    return tables.events_to_messages(tables.table_stream(spark, sf_dir, "events"))
+    path = _arrivals(spark, sf_dir)
+    schema = tables.table(spark, sf_dir, "events").schema
+    return tables.events_to_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 def _drain(spark: SparkSession, writer: DataStreamWriter) -> None:
@@ -115,6 +151,26 @@ def scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(ev.clean_events(read_archive(spark, path)))
 
 
+def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_utc(spark)
+    path = scratch_dir(spark, "messages")
+    tables.market_messages(spark, sf_dir).select("value").write.text(path)
+    return _plain_times(ev.clean_events(read_message_files(spark, path)))
+
+
+def archive_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a range, found by the archive's index: some arrive days late, some by clocks that are behind."""
+    use_utc(spark)
+    messages = tables.market_messages(spark, sf_dir)
+    key = F.pmod(F.xxhash64("value"), F.lit(10))
+    late = F.when(key == 0, F.expr("interval 5 days")).when(key == 1, F.expr("interval -2 days")).otherwise(F.expr("interval 40 seconds"))
+    path = scratch_dir(spark, "archive")
+    arrived = messages.withColumn("timestamp", F.col("timestamp") + late)
+    for i, half in enumerate((F.col("timestamp") < F.lit(MIDWAY), ~(F.col("timestamp") < F.lit(MIDWAY)) | F.col("timestamp").isNull())):
+        write_archive(arrived.filter(half), path, batch=str(i))
+    return _plain_times(in_time_range(ev.clean_events(read_archive(spark, path, *RANGE)), *RANGE))
+
+
 def archive_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "archive")
     messages = _message_stream(spark, sf_dir)
@@ -170,6 +226,36 @@ def upsert_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(read_metrics(spark, path).select(*COLLECTION_COLUMNS))
 
 
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream fills the table; it is compacted before the stream's last batches, while it runs, and after."""
+    rows = jobs.global_stream(ev.clean_messages(_message_stream(spark, sf_dir)), "1 hour", watermark=WATERMARK)
+    path = scratch_dir(spark, "store")
+    table, checkpoint = f"{path}/rows", f"{path}/checkpoint"
+    writer = jobs.store_writer(rows, table, checkpoint).trigger(availableNow=True)
+    query = jobs.start(writer, spark, state_partitions=spark.sparkContext.defaultParallelism)
+    seen = 0
+    while not query.awaitTermination(1):
+        written = len(SnapshotList(spark, table).state().writes)
+        if written > seen:
+            compact_metrics(spark, table)
+            seen = 0
+    compact_metrics(spark, table, everything=True)
+    return _plain_times(read_metrics(spark, table).select(*GLOBAL_COLUMNS))
+
+
+def messages_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric messages of a topic to the keyed table, assets with their keys; what is no message is rejected."""
+    use_utc(spark)
+    feed = fam.collections_feed(tables.market_events(spark, sf_dir), "1 day", with_asset_key=True)
+    path = scratch_dir(spark, "messages")
+    texts = encode_messages(feed)
+    torn = texts.filter(F.pmod(F.xxhash64("value"), F.lit(100)) == 0).select(F.expr("left(value, 20)").alias("value"))
+    texts.union(torn).repartition(FILES).write.text(f"{path}/topic")
+    stream = message_file_stream(spark, f"{path}/topic", files_per_trigger=1)
+    _drain(spark, jobs.messages_to_store(stream, f"{path}/rows", f"{path}/checkpoint"))
+    return _plain_times(read_metrics(spark, f"{path}/rows").select(*COLLECTION_COLUMNS))
+
+
 # Feeds over several grains
 
 
@@ -205,6 +291,19 @@ def stream_collections_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(_to_store(spark, rows).select(*COLLECTION_COLUMNS))
 
 
+def stream_global_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = ev.clean_messages(_message_stream(spark, sf_dir))
+    stored = _to_store(spark, jobs.global_stream(clean, "5 minutes", watermark=WATERMARK))
+    return _plain_times(stored.select(*GLOBAL_COLUMNS))
+
+
+def stream_no_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is dropped, however late: groups of all batches stay open."""
+    clean = ev.clean_messages(_message_stream(spark, sf_dir))
+    stored = _to_store(spark, jobs.global_stream(clean, "1 day"))
+    return _plain_times(stored.select(*GLOBAL_COLUMNS))
+
+
 def stream_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream fills the table; the last value per key is ranked on read."""
     clean = ev.clean_messages(_message_stream(spark, sf_dir))
@@ -252,28 +351,45 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(read_metrics(spark, f"{path}/rows").select(*GLOBAL_COLUMNS))
 
 
-# Reads
+# Reads: all of the metric table, which a batch run has filled
+
+
+FEEDS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "global_1h": lambda c: fam.global_feed(c, "1 hour"),
+    "global_all_time": lambda c: fam.global_feed(c, ALL_TIME, as_of=AS_OF),
+    "collections_1d": lambda c: fam.collections_feed(c, "1 day", with_asset_key=True),
+    "top_20_all_time": lambda c: fam.top_collections_all_time(c, n=20, as_of=AS_OF),
+}
+
+
+def _served(feed: str, columns: list[str], read: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        use_utc(spark)
+
+        def fill(path: str) -> None:
+            write_metrics(FEEDS[feed](tables.market_events(spark, sf_dir)), path, run=feed)
+            compact_metrics(spark, path)
+
+        path = _filled(spark, sf_dir, f"store-{feed}", fill)
+        return _plain_times(read(read_metrics(spark, path).select(*columns)))
+
+    return query
 
 
 def _metric(rows: DataFrame, name: str, grain: str) -> DataFrame:
     return rows.filter(F.col("metric") == metric_name(name, grain))
 
 
-def _transfer_ranks(clean: DataFrame) -> DataFrame:
-    name = "top_collections_by_transfers_volume_transfers_count"
-    return reads.read_global(fam.global_feed(clean, "1 hour"), name, "1 hour")
+def _transfer_ranks(rows: DataFrame) -> DataFrame:
+    return reads.read_global(rows, "top_collections_by_transfers_volume_transfers_count", "1 hour")
 
 
-def _asset_volumes(clean: DataFrame) -> DataFrame:
-    feed = fam.collections_feed(clean, "1 day")
-    return feed.filter(F.col("collection") == "coll-3").transform(
-        _metric, "collection_top_assets_by_sales_volume", "1 day"
-    )
+def _asset_volumes(rows: DataFrame) -> DataFrame:
+    return reads.read_collection(rows, "coll-3", "collection_top_assets_by_sales_volume", "1 day")
 
 
-def _display(clean: DataFrame) -> DataFrame:
-    top = fam.top_collections_all_time(clean, n=20, as_of=AS_OF)
-    top = _metric(top, "top_collections_by_sales_volume_usd_price", ALL_TIME)
+def _display(rows: DataFrame) -> DataFrame:
+    top = _metric(rows, "top_collections_by_sales_volume_usd_price", ALL_TIME)
     return reads.display_table(
         reads.latest_top(top, "collection", n=20),
         "collection",
@@ -296,6 +412,8 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         # scans
         "scan_archive": scan_archive,
+        "archive_time_range": archive_time_range,
+        "message_files": message_files,
         "stream_scan": stream_scan,
         "envelope_json": _on_messages(lambda m: _envelope_fields(ev.split_envelope(m))),
         "parse_by_path": _on_messages(ev.parse_by_path),
@@ -307,6 +425,8 @@ def queries() -> dict[str, Query]:
         "archive_hourly": archive_hourly,
         "upsert_global": upsert_global,
         "upsert_collections": upsert_collections,
+        "store_compacted": store_compacted,
+        "messages_to_store": messages_to_store,
         # clean events
         "clean_events": _on_messages(lambda m: ev.clean_events(ev.parse_messages(m))),
         "clean_events_json": _on_messages(lambda m: ev.clean_events(ev.split_envelope(m), is_json_payload=True)),
@@ -355,37 +475,42 @@ def queries() -> dict[str, Query]:
         "metric_quartiles": _on_events(_quartiles),
         # streams
         "stream_global_1h": stream_global_1h,
+        "stream_global_5m": stream_global_5m,
+        "stream_no_watermark": stream_no_watermark,
         "stream_collections_1h": stream_collections_1h,
         "stream_late_drop": stream_late_drop,
         "stream_sliding_collection": stream_sliding_collection,
         "stream_to_store": stream_to_store,
         # reads
-        "serve_global": _on_events(
-            lambda c: reads.read_global(fam.global_feed(c, "1 hour"), "total_transfers", "1 hour", *RANGE)
+        "serve_global": _served(
+            "global_1h", GLOBAL_COLUMNS, lambda r: reads.read_global(r, "total_transfers", "1 hour", *RANGE)
         ),
-        "serve_global_limit": _on_events(lambda c: reads.read_global(fam.global_feed(c, "1 hour"), limit=100)),
-        "serve_collection": _on_events(
-            lambda c: reads.read_collection(
-                fam.collections_feed(c, "1 day"),
-                "coll-3",
-                "collection_total_usd_volume",
-                "1 day",
-                *RANGE,
-                order_ascending=True,
-            )
+        "serve_global_limit": _served("global_1h", GLOBAL_COLUMNS, lambda r: reads.read_global(r, limit=100)),
+        "serve_collection": _served(
+            "collections_1d",
+            COLLECTION_COLUMNS,
+            lambda r: reads.read_collection(
+                r, "coll-3", "collection_total_usd_volume", "1 day", *RANGE, order_ascending=True
+            ),
         ),
-        "indicator_latest": _on_events(
-            lambda c: reads.latest_value(
-                reads.read_global(fam.global_feed(c, "1 hour"), "total_usd_volume", "1 hour")
-            )
+        "indicator_latest": _served(
+            "global_1h",
+            GLOBAL_COLUMNS,
+            lambda r: reads.latest_value(reads.read_global(r, "total_usd_volume", "1 hour")),
+        ),
+        "latest_per_group": _served(
+            "global_1h", GLOBAL_COLUMNS, lambda r: reads.latest_per_group(_transfer_ranks(r), "collection")
+        ),
+        "latest_top_table": _served(
+            "global_1h", GLOBAL_COLUMNS, lambda r: reads.latest_top(_transfer_ranks(r), "collection", n=10)
+        ),
+        "series_by_hue": _served(
+            "collections_1d", COLLECTION_COLUMNS, lambda r: reads.series(_asset_volumes(r), "asset_name", points=5)
         ),
-        "latest_per_group": _on_events(lambda c: reads.latest_per_group(_transfer_ranks(c), "collection")),
-        "latest_top_table": _on_events(lambda c: reads.latest_top(_transfer_ranks(c), "collection", n=10)),
-        "series_by_hue": _on_events(lambda c: reads.series(_asset_volumes(c), "asset_name", points=5)),
-        "page_indicators": _on_events(
-            lambda c: reads.page_indicators(fam.global_feed(c, ALL_TIME, as_of=AS_OF), PAGE, ALL_TIME)
+        "page_indicators": _served(
+            "global_all_time", GLOBAL_COLUMNS, lambda r: reads.page_indicators(r, PAGE, ALL_TIME)
         ),
-        "display_table": _on_events(_display),
+        "display_table": _served("top_20_all_time", GLOBAL_COLUMNS, _display),
     }
     for label, grain in {"1h": "1 hour", "12h": "12 hours", "1d": "1 day", "7d": "7 days", "14d": "14 days"}.items():
         q[f"global_windowed_{label}"] = _on_events(lambda c, g=grain: fam.global_metrics(c, g))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tallyhouse.schemas import COLLECTION_SCHEMA
+
 KEEP_NULLS = {"ignoreNullFields": "false"}
+ASSET_FIELDS = ("asset_name", "asset_url", "image_url")
 
 
 def encode_messages(rows: DataFrame, key_column: str | None = None) -> DataFrame:
@@ -24,6 +27,29 @@ def decode_messages(messages: DataFrame, schema: str) -> DataFrame:
     return messages.select(parsed.alias("row")).select("row.*")
 
 
+def stored_rows(messages: DataFrame, key_column: str | None = None) -> DataFrame:
+    """Messages ``value`` (and ``key``, if a column was taken out for it) as rows of the metric table.
+
+    What cannot be a row keeps its text in ``message`` and says why in
+    ``reason``. Asset rows of older writers have no key; it is made from what
+    they show of the asset.
+    """
+    rows = messages.withColumn("row", F.from_json(F.col("value").cast("string"), COLLECTION_SCHEMA))
+    fields = {f: F.col(f"row.{f}") for f in ("metric", "timestamp", "collection", "value", *ASSET_FIELDS, "asset_key")}
+    if key_column:
+        fields[key_column] = F.coalesce(fields[key_column], F.col("key").cast("string"))
+    shown = F.to_json(F.struct(*(fields[f].alias(f) for f in ASSET_FIELDS)), KEEP_NULLS)
+    of_asset = F.coalesce(*(fields[f] for f in ASSET_FIELDS)).isNotNull()
+    fields["asset_key"] = F.coalesce(fields["asset_key"], F.when(of_asset, F.sha1(shown.cast("binary"))), F.lit(""))
+    missing = [F.when(fields[f].isNull(), f"no {f}") for f in ("metric", "timestamp", "collection")]
+    reason = F.coalesce(F.when(F.col("value").isNull(), "no message"), *missing)
+    return rows.select(
+        *(c.alias(f) for f, c in fields.items()),
+        F.when(reason.isNotNull(), F.col("value").cast("string")).alias("message"),
+        reason.alias("reason"),
+    )
+
+
 def write_topic(rows: DataFrame, topic: str, brokers: str, key_column: str | None = None) -> None:
     (
         encode_messages(rows, key_column)

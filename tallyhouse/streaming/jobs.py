@@ -13,6 +13,7 @@ from tallyhouse.operators import catalogue as C
 from tallyhouse.operators.metrics import metric_stream
 from tallyhouse.schemas import COLLECTION_COLUMNS, GLOBAL_COLUMNS
 from tallyhouse.session import conf
+from tallyhouse.sinks.messages import stored_rows
 from tallyhouse.sinks.store import write_metrics
 
 # State too large for the heap lives in RocksDB, and each batch uploads only
@@ -96,6 +97,17 @@ def store_writer(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
     )
 
 
+def messages_to_store(
+    messages: DataFrame, path: str, checkpoint: str, key_column: str | None = None
+) -> DataStreamWriter:
+    """Messages of a metric topic (``value``, and ``key``) to the metric table.
+
+    Each message is decoded once, and a micro-batch is one write: good rows and
+    rejected messages are published together, once per query and batch.
+    """
+    return store_writer(stored_rows(messages, key_column), path, checkpoint)
+
+
 def start(writer: DataStreamWriter, spark: SparkSession, state_partitions: int | None = None) -> StreamingQuery:
     """Start a query with the state settings; they are fixed at its first start."""
     settings = dict(STATE)

@@ -6,8 +6,12 @@ from helpers import T0, event, events, values
 from tallyhouse.plans import families as fam
 from tallyhouse.schemas import COLLECTION_COLUMNS, COLLECTION_SCHEMA, GLOBAL_SCHEMA
 from tallyhouse.serving import reads
-from tallyhouse.sinks import store
-from tallyhouse.sinks.messages import decode_messages, encode_messages, topic_writer, write_topic
+from tallyhouse.session import conf
+from tallyhouse.sinks import snapshots, store
+from tallyhouse.sinks.messages import decode_messages, encode_messages, stored_rows, topic_writer, write_topic
+from tallyhouse.sinks.snapshots import SnapshotList
+from tallyhouse.sources.topics import message_file_stream
+from tallyhouse.streaming import jobs
 
 H = timedelta(hours=1)
 
@@ -70,13 +74,174 @@ def test_two_writers_keep_their_folders(spark, tmp_path):
 
 
 def test_compaction_keeps_the_newest_rows_and_their_order(spark, tmp_path):
-    source, target = str(tmp_path / "a"), str(tmp_path / "b")
-    store.write_metrics(metric_rows(spark, ("m", T0, 1.0, "")), source, run=1, batch=0)
-    store.write_metrics(metric_rows(spark, ("m", T0, 2.0, "")), source, run=1, batch=5)
-    store.compact_metrics(spark, source, target)
-    assert store._read_all(spark, target).count() == 1
-    store.write_metrics(metric_rows(spark, ("m", T0, 0.0, "")), target, run=2, batch=4)
-    assert values(store.read_metrics(spark, target), "value") == [(0.0,)]
+    path = str(tmp_path)
+    store.write_metrics(metric_rows(spark, ("m", T0, 1.0, ""), (None, T0, 7.0, "")), path, run=1, batch=0)
+    store.write_metrics(metric_rows(spark, ("m", T0, 2.0, "")), path, run=1, batch=5)
+    assert store.compact_metrics(spark, path)
+    assert not store.compact_metrics(spark, path)
+    assert store._read_all(spark, path).filter("kept").count() == 1
+    assert [r["reason"] for r in store.read_rejects(spark, path).collect()] == ["a key column is null"]
+    store.write_metrics(metric_rows(spark, ("m", T0, 0.0, "")), path, run=2, batch=4)
+    assert values(store.read_metrics(spark, path), "value") == [(0.0,)]
+
+
+def folders(path):
+    return sorted(str(p.relative_to(path)) for p in path.glob("rows/*/*"))
+
+
+def test_compactions_go_on_while_others_read_and_write(spark, tmp_path):
+    """A reader that listed before a compaction finishes after it; the list and the folders stay few."""
+    expected, path = {}, str(tmp_path)
+    for i in range(8):
+        rows = [(f"m{i % 3}", T0 + (j % 5) * H, float(10 * i + j), "") for j in range(i, i + 3)]
+        expected.update({r[:2]: r[2] for r in rows})
+        store.write_metrics(metric_rows(spark, *rows), path, "stream", i)
+        reader = store.read_metrics(spark, path)
+        before = dict(expected)
+        if i % 2:
+            store.compact_metrics(spark, path)
+        assert {(r["metric"], r["timestamp"]): r["value"] for r in reader.collect()} == before
+        assert len(list((tmp_path / "_list").glob("[!.]*"))) <= 8
+    assert {(r["metric"], r["timestamp"]): r["value"] for r in store.read_metrics(spark, path).collect()} == expected
+    store.compact_metrics(spark, path, everything=True)
+    store.write_metrics(metric_rows(spark, ("m9", T0, 1.0, "")), path, "stream", 9)
+    store.compact_metrics(spark, path, everything=True)
+    state = SnapshotList(spark, path).state()
+    assert len(state.folders) == 1 and len(folders(tmp_path)) <= 4
+    assert store.read_metrics(spark, path).count() == len(expected) + 1
+
+
+def test_a_row_is_not_rewritten_by_each_compaction(spark, tmp_path):
+    path, sizes = str(tmp_path), []
+    for i in range(12):
+        rows = [("m", T0 + (4 * i + j) * H, 1.0, "") for j in range(4)]
+        store.write_metrics(metric_rows(spark, *rows), path, "w", i)
+        store.compact_metrics(spark, path)
+        sizes.append(len(SnapshotList(spark, path).state().folders))
+    assert 1 < max(sizes) <= 4
+    assert store.read_metrics(spark, path).count() == 48
+
+
+def test_a_crashed_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    for i in range(3):
+        store.write_metrics(metric_rows(spark, ("m", T0, float(i), "")), path, "w", i)
+        store.compact_metrics(spark, path, everything=True)
+    store.write_metrics(metric_rows(spark, ("m", T0, 3.0, "")), path, "w", 3)
+    real = snapshots.SnapshotList._delete_files
+    monkeypatch.setattr(snapshots.SnapshotList, "_delete_files", lambda self, names: None)  # ends before it cleans up
+    store.compact_metrics(spark, path)
+    assert values(store.read_metrics(spark, path), "value") == [(3.0,)]
+    monkeypatch.setattr(snapshots.SnapshotList, "_delete_files", real)
+    store.write_metrics(metric_rows(spark, ("m", T0, 4.0, "")), path, "w", 4)
+    store.compact_metrics(spark, path)
+    assert values(store.read_metrics(spark, path), "value") == [(4.0,)]
+    monkeypatch.setattr(store, "_write_files", lambda rows, folder: 1 / 0)
+    store.SnapshotList(spark, path).add(snapshots.Write("w", 5, 1, 1))
+    with pytest.raises(ZeroDivisionError):
+        store.compact_metrics(spark, path)
+    assert not list((tmp_path / "_list").glob("claim.*"))
+
+
+def test_one_compaction_at_a_time(spark, tmp_path):
+    path = str(tmp_path)
+    store.write_metrics(metric_rows(spark, ("m", T0, 1.0, "")), path, "w", 0)
+    lists = SnapshotList(spark, path)
+    lists.claim(1)
+    with pytest.raises(RuntimeError, match="claimed"):
+        store.compact_metrics(spark, path)
+    lists.give_up(1)
+    assert store.compact_metrics(spark, path)
+
+
+def test_folders_of_dead_writes_are_swept_when_old(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    store.write_metrics(metric_rows(spark, ("m", T0, 1.0, "")), path, "w", 0)
+    metric_rows(spark, ("m", T0, 1.0, "")).write.parquet(f"{path}/rows/writer=dead/write=0.1")
+    store.compact_metrics(spark, path)
+    assert "rows/writer=dead/write=0.1" in folders(tmp_path)
+    monkeypatch.setattr(snapshots, "PATIENCE", -1)
+    store.write_metrics(metric_rows(spark, ("m", T0, 2.0, "")), path, "w", 1)
+    store.compact_metrics(spark, path, everything=True)
+    assert "rows/writer=dead/write=0.1" not in folders(tmp_path)
+    assert values(store.read_metrics(spark, path), "value") == [(2.0,)]
+
+
+def test_a_write_of_nothing_publishes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert store.read_metrics(spark, path).collect() == []
+    assert store.write_metrics(metric_rows(spark).limit(0), path, "w", 0) == 0
+    assert SnapshotList(spark, path).state().folders == []
+    assert not store.compact_metrics(spark, path)
+
+
+def scan_metrics(rows):
+    """Rows and files that the scans of a plan read."""
+    rows._jdf.collectToPython()
+    plan = rows._jdf.queryExecution().executedPlan()
+    leaves = (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).collectLeaves()
+    found = {"numOutputRows": 0, "numFiles": 0}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        leaf = leaf.plan() if "QueryStage" in leaf.nodeName() else leaf
+        inner = leaf.collectLeaves()
+        for j in range(inner.size()):
+            metrics = inner.apply(j).metrics()
+            for name in found:
+                if metrics.contains(name):
+                    found[name] += metrics.apply(name).value()
+    return found
+
+
+def test_a_read_opens_one_metric_and_few_row_groups(spark, tmp_path):
+    path = str(tmp_path)
+    rows = spark.range(60_000).selectExpr(
+        "concat('m', id % 3) as metric", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id div 300) as timestamp",
+        "concat('c', lpad(id % 100, 3, '0')) as collection", "cast(id as double) as value",
+    )
+    store.write_metrics(rows, path, "w", 0)
+    with conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}):
+        store.compact_metrics(spark, path)
+    whole = scan_metrics(store.read_metrics(spark, path))
+    one = scan_metrics(store.read_metrics(spark, path).filter("metric = 'm1'"))
+    point = store.read_metrics(spark, path).filter("metric = 'm1' and collection = 'c040' and timestamp >= '2024-01-01'")
+    narrow = scan_metrics(point)
+    assert one["numFiles"] < whole["numFiles"] and one["numOutputRows"] == 20_000
+    assert 0 < narrow["numOutputRows"] < 10_000
+    assert point.count() == 200
+
+
+# Messages to the table
+
+
+def test_messages_fill_the_table_and_the_rest_is_rejected(spark, tmp_path):
+    clean = events(spark, event(nft="x", usd=1.0), event(nft="y", usd=2.0), event(slug="b", nft="x", usd=4.0))
+    rows = fam.collections_feed(clean, "1 hour", with_asset_key=True)
+    good = [r["value"] for r in encode_messages(rows).collect()]
+    bad = ["no json", '{"metric": "m"}', '{"metric": "m", "timestamp": "2024-01-01T00:00:00Z", "value": 1}', "{}", '{"metric": 7, "timestamp": "yesterday", "collection": "a"}']
+    folder, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "checkpoint"))
+    for i, texts in enumerate((good[::2] + bad[:3], good[1::2], bad[3:] + good[:3])):
+        spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").text(folder)
+        writer = jobs.messages_to_store(message_file_stream(spark, folder, 1), table, checkpoint)
+        jobs.run_available(writer, spark, state_partitions=2, timeout=300)
+        assert len(SnapshotList(spark, table).state().writes) == i + 1
+    stored = store.read_metrics(spark, table)
+    assert values(stored, *COLLECTION_COLUMNS, "asset_key") == values(rows, *COLLECTION_COLUMNS, "asset_key")
+    assert stored.filter("asset_key <> ''").select("asset_key").distinct().count() == 2
+    rejects = store.read_rejects(spark, table)
+    assert sorted(r["message"] for r in rejects.collect()) == sorted(bad)
+    assert {r["reason"] for r in rejects.collect()} == {"no metric", "no timestamp", "no collection"}
+
+
+def test_keyed_and_older_messages(spark):
+    rows = fam.collections_feed(events(spark, event(nft="x", usd=1.0), event(nft="y", usd=2.0)), "1 hour", with_asset_key=True)
+    keyed = stored_rows(encode_messages(rows, key_column="collection"), key_column="collection")
+    assert values(keyed, *COLLECTION_COLUMNS, "asset_key") == values(rows, *COLLECTION_COLUMNS, "asset_key")
+    older = stored_rows(encode_messages(rows.drop("asset_key"))).filter("metric like 'collection_top_assets%'")
+    assert older.filter("reason is null and asset_key <> ''").count() == older.count()
+    assert older.select("metric", "asset_name", "asset_key").distinct().groupBy("metric").count().agg({"count": "max"}).first()[0] == 2
+    tomb = spark.createDataFrame([(None,)], "value string")
+    assert stored_rows(tomb).first()["reason"] == "no message"
 
 
 def test_a_metric_filter_prunes_folders(spark, tmp_path):
