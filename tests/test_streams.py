@@ -1,18 +1,20 @@
 import os
+import re
+import shutil
 import time
 from datetime import datetime, timedelta
 
 import pytest
 
 from helpers import message, values
-from tallyhouse.operators.events import clean_messages
+from tallyhouse.operators.events import clean_events, clean_messages
 from tallyhouse.plans import families as fam
 from tallyhouse.schemas import COLLECTION_COLUMNS, GLOBAL_COLUMNS
-from tallyhouse.sinks.archive import archive_writer, write_archive
+from tallyhouse.sinks.archive import archive_writer, compact_index, read_index, write_archive
 from tallyhouse.sinks.messages import console_writer
 from tallyhouse.sinks.store import read_metrics
 from tallyhouse.sources.archive import in_time_range, parse_time, read_archive, read_message_files
-from tallyhouse.sources.topics import message_file_stream, topic_stream
+from tallyhouse.sources.topics import message_file_stream, topic_options, topic_stream
 from tallyhouse.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -183,26 +185,100 @@ def test_archive_folders_are_arrival_hours_and_round_trip(spark, tmp_path):
     assert raw.filter("payload.payload.item.nft_id = 'n1'").count() == 2
 
 
-def test_a_time_range_reads_late_arrivals_and_prunes_folders(spark, tmp_path):
+def days(n):
+    return T0 + timedelta(days=n)
+
+
+def days_read(raw):
+    return sorted({int(re.search(r"day=(\d+)", f)[1]) for f in raw.inputFiles()})
+
+
+def test_an_indexed_range_lists_only_folders_that_hold_it(spark, tmp_path):
+    """Messages that arrive days late, and before they were sent, by a clock that is ahead."""
+    path = str(tmp_path / "archive")
+    on_time = [(message(sent_at=days(d).isoformat(), nft=f"on-{d}"), days(d)) for d in range(20)]
+    late = [(message(sent_at=days(5).isoformat(), nft="late"), days(12)), (message(sent_at=days(6).isoformat(), nft="ahead"), days(2))]
+    write_archive(stamped(spark, *on_time), path)
+    write_archive(stamped(spark, *late, (message(sent_at=None), days(5)), ("no json", days(6))), path)
+    raw = read_archive(spark, path, days(5), days(6))
+    assert days_read(raw) == [3, 6, 7, 13]
+    clean = in_time_range(clean_events(raw), days(5), days(6))
+    assert values(clean, "item_nft_id") == [("ahead",), ("late",), ("on-5",), ("on-6",)]
+    assert read_archive(spark, path, days(100)).collect() == []
+    assert days_read(read_archive(spark, path, start=days(18))) == [19, 20]
+    assert days_read(read_archive(spark, path, end=days(0))) == [1]
+    index = read_index(spark, path)
+    assert index.agg({"messages": "sum"}).first()[0] == 24
+    before = sorted(map(tuple, index.collect()), key=repr)
+    assert compact_index(spark, path)
+    assert sorted(map(tuple, read_index(spark, path).collect()), key=repr) == before
+    assert days_read(read_archive(spark, path, days(5), days(6))) == [3, 6, 7, 13]
+
+
+def test_an_archive_without_an_index_is_cut_only_where_told(spark, tmp_path):
     path = str(tmp_path / "archive")
-    write_archive(stamped(spark, *[(message(), T0 + timedelta(days=d)) for d in range(10)]), path)
-    day = T0 + timedelta(days=5)
-    raw = read_archive(spark, path, day, day)
-    assert sorted(r["day"] for r in raw.collect()) == [5, 6, 7, 8, 9, 10]
-    stated = read_archive(spark, path, day, day, lateness=timedelta(days=1))
-    assert sorted(r["day"] for r in stated.collect()) == [5, 6, 7]
+    write_archive(stamped(spark, *[(message(), days(d)) for d in range(10)]), path)
+    shutil.rmtree(f"{path}/_index")
+    for folder in list((tmp_path / "archive").rglob("batch=*")):  # as others write it
+        for file in folder.iterdir():
+            file.rename(folder.parent / file.name)
+        folder.rmdir()
+    day = days(5)
+    assert sorted(r["day"] for r in read_archive(spark, path, day, day).collect()) == list(range(1, 11))
+    raw = read_archive(spark, path, day, day, skew=timedelta(days=1), lateness=timedelta(days=1))
+    assert sorted(r["day"] for r in raw.collect()) == [5, 6, 7]
+    assert raw.columns == ["event", "payload", "topic", "year", "month", "day", "hour"]
     plan = raw._jdf.queryExecution().toString()
     scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
     assert "year" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
 
 
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    first = stamped(spark, (message(nft="a"), T0), (message(nft="b"), T0 + timedelta(hours=1)))
+    for _ in range(2):
+        write_archive(first, path, batch="q-0")
+        write_archive(stamped(spark, (message(nft="c"), T0)), path, batch="q-1")
+    assert values(clean_events(read_archive(spark, path)), "item_nft_id") == [("a",), ("b",), ("c",)]
+    assert values(read_index(spark, path), "batch", "messages") == [("q-0", 1), ("q-0", 1), ("q-1", 1)]
+
+
+def test_files_of_an_hour_do_not_grow_with_the_tasks(spark, tmp_path):
+    path = tmp_path / "archive"
+    rows = stamped(spark, *[(message(nft=str(i)), T0 + timedelta(hours=i % 2)) for i in range(400)]).repartition(40)
+    write_archive(rows, str(path))
+    assert len(list(path.rglob("hour=*/batch=*/*.gz"))) <= 4
+    write_archive(rows, str(tmp_path / "small"), max_records_per_file=50)
+    assert len(list((tmp_path / "small").rglob("hour=*/batch=*/*.gz"))) == 8
+
+
 def test_archive_stream_writes_each_message_once(spark, tmp_path):
-    make_history(tmp_path / "in", files=2)
+    make_history(tmp_path / "in", files=3)
     for _ in range(2):
         messages = message_file_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-        writer = archive_writer(messages, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        writer = archive_writer(messages, str(tmp_path / "out"), str(tmp_path / "checkpoint"), every=2)
         jobs.run_available(writer, spark, 2, timeout=300)
-    assert read_archive(spark, str(tmp_path / "out")).count() == 80
+    assert read_archive(spark, str(tmp_path / "out")).count() == 120
+    index = read_index(spark, str(tmp_path / "out"))
+    assert index.agg({"messages": "sum"}).first()[0] == 120
+    assert index.select("batch").distinct().count() == 3
+
+
+def test_limits_per_trigger(spark, tmp_path):
+    make_history(tmp_path / "in", files=5, per_file=10)
+    size = next((tmp_path / "in").iterdir()).stat().st_size
+    source = message_file_stream(spark, str(tmp_path / "in"), bytes_per_trigger=2 * size + size // 2)
+    sizes = []
+    writer = source.writeStream.foreachBatch(lambda b, i: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "k"))
+    jobs.run_available(writer, spark, 2, timeout=300)
+    assert len(sizes) >= 2 and sum(sizes) == 50 and max(sizes) <= 30
+    with pytest.raises(ValueError):
+        message_file_stream(spark, str(tmp_path / "in"), 1, 100)
+    assert topic_options(1000, 10, "1 minute") == {"maxOffsetsPerTrigger": "1000", "minOffsetsPerTrigger": "10", "maxTriggerDelay": "1 minute"}
+    assert topic_options() == {}
+    for wrong in ((None, None, "1 minute"), (5, 10, None)):
+        with pytest.raises(ValueError):
+            topic_options(*wrong)
 
 
 def test_time_range_reads_include_both_ends(spark, tmp_path):
