@@ -10,7 +10,8 @@ Encoding: neither side's tokens cross the start of a run of spaces (the split
 pattern of one side cuts there; no piece of the other holds a space behind
 another sign). So a worker keeps stretches (spaces and what follows) with their
 ids, and texts of plain signs are put together from these. The libraries encode
-new stretches, many at a time, and all other texts whole.
+new stretches, many at a time (where ids are ranks of merges, the library for
+ranks, which is faster and gives the same), and all other texts whole.
 
 Counts over the corpus: each task sums the documents of each pair of ids before
 the shuffle. The most frequent pairs (``HEAD`` at most, cut at a count read
@@ -50,6 +51,8 @@ _DIGITS: list[np.ndarray] = [NONE, NONE]
 #: Stretches that a worker keeps per generation, and the letters of one that it keeps at most; letters encoded at once.
 KEPT, KEPT_LETTERS, AT_ONCE = 1 << 17, 48, 1 << 15
 
+# The split pattern of the byte-level vocabulary's pre-tokenizer.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _STRETCH = re.compile(" +[^ ]*")
 #: Other white space before two spaces: the first side's pattern has them in one piece.
 _MIXED = re.compile("[\t\n\r]  ")
@@ -59,19 +62,19 @@ _LOADED: dict[int, Encoder] = {}
 class Side:
     """One tokenizer: a text with a space in front to ids."""
 
-    def __init__(self, encode, spelled: list[bytes]):
-        self.encode, self.spelled = encode, spelled
+    def __init__(self, encode, spelled: list[bytes], encode_plain=None):
+        self.encode, self.encode_plain, self.spelled = encode, encode_plain or encode, spelled
         self.length = np.array([len(x) for x in spelled], np.int64)
 
-    def ids(self, text: str) -> np.ndarray | None:
+    def ids(self, text: str, plain: bool = False) -> np.ndarray | None:
         """None if the tokens don't spell the text."""
-        ids = self.encode(text)
+        ids = (self.encode_plain if plain else self.encode)(text)
         spells = b"".join([self.spelled[i] for i in ids]) == text.encode()
         return np.array(ids, np.int32) if spells else None
 
     def pieces(self, stretches: list[str]) -> list[bytes | None]:
         """The ids of each, as bytes, from one call for all."""
-        ids = self.ids("".join(stretches))
+        ids = self.ids("".join(stretches), plain=True)
         ends = np.cumsum([len(x.encode()) for x in stretches])
         if ids is not None:
             stops = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
@@ -106,8 +109,18 @@ class Encoder:
             # The model adds the space itself.
             Side(lambda text: list(b.encode(text[1:])), [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]),
         )
-        split = json.loads(definition)["pre_tokenizer"] or {}
-        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in pieces)
+        known = json.loads(definition)
+        split = known["pre_tokenizer"] or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not known.get("normalizer")
+        self.cuts = usual and not any("▁" in p.lstrip("▁") for p in pieces)
+        merges = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in known["model"]["merges"]]
+        numbers = known["model"]["vocab"]
+        if usual and [numbers[m] for m in merges] == list(range(256, 256 + len(merges))) and set(range(256)) == {numbers[s] for s in value}:
+            # Ids follow the merges, so they are ranks, which the faster library takes.
+            import tiktoken
+
+            ranks = {spelled[i]: i for i in range(256 + len(merges))}
+            self.sides[0].encode_plain = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 

@@ -1,11 +1,12 @@
 """Aligned tokens against a plain Python version that compares all pairs of tokens."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
-from cases import corpus
+from cases import corpus, prose
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import queries, token_alignment
@@ -120,3 +121,16 @@ def test_empty_table(docs, paths):
 def test_text_that_tokens_do_not_spell():
     made = token_alignment.Aligned(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(2, int), np.zeros(2, int), np.ones(1, int), np.ones(1, int))
     assert made.texts() == [b"", b""] and made.groups().tolist() == [0, 0]
+
+
+def test_stretches_give_what_whole_texts_give(paths):
+    with open(paths[0], encoding="utf-8") as a, open(paths[1], "rb") as b:
+        encoder = token_alignment.Encoder(a.read(), b.read())
+    assert encoder.cuts and encoder.sides[0].encode_plain is not encoder.sides[0].encode
+    rng = random.Random(6)
+    signs = "abcdefghij  \n\t\r.,'sretvmld0123éßÜ-_<|>" + "".join(map(chr, range(33, 127)))
+    texts = [" " + "".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(6000)]
+    texts += [" " + " ".join(prose(i, 200)) for i in range(40)] + [" " + "ab" * 100_000, " " + " " * 3000 + "\n" * 3000]
+    for text, both in zip(texts, encoder.ids(texts), strict=True):
+        for side, ids in zip(encoder.sides, both, strict=True):
+            assert ids.tolist() == (side.encode(text) if len(text) > 1 else [])
