@@ -12,14 +12,15 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.functions.windows import ALL_TIME, BATCH_GRAINS, STREAM_GRAINS, grain_text
+from tallyhouse.manage import add_stream_options, stream_source, triggered
 from tallyhouse.operators.events import clean_messages
 from tallyhouse.plans.jobs import read_clean_archive, run_batch
-from tallyhouse.schemas import COLLECTION_COLUMNS
+from tallyhouse.schemas import COLLECTION_COLUMNS, SALE_TYPES
 from tallyhouse.session import get_session
+from tallyhouse.sinks.clean_table import read_days
 from tallyhouse.sinks.messages import console_writer, topic_writer, write_topic
 from tallyhouse.sinks.store import write_metrics
 from tallyhouse.sources.archive import parse_time
-from tallyhouse.sources.topics import message_file_stream, topic_stream
 from tallyhouse.streaming.jobs import (
     checkpoint_path,
     collections_stream,
@@ -51,6 +52,8 @@ def parser() -> argparse.ArgumentParser:
     batch = p.add_argument_group("batch")
     batch.add_argument("--raw-events-s3-uri", help="folder of the raw message archive")
     batch.add_argument("--also", nargs="*", default=[], choices=BATCH_GRAINS, help="more grains from the same pass")
+    batch.add_argument("--clean-events", help="folder of landed clean events, in place of the archive")
+    batch.add_argument("--sale-types", nargs="+", default=list(SALE_TYPES), help="event types that count as sales")
     batch.add_argument("--timestamp-start", type=parse_time)
     batch.add_argument("--timestamp-end", type=parse_time)
     stream = p.add_argument_group("stream")
@@ -58,9 +61,8 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--raw-events-files", help="folder of message files, in place of a topic")
     stream.add_argument("--watermark-duration")
     stream.add_argument("--checkpoint-dir")
-    stream.add_argument("--start-from-beginning", action="store_true")
-    stream.add_argument("--available-now", action="store_true", help="stop when the source is drained")
     stream.add_argument("--state-partitions", type=int)
+    add_stream_options(stream)
     return p
 
 
@@ -108,14 +110,18 @@ def _batch_writer(args: argparse.Namespace, feed: str, run: str):
 
 
 def batch(args: argparse.Namespace, spark: SparkSession) -> dict[str, int]:
-    if not args.raw_events_s3_uri:
-        raise ValueError("--raw-events-s3-uri is required in batch")
+    if not args.raw_events_s3_uri and not args.clean_events:
+        raise ValueError("--raw-events-s3-uri or --clean-events is required in batch")
     # A run has one folder per grain in the table, numbered like stream batches.
     run = f"batch-{uuid.uuid4().hex}"
     writers = {f"write_{feed}": _batch_writer(args, feed, run) for feed in _feeds(args)}
-    clean = read_clean_archive(spark, args.raw_events_s3_uri, args.timestamp_start, args.timestamp_end)
+    if args.clean_events:
+        clean = read_days(spark, args.clean_events, args.timestamp_start, args.timestamp_end)
+    else:
+        clean = read_clean_archive(spark, args.raw_events_s3_uri, args.timestamp_start, args.timestamp_end)
     grains = list(dict.fromkeys([args.time_window, *args.also]))
-    return run_batch(clean, grains, args.slide_duration, **writers)
+    landed = bool(args.clean_events)
+    return run_batch(clean, grains, args.slide_duration, sale_types=tuple(args.sale_types), landed=landed, **writers)
 
 
 def _stream_writer(args: argparse.Namespace, feed: str, rows: DataFrame):
@@ -135,15 +141,7 @@ def _stream_writer(args: argparse.Namespace, feed: str, rows: DataFrame):
 def stream(args: argparse.Namespace, spark: SparkSession) -> None:
     if not args.checkpoint_dir:
         raise ValueError("--checkpoint-dir is required in stream mode")
-    if args.raw_events_files:
-        messages = message_file_stream(spark, args.raw_events_files)
-    elif args.raw_events_kafka_topic and args.kafka_brokers:
-        messages = topic_stream(
-            spark, args.kafka_brokers, args.raw_events_kafka_topic, args.start_from_beginning
-        )
-    else:
-        raise ValueError("--raw-events-kafka-topic with --kafka-brokers, or --raw-events-files, is required")
-    clean = clean_messages(messages)
+    clean = clean_messages(stream_source(spark, args, args.raw_events_kafka_topic, args.raw_events_files))
     options = (args.time_window, args.slide_duration, args.watermark_duration)
     queries = []
     for feed in _feeds(args):
@@ -151,9 +149,7 @@ def stream(args: argparse.Namespace, spark: SparkSession) -> None:
             rows = global_stream(clean, *options)
         else:
             rows = collections_stream(clean, *options, with_asset_key=True)
-        writer = _stream_writer(args, feed, rows)
-        if args.available_now:
-            writer = writer.trigger(availableNow=True)
+        writer = triggered(_stream_writer(args, feed, rows), args)
         queries.append(start(writer, spark, args.state_partitions))
     wait_for_all(spark, queries)
 

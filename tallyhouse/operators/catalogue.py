@@ -6,14 +6,15 @@ SQL expressions over the measures below, and pass it to ``metric_rows``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.events import is_sale, is_transfer
-from tallyhouse.schemas import SALE_TYPES
+from tallyhouse.schemas import SALE_TYPES, SOLD
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,9 @@ class Family:
     metrics  metric name without grain -> expression over the measures
     rank_by  measure to rank groups by, highest first, or None to keep all
     top_n    how many groups to keep per ranking
+    sale_types  event types that are sales to this family, where they are not
+             those of the call
+    suffix   of the measures that such a family reads; set by ``measured``
     """
 
     name: str
@@ -34,6 +38,15 @@ class Family:
     metrics: tuple[tuple[str, str], ...]
     rank_by: str | None = None
     top_n: int | None = None
+    sale_types: tuple[str, ...] | None = None
+    suffix: str = ""
+
+    def expression(self, text: str) -> Column:
+        """An SQL text over the measures, as this family means them."""
+        return F.expr(_OF_SALES.sub(rf"\1{self.suffix}", text) if self.suffix else text)
+
+    def present(self) -> Column:
+        return self.expression(PRESENT[self.rows])
 
 
 # A group exists in a family when this holds for its measures.
@@ -45,6 +58,9 @@ PRESENT = {
 }
 
 
+_OF_SALES = re.compile(r"\b(sales|sold|usd|eth|floor_usd|avg_usd)\b")
+
+
 def measures(sale_types: Sequence[str] = SALE_TYPES) -> dict[str, Column]:
     """Aggregates every family draws on. All combine before the shuffle."""
     sale, transfer = is_sale(sale_types), is_transfer()
@@ -62,23 +78,57 @@ def measures(sale_types: Sequence[str] = SALE_TYPES) -> dict[str, Column]:
     }
 
 
-def partial_measures(sale_types: Sequence[str] = SALE_TYPES) -> dict[str, Column]:
-    """What to keep per small group so that larger groups can be merged from it."""
-    kept = measures(sale_types)
-    del kept["avg_usd"]
-    return {**kept, "priced": F.count(F.when(is_sale(sale_types), F.col("usd_price")))}
+def partial_measures() -> dict[str, Column]:
+    """What to keep per small group of one event type, so that any larger group,
+    whatever counts as a sale there, can be merged from it."""
+    return {
+        "count": F.count(F.lit(1)),
+        "pieces": F.sum("quantity"),
+        "usd_sum": F.sum("usd_price"),
+        "eth_sum": F.sum("eth_price"),
+        "usd_low": F.min("usd_price"),
+        "priced": F.count("usd_price"),
+    }
+
 
+def merged_partials() -> dict[str, Column]:
+    """Partial measures of a group from those of its parts."""
+    return {name: (F.min if name == "usd_low" else F.sum)(name) for name in partial_measures()}
 
-def merged_measures() -> dict[str, Column]:
+
+def merged_measures(sale_types: Sequence[str] = SALE_TYPES) -> dict[str, Column]:
     """The measures of a group from the partial measures of its parts."""
-    sums = ["events", "transfers", "items", "sales", "sold", "usd", "eth"]
+    sale, transfer = is_sale(sale_types), is_transfer()
+    of = lambda test, name: F.when(test, F.col(name))
     return {
-        **{name: F.sum(name) for name in sums},
-        "floor_usd": F.min("floor_usd"),
-        "avg_usd": F.try_divide(F.sum("usd"), F.sum("priced")),
+        "events": F.sum("count"),
+        "transfers": F.sum(of(transfer, "count").otherwise(0)),
+        "items": F.sum(of(transfer, "pieces")),
+        "sales": F.sum(of(sale, "count").otherwise(0)),
+        "sold": F.sum(of(sale, "pieces")),
+        "usd": F.sum(of(sale, "usd_sum")),
+        "eth": F.sum(of(sale, "eth_sum")),
+        "floor_usd": F.min(of(sale, "usd_low")),
+        "avg_usd": F.try_divide(F.sum(of(sale, "usd_sum")), F.sum(of(sale, "priced"))),
     }
 
 
+def measured(
+    families: Sequence[Family], sale_types: Sequence[str], make: Callable[[Sequence[str]], dict[str, Column]]
+) -> tuple[list[Family], dict[str, Column]]:
+    """The families and all measures they read, sales of one meaning counted once."""
+    kinds = list(dict.fromkeys([tuple(sale_types), *(f.sale_types for f in families if f.sale_types)]))
+    suffix = {kind: f"_{i}" if i else "" for i, kind in enumerate(kinds)}
+    used = {f.sale_types or kinds[0] for f in families}
+    aggregates = {}
+    for kind in kinds:
+        for name, aggregate in make(kind).items():
+            if kind in used or kind == kinds[0]:
+                of_sales = _OF_SALES.fullmatch(name)
+                aggregates.setdefault(name + suffix[kind] if of_sales else name, aggregate)
+    return [replace(f, suffix=suffix[f.sale_types or kinds[0]]) for f in families], aggregates
+
+
 GLOBAL_WINDOWED = Family(
     "global_windowed",
     "global",
@@ -221,3 +271,34 @@ TOP_ASSETS_BY_TRANSFERS_ALL_TIME = Family(
     rank_by="transfers",
     top_n=20,
 )
+
+# Metrics of the explorations, where listings are no sales; windows without
+# such an event have no row.
+TOTAL_VOLUME = Family("total_volume", "global", "sales", (("total_volume", "usd"),), sale_types=SOLD)
+TRANSFER_TOTALS = Family(
+    "transfer_totals",
+    "global",
+    "transfers",
+    (("transfers_count", "transfers"), ("items_transferred_count", "items")),
+)
+TOP_COLLECTIONS_BY_VOLUME = Family(
+    "top_collections_by_volume",
+    "collection",
+    "sales",
+    (("top_collections_by_volume", "usd"),),
+    rank_by="usd",
+    top_n=10,
+    sale_types=SOLD,
+)
+COLLECTION_STATS = Family(
+    "collection_stats",
+    "collection",
+    "sales",
+    (
+        ("collection_floor_price", "floor_usd"),
+        ("collection_total_volume", "usd"),
+        ("collection_avg_assets_price", "avg_usd"),
+        ("collection_total_sales", "sales"),
+    ),
+    sale_types=SOLD,
+)

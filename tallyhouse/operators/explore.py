@@ -11,8 +11,9 @@ from tallyhouse.functions.events import is_transfer
 from tallyhouse.functions.ranking import keep_top
 from tallyhouse.functions.windows import event_window, metric_name, time_literal
 from tallyhouse.operators.events import sales_items, transferred_items
+from tallyhouse.operators.quantiles import quantiles
+from tallyhouse.schemas import SOLD
 
-SOLD = ("item_sold",)
 WINDOW_COLUMNS = ["window_start", "window_end"]
 
 
@@ -211,9 +212,9 @@ def metric_name_counts(rows: DataFrame) -> DataFrame:
 
 
 def metric_quartiles(rows: DataFrame) -> DataFrame:
-    """Exact quartiles of the values, between two values in proportion. Tasks
-    hold distinct values with their counts."""
-    return rows.agg(*[F.percentile("value", F.lit(p / 4)).alias(f"q{p}") for p in (1, 2, 3)])
+    """Exact quartiles of the values, between two values in proportion; no task holds them all."""
+    found = quantiles(rows, "value", [0.25, 0.5, 0.75])
+    return rows.sparkSession.createDataFrame([tuple(found)], "q1 double, q2 double, q3 double")
 
 
 def metric_summary(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.events import asset_key, asset_name, is_sale, is_transfer
 from tallyhouse.functions.ranking import keep_top
 from tallyhouse.functions.windows import ALL_TIME, event_window, metric_name, run_time, window_end
-from tallyhouse.operators.catalogue import PRESENT, Family, measures, merged_measures
+from tallyhouse.operators.catalogue import Family, measured, measures, merged_measures
 from tallyhouse.schemas import ASSET_COLUMNS, SALE_TYPES
 
 LEVEL_KEYS = {
@@ -44,12 +44,10 @@ def metric_rows(
     All-time rows carry ``as_of`` (now, if not given) as their timestamp.
     ``clean`` may be the partial groups of ``plans.rollup`` in place of events.
     """
-    if from_partials:
-        if set(sale_types) != set(SALE_TYPES):
-            raise ValueError("partial groups hold all sale types: compute a narrower feed from events")
-        rows, aggregates = clean.filter(_wanted_partials(families)), merged_measures()
-    else:
-        rows, aggregates = clean.filter(_wanted_rows(families, sale_types)), measures(sale_types)
+    if from_partials and any(f.level == "asset" for f in families) and ASSET_COLUMNS[0] not in clean.columns:
+        raise ValueError("these partial groups have no assets")
+    rows = clean.filter(_wanted_rows(families, sale_types))
+    families, aggregates = measured(families, sale_types, merged_measures if from_partials else measures)
     time_key = []
     if grain != ALL_TIME:
         rows = rows.withColumn("timestamp", window_end(grain, slide))
@@ -80,6 +78,7 @@ def metric_stream(
     if watermark:
         clean = clean.withWatermark("sent_at", watermark)
     rows = clean.filter(_wanted_rows(families, sale_types))
+    families, aggregates = measured(families, sale_types, measures)
     levels = [
         F.when(_wanted_rows(at_level, sale_types), F.lit(level))
         for level in LEVELS
@@ -92,7 +91,7 @@ def metric_stream(
     ]
     groups = (
         rows.groupBy(event_window(grain, slide), "level", *keys)
-        .agg(*_named(measures(sale_types)))
+        .agg(*_named(aggregates))
         .withColumn("timestamp", F.col("window.end"))
     )
     return _emit(_pick(groups, families), families, grain)
@@ -112,20 +111,14 @@ def _wanted_rows(families: Sequence[Family], sale_types: Sequence[str]) -> Colum
     if "events" in kinds:
         return F.lit(True)
     tests = []
-    if kinds & {"sales", "trades"}:
-        tests.append(is_sale(sale_types))
+    sales = {t for f in families if f.rows in ("sales", "trades") for t in f.sale_types or sale_types}
+    if sales:
+        tests.append(is_sale(sorted(sales)))
     if kinds & {"transfers", "trades"}:
         tests.append(is_transfer())
     return reduce(lambda a, b: a | b, tests)
 
 
-def _wanted_partials(families: Sequence[Family]) -> Column:
-    """The partial groups any of the families merges."""
-    if any(f.level == "asset" for f in families):
-        raise ValueError("partial groups have no assets")
-    return F.expr(" or ".join(f"({PRESENT[kind]})" for kind in sorted({f.rows for f in families})))
-
-
 def _group(
     rows: DataFrame,
     families: Sequence[Family],
@@ -168,8 +161,8 @@ def _pick(groups: DataFrame, families: Sequence[Family]) -> DataFrame:
 
 def _present(family: Family) -> Column:
     at_level = F.col("level") == family.level
-    # The one global group exists over no rows too.
-    return at_level if family.level == "global" else at_level & F.expr(PRESENT[family.rows])
+    # The one global group of all events exists over no rows too.
+    return at_level if (family.level, family.rows) == ("global", "events") else at_level & family.present()
 
 
 def _case(families: Sequence[Family], value) -> Column:
@@ -197,7 +190,7 @@ def _keep_ranked(picked: DataFrame, families: Sequence[Family]) -> DataFrame:
         if f.level == "global" or (f.level == "collection" and f.rank_by)
         else F.col("collection_slug"),
     )
-    by = _case(families, lambda f: F.col(f.rank_by or "events").cast("double"))
+    by = _case(families, lambda f: f.expression(f.rank_by or "events").cast("double"))
     ties = [F.asc_nulls_last(key) for key in LEVEL_KEYS["asset"]]
     sizes = {f.top_n for f in ranked}
     # Rows are sorted by these keys; the first should tell most of them apart.
@@ -218,7 +211,7 @@ def _emit(picked: DataFrame, families: Sequence[Family], grain: str) -> DataFram
         pairs = [
             F.struct(
                 F.lit(metric_name(name, grain)).alias("metric"),
-                F.expr(value).cast("double").alias("value"),
+                family.expression(value).cast("double").alias("value"),
             )
             for name, value in family.metrics
         ]

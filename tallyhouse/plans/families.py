@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.windows import ALL_TIME, metric_name, run_time
 from tallyhouse.operators import catalogue as C
+from tallyhouse.operators.explore import top_sales_by_price
 from tallyhouse.operators.metrics import metric_rows
 from tallyhouse.schemas import COLLECTION_COLUMNS, GLOBAL_COLUMNS
 
@@ -91,6 +92,19 @@ def top_assets_all_time(
     return _collections(clean, families, as_of=as_of, **options)
 
 
+def exploration_metrics(clean: DataFrame, grain: str, slide: str | None = None, **options) -> DataFrame:
+    """What explorations chart, with the global totals, from one scan: volume and
+    top collections by sold items, transfers and items per window."""
+    families = [C.GLOBAL_WINDOWED, C.TOTAL_VOLUME, C.TRANSFER_TOTALS, C.TOP_COLLECTIONS_BY_VOLUME]
+    return _global(clean, families, grain, slide=slide, **options)
+
+
+def collection_profile(clean: DataFrame, grain: str, n: int = 20, **options) -> DataFrame:
+    """Price statistics of each collection and window, and its ``n`` dearest sales."""
+    stats = _collections(clean, [C.COLLECTION_STATS], grain, **options).filter(F.col("collection").isNotNull())
+    return stats.unionByName(top_sales_by_price(clean, grain, n))
+
+
 def _merged(clean: DataFrame, partials: DataFrame | None) -> tuple[DataFrame, dict]:
     """The rows to build non-asset metrics from, and how to read them."""
     return (clean, {}) if partials is None else (partials, {"from_partials": True})
@@ -127,6 +141,7 @@ def collections_feed(
     n_per_collection: int = 50,
     with_asset_key: bool = False,
     partials: DataFrame | None = None,
+    asset_partials: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """All collection- and asset-level metrics of one grain.
@@ -134,7 +149,8 @@ def collections_feed(
     Each plan reads only its own rows and columns, so raw input should be
     landed first. Collections and assets could share a scan through grouping
     sets, but their groups differ so much in number that this measures slower
-    (README). Partial groups, if given, serve the collections.
+    (README). Partial groups, if given, serve the collections, and those with
+    assets (``plans.rollup.asset_chain``) the assets.
     """
     options["with_asset_key"] = with_asset_key
     source, how = _merged(clean, partials)
@@ -148,7 +164,8 @@ def collections_feed(
         assets = [[C.TOP_ASSETS_BY_SALES], [C.ASSET_TRANSFERS]]
     options.update(slide=slide, as_of=as_of)
     feeds = [_collections(source, families, grain, **options, **how) for families in collections]
-    feeds += [_collections(clean, families, grain, **options) for families in assets]
+    source, how = _merged(clean, asset_partials)
+    feeds += [_collections(source, families, grain, **options, **how) for families in assets]
     return reduce(DataFrame.unionByName, feeds)
 
 

@@ -421,6 +421,33 @@ def _all_of(queries: list[str], columns: str) -> str:
     return "\nunion all\n".join(f"select {columns} from ({query})" for query in queries)
 
 
+def _sold_only(query: str) -> str:
+    return query.replace("event_type in ('item_sold', 'item_listed')", "event_type = 'item_sold'")
+
+
+EVENTS_IN_RANGE = EVENTS.replace("from events", f"from (select * from events where ts between {LOW} and {HIGH})")
+
+
+def exploration_tables(grain: str) -> str:
+    return f"""
+ev as (select *, {window_end(grain)} as t from clean where sent_at is not null),
+sv as (select t, collection_slug, sum(usd_price) as usd from ev where event_type = 'item_sold' group by 1, 2)"""
+
+
+def exploration_rows(grain: str) -> str:
+    end = suffix(grain)
+    return f"""
+union all
+select 'total_volume{end}', t, sum(usd_price), '' from ev where event_type = 'item_sold' group by t
+union all
+select 'transfers_count{end}', t, count(*), '' from ev where event_type = 'item_transferred' group by t
+union all
+select 'items_transferred_count{end}', t, sum(quantity), '' from ev where event_type = 'item_transferred' group by t
+union all
+select 'top_collections_by_volume{end}', t, usd, collection_slug from sv
+qualify row_number() over (partition by t order by usd desc nulls last, collection_slug nulls last) <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     windowed = ["14 days", "7 days", "1 day", "12 hours", "1 hour"]
     global_all_time = (
@@ -482,6 +509,21 @@ qualify row_number() over (partition by metric, collection, "timestamp" order by
         ),
         "trades_global_feed_7d": global_feed("7 days", TRADES),
         "trades_collections_feed_all_time": collections_all_time(TRADES),
+        "global_feed_sold_only": _sold_only(global_feed("1 day")),
+        "global_feed_sold_only_partials": _sold_only(global_feed("1 day")),
+        "collections_feed_sold_only": _sold_only(collections_feed("1 day")),
+        "collections_feed_sold_only_partials": _sold_only(collections_feed("1 day")),
+        "landed_feed": global_feed("1 day", EVENTS_IN_RANGE),
+        "exploration_metrics": _with(EVENTS, global_sums("1 hour"), exploration_tables("1 hour"))
+        + global_rows("1 hour")
+        + exploration_rows("1 hour"),
+        "collection_profile": f"select * from ({top_collection_stats('1 hour')})\nunion all\n"
+        f"select * from ({top_sales_by_price('1 hour')})",
+        "price_quantiles": _with(EVENTS)
+        + "\nunion all\n".join(
+            f"select cast({p} as double) as share, quantile_cont(usd_price, {p}) as usd_price from clean"
+            for p in (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
+        ),
         "event_type_counts": _with(EVENTS) + "select event_type, count(*) as count from clean group by 1",
         "event_type_counts_priced": _with(EVENTS)
         + "select event_type, count(*) as count from clean where usd_price is not null group by 1",

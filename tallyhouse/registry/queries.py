@@ -14,12 +14,14 @@ from pyspark.sql.types import TimestampType
 from tallyhouse.functions.windows import ALL_TIME, BATCH_GRAINS, metric_name
 from tallyhouse.operators import events as ev
 from tallyhouse.operators import explore
+from tallyhouse.operators.quantiles import quantiles
 from tallyhouse.plans import families as fam
-from tallyhouse.plans.rollup import partial_groups
-from tallyhouse.schemas import COLLECTION_COLUMNS, COLLECTION_SCHEMA, GLOBAL_COLUMNS, GLOBAL_SCHEMA
+from tallyhouse.plans.rollup import asset_chain, partial_groups
+from tallyhouse.schemas import COLLECTION_COLUMNS, COLLECTION_SCHEMA, GLOBAL_COLUMNS, GLOBAL_SCHEMA, SOLD
 from tallyhouse.serving import reads
 from tallyhouse.session import materialise, scratch_dir, use_utc
 from tallyhouse.sinks.archive import archive_writer, write_archive
+from tallyhouse.sinks.clean_table import read_days, write_days
 from tallyhouse.sinks.messages import decode_messages, encode_messages
 from tallyhouse.sinks.snapshots import SnapshotList, Storage
 from tallyhouse.sinks.store import compact_metrics, read_metrics, write_metrics
@@ -271,11 +273,39 @@ def global_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collections_feed_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     clean = tables.market_events(spark, sf_dir)
-    parts = materialise(partial_groups(clean), scratch_dir(spark, "partials"))
-    feeds = [fam.collections_feed(clean, grain, as_of=AS_OF, partials=parts) for grain in BATCH_GRAINS]
+    path = scratch_dir(spark, "partials")
+    parts = materialise(partial_groups(clean), f"{path}/collections")
+    assets = asset_chain(clean, BATCH_GRAINS, f"{path}/assets")
+    feeds = [
+        fam.collections_feed(clean, grain, as_of=AS_OF, partials=parts, asset_partials=assets.get(grain))
+        for grain in BATCH_GRAINS
+    ]
     return reduce(DataFrame.unionByName, [_plain_times(feed) for feed in feeds])
 
 
+def _sold_only(feed: Callable[..., DataFrame], both_ways: bool) -> Query:
+    """A feed where listings are no sales; from partial groups that hold all event types, or from events."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        use_utc(spark)
+        clean = tables.market_events(spark, sf_dir)
+        parts = materialise(partial_groups(clean), scratch_dir(spark, "partials")) if both_ways else None
+        return _plain_times(feed(clean, "1 day", sale_types=SOLD, partials=parts))
+
+    return query
+
+
+def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed over a range of a kept table: landed once, then a part of its days again."""
+    use_utc(spark)
+    path = scratch_dir(spark, "landed")
+    clean = tables.market_events(spark, sf_dir)
+    write_days(clean, path)
+    again = (datetime(2024, 1, 8), datetime(2024, 1, 12))
+    write_days(in_time_range(clean, *again), path, *again)
+    return _plain_times(fam.global_feed(read_days(spark, path, *RANGE), "1 day"))
+
+
 # Streams
 
 
@@ -400,7 +430,17 @@ def _display(rows: DataFrame) -> DataFrame:
 
 def _quartiles(clean: DataFrame) -> DataFrame:
     rows = _metric(fam.global_metrics(clean, "1 hour"), "total_transfers", "1 hour")
-    return explore.metric_quartiles(rows)
+    stored = materialise(rows.select("value"), scratch_dir(clean.sparkSession, "values"))
+    return explore.metric_quartiles(stored)
+
+
+def price_quantiles(clean: DataFrame) -> DataFrame:
+    """Exact quantiles of all prices."""
+    spark = clean.sparkSession
+    stored = materialise(clean.select("usd_price"), scratch_dir(spark, "values"))
+    shares = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    found = zip(shares, quantiles(stored, "usd_price", shares), strict=True)
+    return spark.createDataFrame(list(found), "share double, usd_price double")
 
 
 def _summary(clean: DataFrame) -> DataFrame:
@@ -448,6 +488,13 @@ def queries() -> dict[str, Query]:
         "collections_feed_all_time": _on_events(lambda c: fam.collections_feed(c, ALL_TIME, as_of=AS_OF)),
         "global_feed_every_grain": global_feed_every_grain,
         "collections_feed_every_grain": collections_feed_every_grain,
+        "global_feed_sold_only": _sold_only(fam.global_feed, both_ways=False),
+        "global_feed_sold_only_partials": _sold_only(fam.global_feed, both_ways=True),
+        "collections_feed_sold_only": _sold_only(fam.collections_feed, both_ways=False),
+        "collections_feed_sold_only_partials": _sold_only(fam.collections_feed, both_ways=True),
+        "landed_feed": landed_feed,
+        "exploration_metrics": _on_events(lambda c: fam.exploration_metrics(c, "1 hour")),
+        "collection_profile": _on_events(lambda c: fam.collection_profile(c, "1 hour")),
         "trades_global_feed_7d": _on_trades(lambda c: fam.global_feed(c, "7 days")),
         "trades_collections_feed_all_time": _on_trades(lambda c: fam.collections_feed(c, ALL_TIME, as_of=AS_OF)),
         # profiles and drill-downs
@@ -473,6 +520,7 @@ def queries() -> dict[str, Query]:
         "metric_name_counts": _on_events(lambda c: explore.metric_name_counts(fam.global_feed(c, "1 hour"))),
         "metric_summary": _on_events(_summary),
         "metric_quartiles": _on_events(_quartiles),
+        "price_quantiles": _on_events(price_quantiles),
         # streams
         "stream_global_1h": stream_global_1h,
         "stream_global_5m": stream_global_5m,

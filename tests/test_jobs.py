@@ -6,13 +6,15 @@ import pytest
 
 from helpers import T0, event, events, message, values
 from tallyhouse import cli
+from tallyhouse import manage as commands
 from tallyhouse.plans import families as fam
 from tallyhouse.plans.jobs import land, run_batch
-from tallyhouse.plans.rollup import common_base, partial_groups
+from tallyhouse.plans.rollup import asset_chain, common_base, partial_groups
 from tallyhouse.schemas import CLEAN_COLUMNS, COLLECTION_COLUMNS, GLOBAL_COLUMNS
 from tallyhouse.session import scratch_dir
 from tallyhouse.sinks.archive import write_archive
-from tallyhouse.sinks.clean_table import read_clean, write_clean
+from tallyhouse.sinks.clean_table import read_clean, read_days, write_clean, write_days
+from tallyhouse.sinks.messages import encode_messages
 from tallyhouse.sinks.store import read_metrics
 
 KINDS = ["item_sold", "item_listed", "item_transferred", "item_received_bid"]
@@ -224,9 +226,102 @@ def test_scratch_needs_a_shared_folder(spark):
         scratch_dir(Bare(), "x")
 
 
-def test_partials_refuse_other_sale_types(spark):
-    with pytest.raises(ValueError, match="sale types"):
-        fam.global_feed(events(spark), "1 hour", sale_types=("item_sold",), partials=events(spark))
+@pytest.mark.parametrize("grain", ["1 hour", "all time"])
+@pytest.mark.parametrize("types", [("item_sold",), ("item_listed", "item_received_bid"), ("none",)])
+def test_partials_serve_any_sale_types(spark, archive, grain, types):
+    clean = cli.read_clean_archive(spark, archive)
+    parts, options = partial_groups(clean), {"sale_types": types, "as_of": datetime(2024, 2, 1)}
+    for feed in (fam.global_feed, fam.collections_feed):
+        expected = feed(clean, grain, **options)
+        merged = feed(clean, grain, partials=parts, **options)
+        assert values(merged, *expected.columns) == values(expected, *expected.columns)
+
+
+def test_assets_come_from_a_chain_of_windows(spark, tmp_path):
+    kinds = ["item_sold", "item_transferred", "item_listed"]
+    rows = [event(kinds[i % 3], f"c{i % 2}", T0 + timedelta(hours=7 * i), f"n{i % 3}", usd=float(i % 5)) for i in range(600)]
+    rows += [event(at=None, usd=3.0), event("item_transferred", slug=None, nft=None)]
+    clean = events(spark, *rows)
+    grains = ["1 hour", "1 day", "7 days", "14 days", "all time"]
+    chain = asset_chain(clean, grains, str(tmp_path / "chain"))
+    assert "1 hour" not in chain and {"14 days", "all time"} <= set(chain)
+    assert chain["all time"].count() < chain["14 days"].count() < len(rows) / 2
+    options = {"as_of": datetime(2024, 2, 1), "with_asset_key": True}
+    for grain in grains:
+        expected = fam.collections_feed(clean, grain, **options)
+        merged = fam.collections_feed(clean, grain, asset_partials=chain.get(grain), **options)
+        assert values(merged, *expected.columns) == values(expected, *expected.columns), grain
+    apart = [event(nft=f"n{i}", at=T0 + timedelta(days=i)) for i in range(50)]
+    assert asset_chain(events(spark, *apart), grains, str(tmp_path / "none")) == {}
+    slid = asset_chain(clean, ["14 days"], str(tmp_path / "slid"), slide="7 days")
+    expected = fam.collections_feed(clean, "14 days", "7 days", **options)
+    merged = fam.collections_feed(clean, "14 days", "7 days", asset_partials=slid["14 days"], **options)
+    assert values(merged, *expected.columns) == values(expected, *expected.columns)
+
+
+def test_assets_need_groups_that_have_them(spark):
+    with pytest.raises(ValueError, match="assets"):
+        clean = events(spark, event())
+        fam.collections_feed(clean, "1 day", asset_partials=partial_groups(clean))
+
+
+def test_days_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    first = events(spark, *[event(k, at=T0 + timedelta(days=i % 6, hours=i)) for i, k in enumerate(KINDS * 6)], event(at=None))
+    for _ in range(2):
+        write_days(first, path)
+    assert values(read_days(spark, path), *CLEAN_COLUMNS) == values(first, *CLEAN_COLUMNS)
+    low, high = T0 + timedelta(days=1), T0 + timedelta(days=4)
+    again = events(spark, event("item_sold", slug="new", at=low), event("item_sold", slug="new", at=low + timedelta(days=2)), event(slug="out", at=high))
+    write_days(again, path, low, high)
+    kept = read_days(spark, path)
+    assert kept.filter("collection_slug = 'out'").count() == 0
+    inside = kept.filter(f"sent_at >= '{low}' and sent_at < '{high}'")
+    assert values(inside, "collection_slug", "sent_at") == [("new", low), ("new", low + timedelta(days=2))]
+    outside = f"sent_at is null or sent_at < '{low}' or sent_at >= '{high}'"
+    assert values(kept.filter(outside), *CLEAN_COLUMNS) == values(first.filter(outside), *CLEAN_COLUMNS)
+    one = read_days(spark, path, T0, T0 + timedelta(hours=30))
+    plan = one._jdf.queryExecution().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "event_date" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    with pytest.raises(ValueError, match="days"):
+        write_days(first, path, T0 + timedelta(hours=1), high)
+
+
+def test_landed_events_feed_a_run(spark, tmp_path, archive):
+    kept, g = str(tmp_path / "kept"), str(tmp_path / "g")
+    manage(["land", "--raw-events-s3-uri", archive, "--path", kept])
+    run(["global", "1 hour", "--clean-events", kept, "--sale-types", "item_sold", "--global-store", g])
+    expected = fam.global_feed(cli.read_clean_archive(spark, archive), "1 hour", sale_types=("item_sold",))
+    assert values(read_metrics(spark, g), *GLOBAL_COLUMNS) == values(expected, *GLOBAL_COLUMNS)
+
+
+def manage(argv):
+    from pyspark.sql import SparkSession
+
+    args = commands.parser().parse_args(argv)
+    return args.run(args, SparkSession.getActiveSession())
+
+
+def test_table_commands(spark, tmp_path, archive, capsys):
+    source, table, hours = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "hours")
+    feed = fam.collections_feed(cli.read_clean_archive(spark, archive), "1 day", with_asset_key=True)
+    encode_messages(feed, key_column=None).coalesce(3).write.text(str(source))
+    stream = ["--files", str(source), "--available-now", "--files-per-trigger", "1"]
+    manage(["fill", *stream, "--path", table, "--checkpoint-dir", str(tmp_path / "k1")])
+    manage(["compact", "--path", table, "--everything"])
+    assert values(read_metrics(spark, table), *COLLECTION_COLUMNS) == values(feed, *COLLECTION_COLUMNS)
+    query = ["--collection", "c1", "--metric", "collection_total_sales_count", "--grain", "1 day", "--order", "ascending", "--limit", "2"]
+    manage(["read", "--path", table, *query])
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["collection"] for x in lines] == ["c1", "c1"] and lines[0]["timestamp"] < lines[1]["timestamp"]
+    manage(["read", "--path", table, "--rejects"])
+    assert capsys.readouterr().out == ""
+    manage(["archive", *stream, "--path", hours, "--checkpoint-dir", str(tmp_path / "k2"), "--trigger", "1 second"])
+    assert spark.read.text(hours).count() == feed.count()
+    manage(["compact", "--path", hours])
+    with pytest.raises(ValueError):
+        manage(["fill", "--path", table, "--checkpoint-dir", str(tmp_path / "k3")])
 
 
 def test_a_run_over_both_feeds_reads_raw_input_once(spark, archive):
