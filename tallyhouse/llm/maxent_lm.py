@@ -7,14 +7,16 @@ Every token has a class. ``P(token | before) = P(class | before) * P(token | cla
   ``RARE`` classes by a hash of their last two bytes. The end of a text has a
   class of its own.
 * ``P(class | before)`` is a softmax over weights of three hashed features: the
-  token before (bigram), the one before that (skip), and both (trigram). Every
-  task runs gradient steps over all its training documents; the tasks' weights
-  are averaged by their number of tokens, in slices, each summed as it streams
-  by. Its size is fixed by ``BUCKETS`` and the number of classes.
+  token before (bigram), the one before that (skip), and both (trigram).
+  Training documents are dealt to learners by a hash of id and text, about
+  ``SHARE`` tokens to each. A learner runs gradient steps over all its documents
+  in the order of that hash, and steps end at the same tokens however the table
+  is partitioned. Their weights are averaged by their number of tokens, in
+  slices, each summed as it streams by. Buckets grow with the tokens learnt from.
 * ``P(token | class)`` is (count + 1) / (tokens + types + 1) of the class.
 
 Counts cover all training documents and are never cut. Only the top tokens (a
-fixed number) go out to the tasks; counts of all others are joined to the
+bounded number, cut at a count that a histogram gives) go out to the tasks; counts of all others are joined to the
 documents that use them, where no token can be hot any more.
 """
 
@@ -31,7 +33,11 @@ from pyspark.sql import functions as F
 from tallyhouse.llm import words as W
 from tallyhouse.llm.staging import Stage
 
-TOP, CLASSES, RARE, BUCKETS = 1 << 17, 32, 16, 1 << 13
+TOP, CLASSES, RARE = 1 << 17, 32, 16
+#: Tokens of a learner, and learners at most (beyond that, each gets more).
+SHARE, LEARNERS = 1 << 22, 1 << 10
+#: A histogram step of counts is a factor of 2 ** (1 / STEPS).
+STEPS = 64
 #: Tokens of a gradient step, its rate, and rows of weights in a slice.
 STEP, RATE, SLICE = 1 << 14, 0.3, 512
 END, BEGIN = W.U(0x5BF03635F0B7A54D), W.U(0x1CE4E5B9BF58476D)
@@ -40,6 +46,11 @@ END_CLASS, N_CLASSES = RARE + CLASSES, RARE + CLASSES + 1
 HELD = 1 << 20
 
 
+def bucket_bits(tokens: int) -> int:
+    """Of a feature's buckets: 13 up to half a million tokens, one more with every 16 times as many, 16 at most."""
+    return min(16, 13 + max(0, tokens.bit_length() - 19) // 4)
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -63,7 +74,7 @@ class Tokens:
         self.row = np.empty(n + texts, dtype=np.int64)
         self.row[words], self.row[ends] = row, np.arange(texts)
 
-    def features(self) -> np.ndarray:
+    def features(self, bits: int) -> np.ndarray:
         """Buckets of the three features of each token."""
         one, two = np.roll(self.hash, 1), np.roll(self.hash, 2)
         one[self.first] = two[self.first] = BEGIN
@@ -71,7 +82,7 @@ class Tokens:
         second = second[second < len(two)]
         at = second[self.row[second] == self.row[second - 1]]
         two[at] = BEGIN
-        shift = W.U(64 - (BUCKETS.bit_length() - 1))
+        shift = W.U(64 - bits)
         both = (one * W.U(0x9E3779B97F4A7C15)) ^ (two * W.U(0xC2B2AE3D27D4EB4F))
         made = (one * W.U(0xD6E8FEB86659FD93), two * W.U(0xA0761D6478BD642F), W.mix(both))
         return np.stack([(x >> shift).astype(np.uint16) for x in made])
@@ -125,29 +136,31 @@ class Vocabulary:
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
-    """From (token, count, rare): a fixed number of top rows, and sums, come to the driver."""
+    """From (token, count, rare): ``TOP`` rows at most, whole counts, and sums come to the driver."""
     all_of = counts.agg(F.sum("count").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("count"), "token").limit(TOP).select("token", "count").toPandas()
+    step = F.floor(F.log2("count") * STEPS)
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    kept, cut = 0, None
+    for row in sizes:
+        kept += row["count"]
+        if kept > TOP:
+            break
+        cut = row["step"]
+    frequent = step >= (cut if cut is not None else sizes[0]["step"] + 1 if sizes else 0)
+    top = counts.filter(frequent).select("token", "count").orderBy(F.desc("count"), "token").toPandas()
     token, count = top["token"].to_numpy().astype(np.int64).view(W.U), top["count"].to_numpy().astype(np.int64)
     mass = np.cumsum(count) - count
     kind = RARE + np.minimum(mass * CLASSES // max(1, count.sum()), CLASSES - 1)
     kind[token == END] = END_CLASS
     tokens_of = np.bincount(kind, weights=count, minlength=N_CLASSES)
     types_of = np.bincount(kind, minlength=N_CLASSES).astype(float)
-    if len(top) == TOP:
-        for row in _beyond(counts, top).groupBy("rare").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
-            tokens_of[row["rare"]] += row["n"]
-            types_of[row["rare"]] += row["v"]
+    for row in counts.filter(~frequent).groupBy("rare").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
+        tokens_of[row["rare"]] += row["n"]
+        types_of[row["rare"]] += row["v"]
     order = np.argsort(token)
     return Vocabulary(token[order], count[order], kind[order].astype(np.uint8), tokens_of, types_of, int(all_of["n"] or 0), int(all_of["v"]))
 
 
-def _beyond(counts: DataFrame, top) -> DataFrame:
-    """Counts that are not among the top rows."""
-    token, count = int(top["token"].iloc[-1]), int(top["count"].iloc[-1])
-    return counts.filter((F.col("count") < count) | ((F.col("count") == count) & (F.col("token") > token)))
-
-
 def prior(vocabulary: Vocabulary) -> np.ndarray:
     share = vocabulary.tokens_of + 1
     return np.log(share / share.sum()).astype(np.float32)
@@ -174,25 +187,54 @@ def _descend(bias: np.ndarray, weights: np.ndarray, square: np.ndarray, features
         w[own] -= RATE * slope / (np.sqrt(s[own]) + 1)
 
 
-def _train(shared, start: np.ndarray | None):
+class Learner:
+    """Gradient steps of ``STEP`` tokens each over a stream of texts."""
+
+    def __init__(self, vocabulary: Vocabulary, bits: int, start: np.ndarray | None):
+        self.vocabulary, self.bits, self.bias = vocabulary, bits, prior(vocabulary)
+        self.weights = np.zeros((3, 1 << bits, N_CLASSES), dtype=np.float32) if start is None else start.copy()
+        self.square, self.seen = np.zeros_like(self.weights), 0
+        self.features, self.kind = np.zeros((3, 0), np.uint16), np.zeros(0, np.uint8)
+
+    def read(self, chunk: W.Chunk) -> None:
+        tokens = Tokens(chunk)
+        kind, features = self.vocabulary.look_up(tokens)[0], tokens.features(self.bits)
+        self.seen += len(kind)
+        self.kind, self.features = np.concatenate([self.kind, kind]), np.concatenate([self.features, features], axis=1)
+        whole = len(self.kind) // STEP * STEP
+        self._descend(whole)
+        self.kind, self.features = self.kind[whole:], self.features[:, whole:]
+
+    def _descend(self, tokens: int) -> None:
+        for low in range(0, tokens, STEP):
+            _descend(self.bias, self.weights, self.square, self.features[:, low : low + STEP], self.kind[low : low + STEP])
+
+    def slices(self) -> Iterator[pa.RecordBatch]:
+        self._descend(len(self.kind))
+        flat = self.weights.reshape(-1, SLICE * N_CLASSES)
+        for low in range(0, len(flat), 8):
+            part = flat[low : low + 8]
+            columns = [pa.array(range(low, low + len(part)), pa.int32()), pa.array([self.seen] * len(part), pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "seen", "weights"])
+
+
+def _train(shared, bits: int, start: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        bias = prior(vocabulary)
-        weights = np.zeros((3, BUCKETS, N_CLASSES), dtype=np.float32) if start is None else start.copy()
-        square, seen = np.zeros_like(weights), 0
+        learner, number = None, None
         for batch in batches:
-            for chunk in W.chunks(_column(batch, "text")):
-                tokens = Tokens(chunk)
-                kind, features = vocabulary.look_up(tokens)[0], tokens.features()
-                for low in range(0, len(kind), STEP):
-                    _descend(bias, weights, square, features[:, low : low + STEP], kind[low : low + STEP])
-                seen += len(kind)
-        if seen:
-            flat = weights.reshape(-1, SLICE * N_CLASSES)
-            for low in range(0, len(flat), 8):
-                part = flat[low : low + 8]
-                columns = [pa.array(range(low, low + len(part)), pa.int32()), pa.array([seen] * len(part), pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "seen", "weights"])
+            numbers = _column(batch, "learner").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                if first == last:
+                    continue
+                if numbers[first] != number:
+                    if learner is not None:
+                        yield from learner.slices()
+                    learner, number = Learner(shared.value, bits, start), numbers[first]
+                for chunk in W.chunks(_column(batch, "text").slice(first, last - first)):
+                    learner.read(chunk)
+        if learner is not None:
+            yield from learner.slices()
 
     return run
 
@@ -212,13 +254,18 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(train: DataFrame, shared, rounds: int) -> np.ndarray:
-    weights, shape = None, "slice int, seen long, weights binary"
+    total = shared.value.total
+    bits, learners = bucket_bits(total), max(1, min(LEARNERS, -(-total // SHARE)))
+    order = F.xxhash64("doc_id", "text")
+    dealt = train.select(F.pmod(order, F.lit(learners)).cast("int").alias("learner"), order.alias("place"), "text")
+    dealt = dealt.repartition(learners, "learner").sortWithinPartitions("learner", "place").select("learner", "text")
+    weights, shape, slices = None, "slice int, seen long, weights binary", (3 << bits) // SLICE
     for _ in range(rounds):
-        parts = train.select("text").mapInArrow(_train(shared, weights), shape).repartition(3 * BUCKETS // SLICE, "slice")
-        new = np.zeros((3 * BUCKETS // SLICE, SLICE * N_CLASSES), dtype=np.float32)
+        parts = dealt.mapInArrow(_train(shared, bits, weights), shape).repartition(slices, "slice")
+        new = np.zeros((slices, SLICE * N_CLASSES), dtype=np.float32)
         for row in parts.mapInArrow(_average, shape).collect():
             new[row["slice"]] = np.frombuffer(row["weights"], dtype=np.float32)
-        weights = new.reshape(3, BUCKETS, N_CLASSES)
+        weights = new.reshape(3, 1 << bits, N_CLASSES)
     return weights
 
 
@@ -226,11 +273,12 @@ def _score(shared, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value, model.value
         bias, whole = prior(vocabulary), np.log10(vocabulary.total + vocabulary.types + 1)
+        bits = weights.shape[1].bit_length() - 1
         inside = np.log10(vocabulary.tokens_of + vocabulary.types_of + 1)
         for batch in batches:
             for chunk in W.chunks(_column(batch, "text")):
                 tokens, texts = Tokens(chunk), len(chunk.rows)
-                (kind, count), features = vocabulary.look_up(tokens), tokens.features()
+                (kind, count), features = vocabulary.look_up(tokens), tokens.features(bits)
                 choice = np.empty(len(kind))
                 for low in range(0, len(kind), STEP):
                     logits = _logits(bias, weights, features[:, low : low + STEP])
@@ -274,7 +322,7 @@ def scored(docs: DataFrame, held_out_fold: int = 2, folds: int = 7, rounds: int
     context = docs.sparkSession.sparkContext
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == held_out_fold).alias("held_out"))
-    train = docs.filter(~F.col("held_out")).select("text")
+    train = docs.filter(~F.col("held_out")).select("doc_id", "text")
     counts = train.mapInArrow(_count, "token long, count long, rare int").groupBy("token", "rare").agg(F.sum("count").alias("count"))
     counts = stage.put(counts)
     vocabulary = _vocabulary(counts)
