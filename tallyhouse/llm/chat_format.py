@@ -153,15 +153,34 @@ def format_conversations(records: DataFrame, column: str = "record") -> DataFram
     return found.withColumns({"formatted": format_turns(F.col("turns")), "loss": loss_runs(F.col("turns"))})
 
 
+def under_mask(formatted: Column, runs: Column) -> Column:
+    """The text of a formatted text that runs (chars, loss) mark, unescaped run by run, taken by their lengths."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("found"))
+    piece = lambda s, r: unescape(F.substr(formatted, s["at"], r["chars"]))
+    one = lambda s, r: F.struct(
+        (s["at"] + r["chars"]).alias("at"), F.when(r["loss"], F.concat(s["found"], F.array(piece(s, r)))).otherwise(s["found"]).alias("found")
+    )
+    return F.array_join(F.aggregate(runs, start, one, lambda s: s["found"]), "")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the formatted text and its loss mask: turns, and the text under the mask.
 
-    A turn is three runs of the mask (header, text, close); the middle one tells.
+    Where the mask has three runs per turn (header, text, close) of just the
+    lengths that the turns have in the formatted text, the texts of marked turns
+    are what lies under it, in one pass. Any other mask is followed by its lengths.
     """
-    back = formatted.select("conv_id", "formatted", "loss", F.explode(F.array(read_turns(F.col("formatted")))).alias("back"))
+    # As a generator's output the pieces are not split again by each that reads them.
+    raw = F.filter(F.split("formatted", CLOSE), lambda p: p != "")
+    back = formatted.select("conv_id", "formatted", "loss", F.explode(F.array(F.struct(raw.alias("raw"), read_turns(F.col("formatted")).alias("turns")))).alias("back"))
+    back = back.select("conv_id", "formatted", "loss", F.col("back.raw").alias("raw"), F.col("back.turns").alias("back"))
+    head = lambda p: F.char_length(F.substring_index(p, SPLIT, 1)) + len(SPLIT)
+    sizes = F.flatten(F.transform("raw", lambda p: F.array(head(p), F.char_length(p) - head(p), F.lit(len(CLOSE)))))
+    fits = sizes == F.transform("loss", lambda r: r["chars"])
+    only_texts = ~F.exists(F.transform("loss", lambda r, i: r["loss"] & (i % 3 != 1)), lambda x: x)
     whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = F.filter("back", lambda t, i: F.get("loss", i * 3 + 1)["loss"])
-    loss = F.array_join(F.transform(under, lambda t: t["text"]), "")
+    loss = F.when(fits & only_texts, F.array_join(F.transform(under, lambda t: t["text"]), "")).otherwise(under_mask(F.col("formatted"), F.col("loss")))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return back.select(
         "conv_id",

@@ -6,6 +6,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyhouse.llm import chat_format, embedding_dedup, oracles, queries, warc
@@ -123,3 +124,23 @@ def test_sql(spark, name):
     assert sorted(names) == columns
     rows = [tuple(r[names.index(c)] for c in columns) for r in want.fetchall()]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_the_mask_is_read_by_its_lengths(spark):
+    rows = [(1, 0, "user", "é</s> hi"), (1, 1, "assistant", "so [/INST] it is"), (1, 2, "assistant", ""), (2, 0, "user", "only"), (3, 0, "assistant", "日本 <s>")]
+    made = chat_format.format_conversations(chat_format.rows_to_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {1: "so [/INST] it is", 2: "", 3: "日本 <s>"}
+
+    def read(table):
+        return {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat_format.read_back(table).collect()}
+
+    assert read(made) == {i: (len(t), sha(t)) for i, t in want.items()}
+    # The same mask in other runs, one that marks other texts, and one with other lengths.
+    split = made.withColumn("loss", F.expr("flatten(transform(loss, r -> array(named_struct('chars', 0, 'loss', true), r)))"))
+    assert read(split) == read(made)
+    texts = {1: "é</s> hi", 2: "only", 3: ""}
+    other = made.withColumn("loss", F.expr("transform(loss, (r, i) -> named_struct('chars', r.chars, 'loss', i % 3 = 1 and not r.loss))"))
+    assert read(other) == {i: (len(t), sha(t)) for i, t in texts.items()}
+    first = made.withColumn("loss", F.expr("array(named_struct('chars', 3, 'loss', true))"))
+    assert read(first) == {i: (3, sha("<s>")) for i in want}
