@@ -6,35 +6,36 @@ widths run over the words of a text; the strongest answer of each filter
 anywhere in the text (max pooling) goes into a logistic unit. Trained in numpy
 on a sample of labelled rows (bounds below); every text is scored whole. A
 score depends on the text alone. Thresholds are then set for each language, from
-histograms of the scores of all labelled rows that the model hasn't learnt from.
+histograms of the scores of all labelled rows that the model hasn't learnt from:
+a language gets a cut of its own only where that makes fewer errors there than
+the common threshold by more than chance would.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyhouse.llm import words as W
-from tallyhouse.llm.staging import ship
+from tallyhouse.llm.staging import Stage
 
 #: The sample: at most so many labelled rows, in hash order, and words of them.
 ROWS, WORDS = 6000, 4_000_000
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 BEGINNINGS = (3, 4, 5)
 PASSES, RATE, SHARE = 5, 0.05, 5
-#: The threshold of a language with fewer toxic rows to set one by.
-THRESHOLD, ENOUGH = 0.3, 8
-#: Bins of a histogram for each unit of the logit, and parts of the sample where a language needs its rows too.
-BINS, PARTS = 32, 4
+#: The common threshold, and by how many deviations a language's own must do better.
+THRESHOLD, SURE = 0.3, 2.0
+#: Bins of a histogram for each unit of the logit.
+BINS = 32
 
 _LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _WORD = np.arange(256, dtype=W.U)
@@ -190,75 +191,61 @@ def _sample(docs: DataFrame, known: DataFrame) -> list[tuple[int, str, int, np.n
     return out
 
 
-def histograms(docs: DataFrame, known: DataFrame, learnt: list[int], shared) -> dict[str, dict[int, list[float]]]:
-    """Of each language: by bin of the score, [toxic rows, rows, least score, greatest score], of rows not learnt from.
+def histograms(docs: DataFrame, known: DataFrame, learnt: list[int], shared) -> DataFrame:
+    """(lang, bin, toxic, n, low, high): rows not learnt from by bin of the score, of each language; null is none.
 
-    Texts are scored where they lie; only ids and scores meet the labels. What
-    comes to the driver is bounded by the bins of each language.
+    Texts are scored where they lie; only ids and scores meet the labels. The
+    common threshold lies between two bins.
     """
     own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text", "lang")
     shape = StructType([own.schema["row"], own.schema["lang"], StructField("score", DoubleType())])
-    found = own.filter("row.doc_id is not null").mapInArrow(_run(shared, "score"), shape).select("row.doc_id", "lang", "score")
+    found = own.filter("row.doc_id is not null and lang is not null").mapInArrow(_run(shared, "score"), shape).select("row.doc_id", "lang", "score")
     seen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(learnt))], "doc_id long")
     rest = found.join(known.join(F.broadcast(seen), "doc_id", "left_anti"), "doc_id")
-    logit = F.log(F.col("score") / (1 - F.col("score")))
-    counts = rest.groupBy(F.coalesce("lang", F.lit("None")).alias("lang"), F.floor(F.coalesce(logit, F.lit(40.0)) * BINS).alias("bin"))
-    out: dict[str, dict[int, list[float]]] = {}
-    for r in counts.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect():
-        out.setdefault(r["lang"], {})[r["bin"]] = [r["toxic"], r["n"], r["low"], r["high"]]
-    return out
-
-
-def _add(bins: dict[int, list[float]], score: float, toxic: int) -> None:
-    k = math.floor(math.log(score / (1 - score)) * BINS) if score < 1 else 40 * BINS
-    own = bins.setdefault(k, [0, 0, score, score])
-    bins[k] = [own[0] + toxic, own[1] + 1, min(own[2], score), max(own[3], score)]
+    logit = F.coalesce(F.log(F.col("score") / (1 - F.col("score"))), F.lit(40.0))
+    place = F.floor((logit - math.log(THRESHOLD / (1 - THRESHOLD))) * BINS)
+    # Rounding must not put a score on the other side of the threshold.
+    place = F.when(F.col("score") >= THRESHOLD, F.greatest(place, F.lit(0))).otherwise(F.least(place, F.lit(-1)))
+    counts = rest.groupBy("lang", place.alias("bin"))
+    return counts.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 def threshold_of(bins: dict[int, list[float]]) -> float:
-    """The middle of the cut between bins with the greatest F1; THRESHOLD where there is too little to tell."""
-    if sum(b[0] for b in bins.values()) < ENOUGH:
+    """From [toxic rows, rows, least score, greatest score] by bin (0 begins at THRESHOLD): the middle of the cut with the fewest errors.
+
+    THRESHOLD, unless that makes ``SURE`` deviations fewer. Of equal cuts the highest counts.
+    """
+    keys = sorted(bins, reverse=True)
+    toxic, n, least, greatest = np.array([bins[k] for k in keys]).T
+    errors = np.cumsum(n - toxic) + toxic.sum() - np.cumsum(toxic)
+    at = sum(k >= 0 for k in keys)
+    common = errors[at - 1] if at else toxic.sum()
+    k = int(errors.argmin())
+    if common - errors[k] <= SURE * math.sqrt(common + errors[k]):
         return THRESHOLD
-    toxic, n, least, greatest = np.array([bins[k] for k in sorted(bins, reverse=True)]).T
-    k = int((2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())).argmax())
     return float((least[k] + (greatest[k + 1] if k + 1 < len(n) else 0.0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4) -> tuple[Model, dict[str, float]]:
-    """The model, learnt from four fifths of the sample, and the threshold of each language, set on all other labelled rows.
+def _limits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    columns = [rows[c].to_numpy(np.float64) for c in ("toxic", "n", "low", "high")]
+    own = threshold_of(dict(zip(rows["bin"].tolist(), zip(*columns, strict=True), strict=True)))
+    return pd.DataFrame({"lang": [key[0]], "threshold": [own]})[lambda x: x["threshold"] != THRESHOLD]
+
 
-    A language that has too few toxic rows there, but enough with those of the
-    sample, gets these too, each scored by a model that hasn't learnt from it.
+def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4) -> tuple[Model, DataFrame]:
+    """The model, learnt from four fifths of the sample, and (lang, threshold): the languages with a threshold of their own.
+
+    These are set on all other labelled rows of the training folds.
     """
-    ship(docs.sparkSession)
+    stage = Stage(docs.sparkSession, "toxicity")
     known = _known(labels, held_out_fold, folds)
     rows = [x for i, x in enumerate(_sample(docs, known)) if i % SHARE]
     truth = np.array([t for _, _, t, _ in rows], dtype=np.float64)
-    texts = [x for *_, x in rows]
-    trial = train(texts, truth)
-    shared = docs.sparkSession.sparkContext.broadcast(trial)
+    model = train([x for *_, x in rows], truth)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     bins = histograms(docs.filter(_fold("doc_id", folds) != held_out_fold), known, [i for i, *_ in rows], shared)
-    toxic = Counter()
-    for lang, own in bins.items():
-        toxic[lang] += sum(b[0] for b in own.values())
-    more = Counter(toxic)
-    for _, lang, t, _ in rows:
-        more[lang] += t
-    short = {lang for lang, n in more.items() if n >= ENOUGH > toxic[lang]}
-    # Copies of a document fall in one part.
-    part = np.array([zlib.crc32(str(i).encode()) % PARTS for i, *_ in rows], dtype=np.int64)
-    for k in range(PARTS if short else 0):
-        model = train([x for x, p in zip(texts, part, strict=True) if p != k], truth[part != k])
-        for (_, lang, t, x), p in zip(rows, part, strict=True):
-            if p == k and lang in short:
-                _add(bins.setdefault(lang, {}), _one(model, x), t)
-    return trial, {lang: threshold_of(own) for lang, own in sorted(bins.items())}
-
-
-def _one(model: Model, own: np.ndarray) -> float:
-    x = np.vstack([model.embed[own].sum(axis=1), np.zeros((2, SIZE), dtype=np.float32)]) if len(own) else np.zeros((3, SIZE), dtype=np.float32)
-    logit = model.pooled(x)[0] @ model.out[:-1] + model.out[-1]
-    return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
+    # A language has as many rows here as bins.
+    return model, stage.put(bins.groupBy("lang").applyInPandas(_limits, "lang string, threshold double"))
 
 
 def _run(shared, name: str = "toxicity"):
@@ -292,8 +279,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     own = docs.select(F.struct(*kept).alias("row"), text.alias("text"), lang.alias("lang"))
     shape = StructType([own.schema["row"], own.schema["lang"], StructField("toxicity", DoubleType())])
     found = own.mapInArrow(_run(shared), shape)
-    limit = F.lit(THRESHOLD)
-    if limits:
-        limit = F.coalesce(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.coalesce("lang", F.lit("None"))], limit)
-    out = found.select("row", F.col("toxicity").alias("score"), limit.alias("threshold"))
+    # A few languages at most differ: Spark broadcasts them, if they are as few as that.
+    limits = limits.select(F.col("lang").alias("own_lang"), "threshold")
+    limit = F.coalesce("threshold", F.lit(THRESHOLD))
+    out = found.join(limits, F.col("lang") == F.col("own_lang"), "left").select("row", F.col("toxicity").alias("score"), limit.alias("threshold"))
     return out.select("row", (_fold("row.doc_id", folds) == held_out_fold).alias("held_out"), "score", "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
