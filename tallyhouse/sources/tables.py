@@ -52,13 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as an unbounded file source."""
-    path = f"{sf_dir}/{name}.parquet"
-    # As a pattern the path may name one file or a folder of files.
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-
-
 def _with_fields(events: DataFrame) -> DataFrame:
     return events.select("*", *[F.expr(sql).alias(name) for name, sql in FIELDS.items()])
 
