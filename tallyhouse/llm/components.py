@@ -47,17 +47,23 @@ def components(edges: DataFrame, stage: Stage, max_rounds: int = 60) -> DataFram
     a number of rounds logarithmic in the number of nodes. Every step is a
     minimum that combines before the shuffle and an equality join. A round is
     one job; a count and a checksum of its edges are observed on the way, and
-    nothing else comes to the driver. Loops and repeated edges do nothing.
+    nothing else comes to the driver. Loops and repeated edges do nothing. The
+    result is a staged table.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    before = None
+    before = last = None
     for _ in range(max_rounds):
         seen = Observation()
         after = _roots(_stars(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
         edges = stage.put(after)
+        if last is not None:
+            stage.drop(last)
+        last = edges
         mark = (seen.get["n"], seen.get["s"])
         if mark == before:
             found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return found.union(found.select("root", "root")).distinct()
+            out = stage.put(found.union(found.select("root", "root")).distinct())
+            stage.drop(edges)
+            return out
         before = mark
     raise RuntimeError("components did not settle")

@@ -161,7 +161,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     counted = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold), "class long, links long, near long")
     counted = stage.put(counted)
     links = counted.groupBy("class").agg(F.sum("links").alias("links"))
-    roots = stage.put(components(counted.select(F.col("class").alias("a"), F.col("near").alias("b")), stage))
+    roots = components(counted.select(F.col("class").alias("a"), F.col("near").alias("b")), stage)
     known = classes.select("class", "vec_id", "copies").join(roots.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left")
     known = stage.put(known.withColumn("root", F.coalesce("root", "class")))
     least = stage.put(known.groupBy("root").agg(F.min("vec_id").alias("component_id")))

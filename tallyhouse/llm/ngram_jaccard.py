@@ -18,9 +18,11 @@ Which pairs are counted:
   N-grams whose classes all have one label are settled. Rounds go on while
   they pay; then *every* pair with different labels that still meets is
   counted, so components are exact. Pairs of an n-gram that few classes have
-  are listed. The classes of a crowded one are cut into blocks, and every two
-  blocks are a cell of bounded size, counted as a matrix, fragment by fragment;
-  only a forest of the links found leaves it.
+  are listed. The classes that have crowded ones are dealt into blocks of bounded
+  size, those with the same most crowded n-gram together, and each block is packed
+  once. Every two blocks that share a crowded n-gram (found by their numbers
+  alone) meet once, whatever else they share: a cell, counted as a matrix,
+  fragment by fragment; only a forest of the links found leaves it.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ from pyspark.sql.window import Window
 from tallyhouse.llm import words as W
 from tallyhouse.llm.components import components, forest
 from tallyhouse.llm.staging import Stage
+from tallyhouse.session import conf
 
 FRAGMENT_BITS = 3
 #: Rounds of leaders before the rest is paired, and the pairs per kept n-gram that count as few.
 ROUNDS, FEW = 3, 2
 #: Classes that a kept n-gram may have before its pairs are counted in cells; classes and n-grams of a block, about.
-CROWD, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 20
+CROWD, BLOCK, BLOCK_GRAMS = 64, 512, 1 << 18
 
 
 def _sets(chunk: W.Chunk, n_words: int) -> list[np.ndarray]:
@@ -156,65 +159,64 @@ def _shared(left: _Sets, right: _Sets, width: int = 4096) -> np.ndarray:
     return out
 
 
-def _cell(rows: pa.Table, percent: int) -> pa.RecordBatch | None:
-    """Forest edges of one cell: block ``side`` 0 against block 1, or one block with itself."""
-    side, label, n, gram = (rows[c].to_numpy() for c in ("side", "label", "n", "gram"))
-    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    single = not rows["split"][0].as_py()
-    if single:
-        other = own
-    if not len(own) or not len(other):
-        return None
-    kept = [np.asarray(x.values) for x in rows["kept"]]
-    earlier = [x[x < g] for x, g in zip(kept, gram, strict=True)]
-    low, high = np.minimum.outer(n[own], n[other]), np.maximum.outer(n[own], n[other])
-    wanted = (label[own][:, None] != label[other]) & (low * 100 >= high * percent)
-    wanted &= _shared(_Sets([earlier[i] for i in own]), _Sets([earlier[i] for i in other])) == 0
+class _Block:
+    """Some classes: their labels, crowded n-grams and sets by fragment."""
+
+    def __init__(self, packed: pa.Array):
+        rows = packed.values  # of a scalar: its own rows alone
+        self.keys, self.labels, self.n = (rows.field(c).to_numpy() for c in ("class", "label", "n"))
+        self.crowded = _split(rows.field("crowded"))
+        sets = [np.sort(x.view(W.U)) for x in _split(rows.field("grams"))]
+        cuts = [np.searchsorted(x, np.arange(1 << FRAGMENT_BITS, dtype=W.U) << W.U(64 - FRAGMENT_BITS)) for x in sets]
+        self.parts = [[p.view(np.int64) for p in np.split(x, c[1:])] for x, c in zip(sets, cuts, strict=True)]
+
+
+def _split(lists: pa.Array) -> list[np.ndarray]:
+    ends = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _cell(left: _Block, right: _Block | None, percent: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Forest edges of one cell: the links between two blocks, or inside one."""
+    single = right is None
+    right = left if single else right
+    low, high = np.minimum.outer(left.n, right.n), np.maximum.outer(left.n, right.n)
+    wanted = (left.labels[:, None] != right.labels) & (low * 100 >= high * percent)
     if single:
         wanted = np.triu(wanted, 1)
+    wanted &= _shared(_Sets(left.crowded), _Sets(right.crowded)) > 0
     a, b = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     if not len(a):
         return None
     wanted = wanted[np.ix_(a, b)]
-    a, b = own[a], other[b]
-    total = np.add.outer(n[a], n[b])
+    rest_a, rest_b = left.n[a].copy(), right.n[b].copy()
+    total = np.add.outer(rest_a, rest_b)
     counts = np.zeros(total.shape, dtype=np.int64)
-    seen = np.zeros(len(n), dtype=np.int64)
-    pieces = [{p["part"].as_py(): np.asarray(p["grams"].values) for p in x} for x in rows["parts"]]
-    none = np.zeros(0, np.int64)
     for part in range(1 << FRAGMENT_BITS):
-        held = [x.get(part, none) for x in pieces]
-        counts += _shared(_Sets([held[i] for i in a]), _Sets([held[i] for i in b])).astype(np.int64)
-        seen += [len(x) for x in held]
-        most = counts + np.minimum.outer((n - seen)[a], (n - seen)[b])
+        own, other = [left.parts[i][part] for i in a], [right.parts[i][part] for i in b]
+        counts += _shared(_Sets(own), _Sets(other)).astype(np.int64)
+        rest_a -= [len(x) for x in own]
+        rest_b -= [len(x) for x in other]
+        most = counts + np.minimum.outer(rest_a, rest_b)
         wanted &= most * 100 >= (total - most) * percent
         if not wanted.any():
             return None
     x, y = np.nonzero(wanted)
-    x, y = a[x], b[y]
-    root = forest(x, y, len(n))
-    keys = rows["class"].to_numpy()
-    hit = np.flatnonzero(root != np.arange(len(n)))
-    return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(keys[root[hit]])], ["a", "b"])
+    keys = np.concatenate([left.keys, right.keys])
+    root = forest(a[x], b[y] + len(left.keys), len(keys))
+    hit = np.flatnonzero(root != np.arange(len(keys)))
+    return keys[hit], keys[root[hit]]
 
 
 def _cells(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.Table] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = _column(batch, "cell").to_numpy()
-            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-            for first, last in zip(cuts, cuts[1:], strict=False):
-                part = pa.Table.from_batches([batch.slice(first, last - first)])
-                if rest and rest[0]["cell"][0].as_py() != int(cell[first]):
-                    if (out := _cell(pa.concat_tables(rest).combine_chunks(), percent)) is not None:
-                        yield out
-                    rest = []
-                rest.append(part)
-        if rest and (out := _cell(pa.concat_tables(rest).combine_chunks(), percent)) is not None:
-            yield out
+            for i in range(batch.num_rows):
+                left, right = (_column(batch, c)[i] for c in ("left", "right"))
+                found = _cell(_Block(left), _Block(right) if right.is_valid else None, percent)
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
     return run
 
@@ -230,23 +232,27 @@ class _Join:
 
     def sign(self) -> None:
         shape = "doc_id long, text_hash long, n long, class long, check long, left_out long, head array<long>"
-        self.signed = self.stage.put(self.docs.mapInArrow(_sign(self.n_words, self.percent), shape))
-        linked = self.signed.filter("n > 0 and doc_id is not null")
+        self.heads = self.stage.put(self.docs.mapInArrow(_sign(self.n_words, self.percent), shape))
+        linked = self.heads.filter("n > 0 and doc_id is not null")
         self.classes = self.stage.put(linked.groupBy("n", "class", "check").agg(F.min("doc_id").alias("doc_id")))
 
     def meet(self) -> None:
         """Kept n-grams of the first fragment that two classes have: (class, n, gram)."""
-        one = self.signed.select("doc_id", "class", "n", "left_out", "head").join(self.classes.select("doc_id", "class"), ["doc_id", "class"], "left_semi")
-        heads = self.stage.put(one.select("class", "n", "left_out", F.explode("head").alias("gram")))
+        one = self.heads.select("doc_id", "class", "n", "left_out", "head").join(self.classes.select("doc_id", "class"), ["doc_id", "class"], "left_semi")
+        one = self.stage.put(one.dropDuplicates(["doc_id", "class"]).select("class", "n", "left_out", "head"))
+        self.signed = self.stage.put(self.heads.drop("head", "left_out"))
+        self.stage.drop(self.heads)
+        heads = one.select("class", "n", "left_out", F.explode("head").alias("gram"))
         often = heads.groupBy("gram").agg(F.count("*").alias("times"), F.min("class").alias("low"), F.max("class").alias("high"))
         often = self.stage.put(often.filter("low <> high").select("gram", "times"))
         rarest = Window.partitionBy("class").orderBy(F.desc("times"), F.desc("gram"))
         met = heads.join(often, "gram").withColumn("place", F.row_number().over(rarest))
         # How common a class's n-grams are: of a group of copies, the one with the fewest changes has most.
         met = met.withColumn("central", F.sum("times").over(Window.partitionBy("class")) / F.col("n"))
-        met = met.filter("place > left_out").select("class", "n", "central", "gram").distinct()
+        met = met.filter("place > left_out").select("class", "n", "central", "gram")
         self.met = self.stage.put(met)
-        self.stage.drop(heads)
+        self.stage.drop(one)
+        self.stage.drop(often)
         wanted = self.met.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
         own = self.docs.join(wanted, "doc_id").mapInArrow(_fragments(self.n_words), "class long, part int, grams array<long>")
         self.fragments = self.stage.put(own.groupBy("class", "part").agg(F.first("grams").alias("grams")))
@@ -262,9 +268,9 @@ class _Join:
     def labelled(self) -> DataFrame:
         """Kept n-grams with their classes' labels, without settled ones."""
         met = self.met.join(self.roots.withColumnRenamed("node", "class"), "class", "left")
-        met = self.stage.put(met.withColumn("label", F.coalesce("root", "class")).drop("root"))
+        met = met.withColumn("label", F.coalesce("root", "class")).drop("root")
         unsettled = met.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        return met.join(self.stage.put(unsettled.select("gram")), "gram")
+        return self.stage.put(met.join(unsettled.select("gram"), "gram"))
 
     def unpaired(self, met: DataFrame) -> tuple[int, int]:
         """Kept n-grams, and pairs of classes with different labels that meet in them."""
@@ -287,60 +293,76 @@ class _Join:
         apart = (F.col("gram") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.far("na", "nb")
         return a.join(b, apart).select("a", "na", "b", "nb").distinct()
 
+    def blocks(self, crowd: DataFrame) -> DataFrame:
+        """(class, block): classes with the same most crowded n-gram in the same blocks, of bounded size."""
+        own = crowd.groupBy("class", "n").agg(F.max_by("gram", F.struct("c", "gram")).alias("main"))
+        size = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(f"{c}_grams") / BLOCK_GRAMS))
+        mains = own.groupBy("main").agg(F.count("*").alias("m"), F.sum("n").alias("m_grams")).withColumn("parts", size("m"))
+        mains = self.stage.put(mains)
+        # Small ones share blocks.
+        few = (F.col("m") * 2 < BLOCK) & (F.col("m_grams") * 2 < BLOCK_GRAMS)
+        small = mains.filter(few).agg(F.sum("m").alias("s"), F.sum("m_grams").alias("s_grams")).select(size("s").alias("k")).first()["k"] or 1
+        shared = F.struct(F.lit(None).cast("long").alias("main"), F.pmod(F.xxhash64("main"), F.lit(2 * small)).alias("part"))
+        alone = F.struct("main", F.pmod(F.xxhash64("class", F.lit(7)), F.col("parts")).alias("part"))
+        return own.join(mains, "main").select("class", F.xxhash64(F.when(few, shared).otherwise(alone)).alias("block"))
+
     def crowded(self, met: DataFrame, sizes: DataFrame) -> DataFrame:
-        """(a, b): a forest of the links among classes whose first common n-gram is one with ``blocks`` blocks."""
-        crowd = met.join(sizes, "gram").select("class").distinct()
-        kept = self.met.join(crowd, "class").groupBy("class").agg(F.array_sort(F.collect_list("gram")).alias("kept"))
-        met = met.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
-        met = met.withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        low, high = F.least("block", "facing"), F.greatest("block", "facing")
-        placed = met.select(
-            F.xxhash64("gram", low, high).alias("cell"),
-            "class",
-            "n",
-            "label",
-            "gram",
-            (low != high).alias("split"),
-            F.when(F.col("block") == low, 0).otherwise(1).alias("side"),
-        )
-        sets = self.fragments.join(crowd, "class").groupBy("class").agg(F.collect_list(F.struct("part", "grams")).alias("parts"))
-        sets = self.stage.put(sets.join(kept, "class"))
-        spark = met.sparkSession
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        return placed.join(sets, "class").repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cells(self.percent), "a long, b long")
+        """(a, b): a forest of the links among classes that share a crowded n-gram."""
+        crowd = self.stage.put(met.join(sizes, "gram").select("class", "n", "label", "gram", "c"))
+        placed = self.stage.put(self.blocks(crowd))
+        own = crowd.groupBy("class", "n", "label").agg(F.collect_list("gram").alias("crowded")).join(placed, "class")
+        sets = self.fragments.join(placed, "class", "left_semi").groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+        packed = own.join(sets, "class").groupBy("block").agg(F.collect_list(F.struct("class", "n", "label", "crowded", "grams")).alias("rows"))
+        packed = self.stage.put(packed)
+        held = self.stage.put(crowd.join(placed, "class").select("gram", "block").distinct())
+        left, right = held.withColumnRenamed("block", "i"), held.select(F.col("gram").alias("other"), F.col("block").alias("j"))
+        pairs = left.join(right, (F.col("gram") == F.col("other")) & (F.col("i") <= F.col("j"))).select("i", "j").distinct()
+        cells = pairs.join(packed.select(F.col("block").alias("i"), F.col("rows").alias("left")), "i")
+        cells = cells.join(packed.select(F.col("block").alias("j"), F.col("rows").alias("other")), "j")
+        cells = cells.select("left", F.when(F.col("i") != F.col("j"), F.col("other")).alias("right"))
+        # A row is two blocks: one at a time goes to a worker.
+        with conf(met.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+            found = self.stage.put(cells.mapInArrow(_cells(self.percent), "a long, b long"))
+        for table in (crowd, placed, packed, held):
+            self.stage.drop(table)
+        return found
 
     def link_rest(self, met: DataFrame) -> None:
         """Adds all links among classes with different labels."""
-        sizes = met.groupBy("gram").agg(F.count("*").alias("c"), F.sum("n").alias("grams")).filter(F.col("c") > CROWD)
-        blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int")
-        sizes = self.stage.put(sizes.select("gram", blocks.alias("blocks")))
+        sizes = met.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > CROWD)
+        sizes = self.stage.put(sizes)
         near = self.rest(met.join(sizes, "gram", "left_anti"))
-        self.link(near, self.stage.put(self.crowded(met, sizes)))
+        self.link(near, self.crowded(met, sizes))
 
     def link(self, pairs: DataFrame, linked: DataFrame | None = None) -> None:
         """Adds the links among some pairs, and known ones; ``roots`` has the least class that each linked one reaches."""
-        found = self.stage.put(self.verified(self.stage.put(pairs)))
-        if linked is not None:
-            found = found.union(linked)
+        pairs = self.stage.put(pairs)
+        found = self.stage.put(self.verified(pairs))
+        self.stage.drop(pairs)
+        read = [t for t in (found, linked, self.roots) if t is not None]
+        edges = found if linked is None else found.union(linked)
         if self.roots is not None:
-            found = found.union(self.roots.select("node", "root"))
-        self.roots = self.stage.put(components(found, self.stage))
+            edges = edges.union(self.roots.select("node", "root"))
+        self.roots = components(edges, self.stage)
+        for table in read:
+            self.stage.drop(table)
 
     def link_all(self) -> None:
         self.link(self.leaders(self.met.withColumn("label", F.col("class")), 0))
-        before = None
-        for turn in range(1, ROUNDS):
+        before, turn = None, 1
+        while True:
             met = self.labelled()
             rows, pairs = self.unpaired(met)
-            if pairs <= FEW * rows or (before is not None and pairs > before / 2):
+            if turn == ROUNDS or pairs <= FEW * rows or (before is not None and pairs > before / 2):
                 break
-            before = pairs
             self.link(self.leaders(met, turn))
-        else:
-            met = self.labelled()
-            pairs = self.unpaired(met)[1]
+            self.stage.drop(met)
+            before, turn = pairs, turn + 1
+        self.stage.drop(self.met)
         if pairs:
             self.link_rest(met)
+        self.stage.drop(met)
+        self.stage.drop(self.fragments)
 
     def run(self) -> DataFrame:
         self.sign()
@@ -350,6 +372,8 @@ class _Join:
         named = named.withColumnRenamed("doc_id", "class_id")
         least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
         named = self.stage.put(named.join(least, "root"))
+        self.stage.drop(self.roots)
+        self.stage.drop(self.classes)
         out = self.signed.select("doc_id", "text_hash", "n", "class", "check").join(named, ["n", "class", "check"], "left")
         alone = F.col("component_id").isNull() | F.col("doc_id").isNull()
         return out.select(
@@ -368,13 +392,22 @@ def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFra
     Rows that repeat both doc_id and text stay once. Rows without words or
     without a doc_id link with nothing and stay.
     """
+    doc, text = _free(docs.columns, "_doc"), _free(docs.columns, "_text")
     found = near_duplicates(docs, n_words, percent).filter("doc_id = component_id")
-    first = found.filter("group is not null").groupBy("group", "doc_id").agg(F.min("text_hash").alias("_text"))
-    kept = first.select(F.col("doc_id").alias("_doc"), "_text").union(found.filter("group is null").select("doc_id", "text_hash").distinct())
+    first = found.filter("group is not null").groupBy("group", "doc_id").agg(F.min("text_hash").alias(text))
+    kept = first.select(F.col("doc_id").alias(doc), text).union(found.filter("group is null").select("doc_id", "text_hash").distinct())
     kept = Stage(docs.sparkSession, "ngram-jaccard").put(kept)
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))})
-    stays = keyed.join(kept, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"])
-    return stays.unionByName(keyed.filter("_doc is null")).select(*[f"`{c}`" for c in docs.columns])
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), text: F.xxhash64(F.col("text").cast("string"))})
+    stays = keyed.join(kept, [doc, text], "left_semi").dropDuplicates([doc, text])
+    return stays.unionByName(keyed.filter(F.col(doc).isNull())).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _free(columns: list[str], name: str) -> str:
+    """A column name that a table doesn't have."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:

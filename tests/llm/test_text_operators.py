@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from cases import corpus, lower, prose, words
 from pyspark.sql import functions as F
@@ -110,6 +111,14 @@ def test_one_of_each(docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({i: 1 for i in want} | {None: 1, 13: 2})
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 11, "keep"), (2, "a b c d e f", 12, "x"), (3, None, 13, None), (None, "a b c d e f", 14, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc long, _TEXT string")
+    kept = ngram_jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert ordered(kept.collect()) == ordered([rows[0], rows[2], rows[3]])
+
+
 def test_licenses(docs):
     rows = [(1, "Released UNDER the MIT-License; cc by nc cc by nc"), (2, None), (3, "Licensed undr the Apache License, Version 2.O and so on"), (4, "undermit license"), (5, "é under the mit licenseé"), (None, "x under the mit license")]
     got = {r.doc_id: r for r in license_scan.license_labels(license_scan.license_spans(docs(*rows))).collect()}
@@ -158,6 +167,44 @@ def test_rare_tokens_count_alike(docs, monkeypatch):
     assert ordered(maxent_lm.scored(docs(*rows)).select("doc_id", "n_known", F.round("base_score", 6)).collect()) == ordered(whole)
 
 
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "SHARE", 2000)
+    monkeypatch.setattr(maxent_lm, "STEP", 256)
+    rows, found = corpus(), []
+    for n in (1, 3, 16):
+        table = docs(*rows).repartition(n, "n_chars")
+        found.append(sorted((repr(r.doc_id), r.n_tokens, r.score) for r in maxent_lm.scored(table).collect()))
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert [x[2] for x in other] == pytest.approx([x[2] for x in found[0]], rel=1e-5)
+
+
+def test_gradient_steps_follow_the_slope():
+    rng = np.random.default_rng(2)
+    bias = rng.standard_normal(maxent_lm.N_CLASSES).astype(np.float64)
+    weights = rng.standard_normal((3, 8, maxent_lm.N_CLASSES))
+    features, kind = rng.integers(0, 8, (3, 40)), rng.integers(0, maxent_lm.N_CLASSES, 40)
+
+    def loss(w):
+        logits = maxent_lm._logits(bias, w, features)
+        return -(logits[np.arange(40), kind] - np.log(np.exp(logits).sum(axis=1))).sum()
+
+    square, moved = np.zeros_like(weights), weights.copy()
+    maxent_lm._descend(bias, moved, square, features, kind)
+    slope = np.sqrt(square) * np.sign(weights - moved)  # of a first step
+    for _ in range(30):
+        at = tuple(rng.integers(0, n) for n in weights.shape)
+        near = weights.copy()
+        near[at] += 1e-6
+        assert (loss(near) - loss(weights)) / 1e-6 == pytest.approx(slope[at], abs=1e-3)
+    assert loss(moved) < loss(weights)
+
+
+def test_buckets_grow_with_the_tokens():
+    bits = [maxent_lm.bucket_bits(n) for n in (0, 1 << 18, 1 << 24, 1 << 27, 1 << 60)]
+    assert bits == sorted(bits) and bits[0] == 13 and bits[-1] == 16 and bits[3] > bits[1]
+
+
 def test_leaks(docs, spark):
     item = " ".join(prose("item", 40))
     near = item.replace("w", "v", 3)
@@ -237,39 +284,57 @@ def test_digest_of_kept_words(spark, tmp_path):
     assert ordered(got) == ordered((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in cut(rows, 50))
 
 
-def test_thresholds_from_all_labels(spark, monkeypatch):
-    """Toxic rows of a language that the sample leaves out, or learns from, set its threshold."""
+def by_bins(scores, labels):
+    bins = {}
+    for x, t in zip(scores, labels, strict=True):
+        k = math.floor(math.log(x / (1 - x) / (0.3 / 0.7)) * toxicity.BINS + 1e-9)
+        own = bins.setdefault(k, [0, 0, x, x])
+        bins[k] = [own[0] + t, own[1] + 1, min(own[2], x), max(own[3], x)]
+    return bins
+
+
+def errors(scores, labels, at):
+    return sum((x >= at) != t for x, t in zip(scores, labels, strict=True))
+
+
+def test_a_language_has_its_own_threshold_only_where_that_is_surely_better():
+    rng = np.random.default_rng(3)
+    better = worse = 0
+    for trial in range(200):
+        shift = rng.choice([-4.0, -1.0, 0.0, 0.0, 2.0])
+        toxic = rng.random(600) < 0.2
+        scores = 1 / (1 + np.exp(-(np.where(toxic, 2.5, -4.0) + shift + rng.standard_normal(600) * 2)))
+        limit = toxicity.threshold_of(by_bins(scores[:300], toxic[:300].astype(int)))
+        own, common = (errors(scores[300:], toxic[300:], x) for x in (limit, toxicity.THRESHOLD))
+        better, worse = better + (own < common), worse + (own > common + 2)
+        if limit != toxicity.THRESHOLD:
+            first = [errors(scores[:300], toxic[:300], x) for x in (limit, toxicity.THRESHOLD)]
+            assert first[0] <= min(errors(scores[:300], toxic[:300], x) for x in [*scores[:300], 2.0]) + 3 and first[1] - first[0] > 2 * sum(first) ** 0.5
+    assert better > 20 and worse <= 4
+    assert toxicity.threshold_of({0: [5, 9, 0.3, 0.31]}) == toxicity.THRESHOLD
+    assert toxicity.threshold_of({-40: [60, 60, 0.1, 0.12], -70: [0, 200, 0.01, 0.05]}) == pytest.approx(0.075)
+    assert toxicity.threshold_of({3: [0, 60, 0.4, 0.5], 40: [30, 30, 0.6, 0.7]}) == pytest.approx(0.55)
+
+
+def test_thresholds_of_languages_in_a_table(spark, monkeypatch):
+    """Those of all labelled rows that are not learnt from; null is no language, and not the text None."""
     rows, labels = [], []
-    for i in range(400):
-        own = prose(i, 60)
+    for i in range(600):
+        own = prose(i, 40)
         if i % 4 == 0:
-            own[i % 60] = f"vequ{i}"
-        rows.append((i, " ".join(own), "rare" if i % 20 < 2 else "often"))
+            own[i % 40] = f"vequ{i}"
+        rows.append((i, " ".join(own), ("None", None, "en")[i % 3]))
         labels.append((i, int(i % 4 == 0)))
     texts, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    for most in (60, 6000):
-        monkeypatch.setattr(toxicity, "ROWS", most)
-        limits = toxicity.fit(texts, known)[1]
-        assert set(limits) == {"rare", "often"} and toxicity.THRESHOLD not in limits.values()
-
-
-def test_threshold_of_bins():
-    import random
-
-    rng = random.Random(3)
-    scores, labels, bins = [], [], {}
-    for _ in range(300):
-        toxic = rng.random() < 0.2
-        scores.append(rng.choice([0.05, 0.2, 0.4, 0.6, 0.9] if toxic else [0.05, 0.1, 0.2, 0.4, 1.0]))
-        labels.append(int(toxic))
-        toxicity._add(bins, scores[-1], labels[-1])
-    limit = toxicity.threshold_of(bins)
-
-    def f1(at):
-        return 2 * sum(t for x, t in zip(scores, labels, strict=True) if x >= at) / (sum(x >= at for x in scores) + sum(labels))
-
-    assert f1(limit) == max(map(f1, scores)) and limit not in scores
-    assert toxicity.threshold_of({0: [toxicity.ENOUGH - 1, 50, 0.5, 0.5]}) == toxicity.THRESHOLD
+    monkeypatch.setattr(toxicity, "ROWS", 100)
+    monkeypatch.setattr(toxicity, "threshold_of", lambda bins: 0.6 if sum(b[1] for b in bins.values()) > 50 else 0.3)
+    model, limits = toxicity.fit(texts, known)
+    assert {r.lang: r.threshold for r in limits.collect()} in ({"None": 0.6, "en": 0.6}, {})
+    monkeypatch.setattr(toxicity, "fit", lambda *_: (model, spark.createDataFrame([("None", 0.9)], "lang string, threshold double")))
+    got = toxicity.toxicity(texts, known, carry=["doc_id", "lang"]).select("row.lang", "threshold", "score", "flagged").collect()
+    assert len(got) == 600
+    assert {(r.lang, r.threshold) for r in got} == {("None", 0.9), (None, 0.3), ("en", 0.3)}
+    assert all(r.flagged == (r.score >= r.threshold) for r in got)
 
 
 def least_edits(segment, text):
