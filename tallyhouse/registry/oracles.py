@@ -521,7 +521,7 @@ qualify row_number() over (partition by metric, collection, "timestamp" order by
         f"select * from ({top_sales_by_price('1 hour')})",
         "price_quantiles": _with(EVENTS)
         + "\nunion all\n".join(
-            f"select cast({p} as double) as share, quantile_cont(usd_price, {p}) as usd_price from clean"
+            f"select cast({p} as double) as share, round(quantile_cont(usd_price, {p}), 6) as usd_price from clean"
             for p in (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
         ),
         "event_type_counts": _with(EVENTS) + "select event_type, count(*) as count from clean group by 1",

@@ -435,12 +435,12 @@ def _quartiles(clean: DataFrame) -> DataFrame:
 
 
 def price_quantiles(clean: DataFrame) -> DataFrame:
-    """Exact quantiles of all prices."""
+    """Exact quantiles of all prices; decimals beyond the sixth are the proportion's rounding."""
     spark = clean.sparkSession
     stored = materialise(clean.select("usd_price"), scratch_dir(spark, "values"))
     shares = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
     found = zip(shares, quantiles(stored, "usd_price", shares), strict=True)
-    return spark.createDataFrame(list(found), "share double, usd_price double")
+    return spark.createDataFrame(list(found), "share double, usd_price double").withColumn("usd_price", F.round("usd_price", 6))
 
 
 def _summary(clean: DataFrame) -> DataFrame:
