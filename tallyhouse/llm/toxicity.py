@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,10 +225,22 @@ def threshold_of(bins: dict[int, list[float]]) -> float:
     return float((least[k] + (greatest[k + 1] if k + 1 < len(n) else 0.0)) / 2)
 
 
-def _limits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    columns = [rows[c].to_numpy(np.float64) for c in ("toxic", "n", "low", "high")]
-    own = threshold_of(dict(zip(rows["bin"].tolist(), zip(*columns, strict=True), strict=True)))
-    return pd.DataFrame({"lang": [key[0]], "threshold": [own]})[lambda x: x["threshold"] != THRESHOLD]
+def _limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of histograms, a language's rows together: the languages with a threshold of their own."""
+    lang, bins = None, {}
+
+    def made() -> Iterator[pa.RecordBatch]:
+        own = threshold_of(bins) if bins else THRESHOLD
+        if own != THRESHOLD:
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([own])], ["lang", "threshold"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["lang"] != lang:
+                yield from made()
+                lang, bins = row["lang"], {}
+            bins[row["bin"]] = [float(row[c]) for c in ("toxic", "n", "low", "high")]
+    yield from made()
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4) -> tuple[Model, DataFrame]:
@@ -245,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bins = histograms(docs.filter(_fold("doc_id", folds) != held_out_fold), known, [i for i, *_ in rows], shared)
     # A language has as many rows here as bins.
-    return model, stage.put(bins.groupBy("lang").applyInPandas(_limits, "lang string, threshold double"))
+    return model, stage.put(bins.repartition("lang").sortWithinPartitions("lang").mapInArrow(_limits, "lang string, threshold double"))
 
 
 def _run(shared, name: str = "toxicity"):
