@@ -47,8 +47,11 @@ HELD = 1 << 20
 
 
 def bucket_bits(tokens: int) -> int:
-    """Of a feature's buckets: 13 up to half a million tokens, one more with every 16 times as many, 16 at most."""
-    return min(16, 13 + max(0, tokens.bit_length() - 19) // 4)
+    """Of a feature's buckets: 13 below 2 ** 27 tokens, one more with every 16 times as many, 16 at most.
+
+    Gradient steps slow down where weights outgrow a core's cache.
+    """
+    return min(16, 13 + max(0, tokens.bit_length() - 24) // 4)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
