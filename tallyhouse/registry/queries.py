@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -36,8 +37,11 @@ AS_OF = datetime(2024, 2, 1)
 RANGE = (datetime(2024, 1, 5), datetime(2024, 1, 20, 12, 30))
 MIDWAY = datetime(2024, 1, 15, 12, 0)
 WATERMARK = "3 minutes"
-#: Files that the given events arrive in where they are streamed; each is a micro-batch.
+#: Parts that the given events arrive in where they are streamed; each is a micro-batch.
 FILES = 4
+#: Least and greatest numbers of rows that the files of a part are meant to have.
+FILE_ROWS = (25_000, 1_000_000)
+MESSAGE = "value string, timestamp timestamp"
 PAGE = [
     "total_number_of_events",
     "total_transfers",
@@ -93,27 +97,52 @@ def _filled(spark: SparkSession, sf_dir: str, name: str, fill: Callable[[str], o
     return _FILLED[key]
 
 
+def _files_per_part(rows: int, cores: int) -> int:
+    """Files of one micro-batch: enough to occupy the cores, none with over a million rows."""
+    return max(1, min(cores, math.ceil(rows / FILE_ROWS[0])), math.ceil(rows / FILE_ROWS[1]))
+
+
 def _arrivals(spark: SparkSession, sf_dir: str, parts: int = FILES) -> str:
-    """The given events as files that arrive one after the other, in the order of their times."""
+    """The given events as messages in files that arrive part by part, in the order of their times.
+
+    Messages are encoded once, by as many tasks as there are files. Every part
+    has the same number of files, so that a micro-batch of that many is one part.
+    """
 
     def fill(path: str) -> None:
+        use_utc(spark)
         events = tables.table(spark, sf_dir, "events")
-        span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-        at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        part = F.least(F.floor((at("ts") - at("low")) * parts / F.greatest(at("high") - at("low"), F.lit(1))), F.lit(parts - 1))
-        placed = events.crossJoin(span).withColumn("part", F.coalesce(part, F.lit(parts - 1)))
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        low, high, rows = events.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+        part = F.least(F.floor((at - F.lit(low)) * parts / F.lit(max((high or 0) - (low or 0), 1))), F.lit(parts - 1))
+        placed = events.withColumn("part", F.coalesce(part, F.lit(parts - 1)))
+        files = _files_per_part(math.ceil(rows / parts), spark.sparkContext.defaultParallelism)
         for i in range(parts):
-            placed.filter(F.col("part") == i).select(events.columns).coalesce(1).write.mode("append").parquet(path)
+            arrived = placed.filter(F.col("part") == i).select(events.columns).repartition(files)
+            tables.events_to_messages(arrived).write.mode("append").parquet(path)
+            # Tasks without rows write no file.
+            for _ in range(_count_files(spark, path), files * (i + 1)):
+                spark.createDataFrame([], MESSAGE).write.mode("append").parquet(path)
 
     return _filled(spark, sf_dir, "arrivals", fill)
 
 
+def _count_files(spark: SparkSession, path: str) -> int:
+    return sum(name.endswith(".parquet") for name in Storage(spark, path).names(""))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages that have arrived."""
+    use_utc(spark)
+    return spark.read.schema(MESSAGE).parquet(_arrivals(spark, sf_dir))
+
+
 def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given events as messages, a file per micro-batch."""
+    """The messages as they arrive, a part per micro-batch."""
     use_utc(spark)
     path = _arrivals(spark, sf_dir)
-    schema = tables.table(spark, sf_dir, "events").schema
-    return tables.events_to_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    each = _count_files(spark, path) // FILES
+    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _drain(spark: SparkSession, writer: DataStreamWriter) -> None:
