@@ -178,7 +178,7 @@ def _envelope_fields(raw: DataFrame) -> DataFrame:
 def scan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     path = scratch_dir(spark, "archive")
-    write_archive(tables.market_messages(spark, sf_dir), path)
+    write_archive(_messages(spark, sf_dir), path)
     return _plain_times(ev.clean_events(read_archive(spark, path)))
 
 
@@ -191,8 +191,7 @@ def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a range, found by the archive's index: some arrive days late, some by clocks that are behind."""
-    use_utc(spark)
-    messages = tables.market_messages(spark, sf_dir)
+    messages = _messages(spark, sf_dir)
     key = F.pmod(F.xxhash64("value"), F.lit(10))
     late = F.when(key == 0, F.expr("interval 5 days")).when(key == 1, F.expr("interval -2 days")).otherwise(F.expr("interval 40 seconds"))
     path = scratch_dir(spark, "archive")
