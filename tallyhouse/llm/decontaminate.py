@@ -137,16 +137,17 @@ class Index:
             kinds[width] = min(kinds.get(width, 1 << 30), int(need))
         self.kinds = sorted(kinds.items())
 
-    def dense(self, hit: np.ndarray) -> np.ndarray:
-        """Which hits lie in a stretch with as many hits as some segment needs."""
-        total = np.concatenate([[0], np.cumsum(hit)])
-        near = np.zeros(len(hit) + 1, dtype=np.int64)
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        """Of the hits' places, in order, those in a stretch with as many hits as some segment needs."""
+        order, near = np.arange(len(at)), np.zeros(len(at) + 1, dtype=np.int64)
         for width, need in self.kinds:
-            last = np.minimum(np.arange(len(hit)) + width, len(hit))
-            begin = np.flatnonzero(hit & (total[last] - total[:-1] >= need))
+            if need > len(at):
+                continue
+            last = np.searchsorted(at, at + width)
+            begin = np.flatnonzero(last - order >= need)
             np.add.at(near, begin, 1)
             np.add.at(near, last[begin], -1)
-        return hit & (np.cumsum(near)[:-1] > 0)
+        return at[np.cumsum(near)[:-1] > 0]
 
     def passages(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(item, start, stop, edits) in a plain text; of a fine segment only where no other of the item lies."""
@@ -162,17 +163,20 @@ class Index:
         return sorted(x for own in out.values() for x in own)
 
     def regions(self, data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-        """(item, start, stop, edits, whether of a fine segment) in a plain text."""
+        """(item, start, stop, edits, whether of a fine segment) in a plain text.
+
+        Segments come before the fine ones of their item; one of these that must
+        overlap a region that was found is not aligned, as ``passages`` drops it.
+        """
         values = grams(np.frombuffer(data, dtype=np.uint8))
         if not len(values) or not len(self.values):
             return
-        hit = self.table[_slot(values)]
-        at = np.flatnonzero(hit)
+        # Most places fall out by one look into the table, and most others by how few are near each other.
+        at = self.dense(np.flatnonzero(self.table[_slot(values)]))
         if not len(at):
             return
         place = np.minimum(np.searchsorted(self.values, values[at]), len(self.values) - 1)
-        hit[at] = self.values[place] == values[at]
-        at = np.flatnonzero(self.dense(hit))
+        at = self.dense(at[self.values[place] == values[at]])
         if not len(at):
             return
         place = np.searchsorted(self.values, values[at])
@@ -196,17 +200,24 @@ class Index:
         line, size = np.unique(np.concatenate([line, line - 1]), return_counts=True)
         segment, band = line >> 36, (line & ((1 << 36) - 1)) - _FAR
         enough = size >= self.bound[segment]
+        known: dict[int, dict[int, int]] = {}  # of each item: where its regions start, and the least stop of these
         for s, b in zip(segment[enough].tolist(), band[enough].tolist(), strict=True):
             item, text, fine = self.segments[s]
             k, width = int(self.budget[s]), int(self.half[s])
             low = b * width - k
             high = b * width + 2 * width + len(text) + k
+            # A region starts within 4k letters, and lacks k of the segment's at most.
+            if fine and k and any(y < max(0, low) + len(text) - k and max(0, low + 4 * k) < stop for y, stop in known.get(item, {}).items()):
+                continue
             # Bytes that match nothing (plain texts have none) stand for what lies before the text.
             near = b"\0" * -low + data[max(0, low) : max(0, high)]
             found = align(text, near, k) if k else None
             if not k:
                 spot = near.find(text)
                 found = (0, spot, spot + len(text)) if spot >= 0 else None
+            if found and not fine:
+                own, start, stop = known.setdefault(item, {}), max(0, low + found[1]), max(0, low + found[2])
+                own[start] = min(own.get(start, stop), stop)
             if found:
                 yield item, max(0, low + found[1]), max(0, low + found[2]), found[0], fine
 
