@@ -37,6 +37,9 @@ STEPS, RATE, DECAY, SEED = 100, 0.15, 1e-3, 11
 #: A word of the labelled texts counts as itself if it stands there so often.
 OFTEN = 4
 
+#: Words that are scored at once.
+PIECE = 1 << 13
+
 LABELLED = "text string, spans array<struct<kind:string,start:int,stop:int>>"
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,stop:int,base:boolean>>"
 
@@ -164,8 +167,13 @@ class Field:
     def scores(self, seen: dict[str, np.ndarray], row: np.ndarray) -> np.ndarray:
         """Words x tags; a neighbour in another text counts as unknown."""
         out = np.broadcast_to(self.bias, (len(row), len(TAGS))).astype(np.float32)
-        for place, weights in zip(_looks(self.places(seen), row), self.weights, strict=True):
-            out += weights[place]
+        looks = list(_looks(self.places(seen), row))
+        # In pieces that stay near the processor.
+        part = np.empty((PIECE, len(TAGS)), np.float32)
+        for low in range(0, len(row), PIECE):
+            own = out[low : low + PIECE]
+            for place, weights in zip(looks, self.weights, strict=True):
+                own += np.take(weights, place[low : low + PIECE], axis=0, out=part[: len(own)], mode="clip")
         return out
 
     def slack(self) -> np.ndarray:
@@ -200,19 +208,25 @@ class Field:
         return tags
 
     def _paths(self, score, tags, begin, size, opens, closes) -> None:
+        """Best paths of runs that ascend by size, so those that go on at a word are the last ones."""
         start = np.where(opens[:, None], self.first, self.steps[0])
         best = start + score[begin]
-        back = np.zeros((int(size.max()), len(begin), len(TAGS)), np.int8)
-        for t in range(1, int(size.max())):
-            live = size > t
-            reach = best[live][:, :, None] + self.steps
-            back[t, live] = reach.argmax(axis=1)
-            best[live] = reach.max(axis=1) + score[begin[live] + t]
+        longest = int(size.max())
+        first = np.searchsorted(size, np.arange(longest), side="right")
+        into = np.ascontiguousarray(self.steps.T)
+        back = np.zeros((longest, len(begin), len(TAGS)), np.int8)
+        for t in range(1, longest):
+            live = slice(int(first[t]), None)
+            reach = best[live][:, None, :] + into
+            came = reach.argmax(axis=2)
+            back[t, live] = came
+            best[live] = np.take_along_axis(reach, came[:, :, None], axis=2)[:, :, 0] + score[begin[live] + t]
         tag = (best + np.where(closes[:, None], 0, self.steps[:, 0])).argmax(axis=1)
-        for t in range(int(size.max()) - 1, -1, -1):
-            live = size > t
+        for t in range(longest - 1, -1, -1):
+            live = slice(int(first[t]), None)
             tags[begin[live] + t] = tag[live]
-            tag[live] = back[t, live, tag[live]] if t else tag[live]
+            if t:
+                tag[live] = np.take_along_axis(back[t, live], tag[live][:, None], axis=1)[:, 0]
 
 
 def _looks(places: dict[str, np.ndarray], row: np.ndarray) -> Iterator[np.ndarray]:

@@ -1,9 +1,11 @@
 """What operators hold on disk, on the driver and near the processor doesn't change their results."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyhouse.llm import decontaminate
+from tallyhouse.llm import decontaminate, pii_crf
+from tallyhouse.llm import words as W
 
 
 def test_a_fine_segment_inside_a_found_region_is_not_aligned(monkeypatch):
@@ -30,3 +32,14 @@ def test_dense_places_as_counted_one_by_one(width):
             inside = at[(at >= p) & (at < p + size)]
             want |= set(inside.tolist()) if len(inside) >= need else set()
     assert index.dense(at).tolist() == sorted(want)
+
+
+def test_scores_do_not_depend_on_pieces(monkeypatch):
+    monkeypatch.setattr(pii_crf, "STEPS", 5)
+    field = pii_crf.train(*zip(*pii_crf.examples(60)))
+    chunk = next(W.chunks(pa.array([t for t, _ in pii_crf.examples(40, seed=3)])))
+    found, seen = pii_crf.observe(chunk)
+    whole = field.scores(seen, found.row)
+    monkeypatch.setattr(pii_crf, "PIECE", 7)
+    assert (field.scores(seen, found.row) == whole).all()
+    assert (field.decode(whole, found.row) != 0).any()
