@@ -28,6 +28,7 @@ Which pairs are counted:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from tallyhouse.llm.staging import Stage
 from tallyhouse.session import conf
 
 FRAGMENT_BITS = 3
+#: Passes over the first fragments, a power of two.
+PASSES = 4
 #: Rounds of leaders before the rest is paired, and the pairs per kept n-gram that count as few.
 ROUNDS, FEW = 3, 2
 #: Classes that a kept n-gram may have before its pairs are counted in cells; classes and n-grams of a block, about.
@@ -242,21 +245,29 @@ class _Join:
         one = self.stage.put(one.dropDuplicates(["doc_id", "class"]).select("class", "n", "left_out", "head"))
         self.signed = self.stage.put(self.heads.drop("head", "left_out"))
         self.stage.drop(self.heads)
-        heads = one.select("class", "n", "left_out", F.explode("head").alias("gram"))
-        often = heads.groupBy("gram").agg(F.count("*").alias("times"), F.min("class").alias("low"), F.max("class").alias("high"))
-        often = self.stage.put(often.filter("low <> high").select("gram", "times"))
+        # N-grams are looked at in passes by their last bits, so the shuffles of one are all that lies on disk.
+        hits = [self.stage.put(self.repeated(one, i)) for i in range(PASSES)]
+        self.stage.drop(one)
         rarest = Window.partitionBy("class").orderBy(F.desc("times"), F.desc("gram"))
-        met = heads.join(often, "gram").withColumn("place", F.row_number().over(rarest))
+        met = reduce(DataFrame.union, hits).withColumn("place", F.row_number().over(rarest))
         # How common a class's n-grams are: of a group of copies, the one with the fewest changes has most.
         met = met.withColumn("central", F.sum("times").over(Window.partitionBy("class")) / F.col("n"))
         met = met.filter("place > left_out").select("class", "n", "central", "gram")
         self.met = self.stage.put(met)
-        self.stage.drop(one)
-        self.stage.drop(often)
+        for table in hits:
+            self.stage.drop(table)
         wanted = self.met.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
         own = self.docs.join(wanted, "doc_id").mapInArrow(_fragments(self.n_words), "class long, part int, grams array<long>")
         self.fragments = self.stage.put(own.groupBy("class", "part").agg(F.first("grams").alias("grams")))
 
+    def repeated(self, one: DataFrame, turn: int) -> DataFrame:
+        """N-grams of one pass that two classes have, with each class: (gram, class, n, left_out, times)."""
+        heads = one.select("class", "n", "left_out", F.explode("head").alias("gram"))
+        heads = heads.filter(F.col("gram").bitwiseAND(F.lit(PASSES - 1)) == turn)
+        often = heads.groupBy("gram").agg(F.count("*").alias("times"), F.min("class").alias("low"), F.max("class").alias("high"))
+        often = self.stage.put(often.filter("low <> high").select("gram", "times"))
+        return heads.join(often, "gram")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, na, b, nb) -> those at the threshold: overlaps are counted per fragment and summed."""
         left = self.fragments.select(F.col("class").alias("a"), "part", F.col("grams").alias("ga"))

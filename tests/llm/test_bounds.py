@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyhouse.llm import decontaminate, pii_crf
+from tallyhouse.llm import decontaminate, ngram_jaccard, pii_crf
 from tallyhouse.llm import words as W
 
 
@@ -43,3 +43,23 @@ def test_scores_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(pii_crf, "PIECE", 7)
     assert (field.scores(seen, found.row) == whole).all()
     assert (field.decode(whole, found.row) != 0).any()
+
+
+def test_passes_split_the_n_grams(spark, docs, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j + (j == i % 3) * 1000}" for j in range(60))) for i in range(30)]
+    found = {}
+    for passes in (1, 4):
+        monkeypatch.setattr(ngram_jaccard, "PASSES", passes)
+        seen = []
+        real = ngram_jaccard._Join.repeated
+
+        def spy(self, one, turn, real=real, seen=seen):
+            got = real(self, one, turn)
+            seen.append({r.gram for r in got.select("gram").distinct().collect()})
+            return got
+
+        monkeypatch.setattr(ngram_jaccard._Join, "repeated", spy)
+        found[passes] = sorted(map(tuple, ngram_jaccard.near_duplicates(docs(*rows)).select("doc_id", "n_shingles", "component_id").collect()))
+        monkeypatch.setattr(ngram_jaccard._Join, "repeated", real)
+        assert len(seen) == passes and sum(map(len, seen)) == len(set().union(*seen)) > 0
+    assert found[1] == found[4]
