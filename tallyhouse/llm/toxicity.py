@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyhouse.llm import words as W
 from tallyhouse.llm.staging import Stage
+from tallyhouse.session import conf
 
 #: The sample: at most so many labelled rows, in hash order, and words of them.
 ROWS, WORDS = 6000, 4_000_000
@@ -173,21 +174,42 @@ def _known(labels: DataFrame, held_out_fold: int, folds: int) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
-def _sample(docs: DataFrame, known: DataFrame) -> list[tuple[int, str, int, np.ndarray]]:
-    """Rows of (doc_id, lang, toxic, buckets), as many as the bounds allow, in hash order."""
+def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, toxic, buckets) of ``ROWS`` labelled rows at most, in hash order, as one partition."""
     chosen = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").dropna(subset=["doc_id"]).join(F.broadcast(chosen), "doc_id")
     made = rows.mapInArrow(_to_buckets, "place long, doc_id long, lang string, toxic int, buckets binary")
-    width, out, words = len(BEGINNINGS) + 1, [], 0
-    size = (F.octet_length("buckets") / (4 * width)).cast("long")
-    # Rows go to the driver up to the bound on words; a single text beyond it is left out of the sample.
-    for row in made.filter(size <= WORDS // 20).orderBy("place", F.xxhash64("buckets")).limit(ROWS).toLocalIterator():
-        own = np.frombuffer(row["buckets"], dtype=np.int32).reshape(-1, width)
-        words += len(own)
-        if words > WORDS:
-            break
-        out.append((row["doc_id"], str(row["lang"]), int(row["toxic"]), own))
-    return out
+    size = (F.octet_length("buckets") / (4 * (len(BEGINNINGS) + 1))).cast("long")
+    # A single text beyond the bound is left out of the sample.
+    return made.filter(size <= WORDS // 20).orderBy("place", F.xxhash64("buckets")).limit(ROWS).select("doc_id", "toxic", "buckets").coalesce(1)
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the sample, up to the bound on words: a model, and the documents that it has learnt from."""
+    rows, words = [], 0
+    for batch in batches:
+        for doc_id, toxic, buckets in zip(*(_column(batch, c) for c in ("doc_id", "toxic", "buckets")), strict=True):
+            if words <= WORDS:
+                own = np.frombuffer(buckets.as_py(), dtype=np.int32).reshape(-1, len(BEGINNINGS) + 1)
+                words += len(own)
+                if words <= WORDS:
+                    rows.append((doc_id.as_py(), toxic.as_py(), own))
+    rows = [x for i, x in enumerate(rows) if i % SHARE]
+    model = train([x for *_, x in rows], np.array([t for _, t, _ in rows], dtype=np.float64))
+    parts = [model.embed, *model.filters, model.bias, model.out]
+    made = [pa.array([[i for i, *_ in rows]], pa.list_(pa.int64())), pa.array([[x.tobytes() for x in parts]], pa.list_(pa.binary()))]
+    yield pa.RecordBatch.from_arrays([*made, pa.array([[list(x.shape) for x in parts]], pa.list_(pa.list_(pa.int32())))], ["learnt", "parts", "shapes"])
+
+
+def learnt(docs: DataFrame, known: DataFrame) -> tuple[Model, list[int]]:
+    """The model and the documents that it has learnt from. Learnt in one task; the sample doesn't come to the driver."""
+    # Some texts at a time go to the worker.
+    with conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "200"}):
+        got = _sample(docs, known).mapInArrow(_learn, "learnt array<long>, parts array<binary>, shapes array<array<int>>").first()
+    if got is None:  # no row, no task
+        return train([], np.zeros(0)), []
+    embed, *filters, bias, out = (np.frombuffer(p, dtype=np.float32).reshape(s) for p, s in zip(got["parts"], got["shapes"], strict=True))
+    return Model(embed, filters, bias, out), got["learnt"]
 
 
 def histograms(docs: DataFrame, known: DataFrame, learnt: list[int], shared) -> DataFrame:
@@ -250,11 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int =
     """
     stage = Stage(docs.sparkSession, "toxicity")
     known = _known(labels, held_out_fold, folds)
-    rows = [x for i, x in enumerate(_sample(docs, known)) if i % SHARE]
-    truth = np.array([t for _, _, t, _ in rows], dtype=np.float64)
-    model = train([x for *_, x in rows], truth)
+    model, seen = learnt(docs, known)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    bins = histograms(docs.filter(_fold("doc_id", folds) != held_out_fold), known, [i for i, *_ in rows], shared)
+    bins = histograms(docs.filter(_fold("doc_id", folds) != held_out_fold), known, seen, shared)
     # A language has as many rows here as bins.
     return model, stage.put(bins.repartition("lang").sortWithinPartitions("lang").mapInArrow(_limits, "lang string, threshold double"))
 

@@ -3,8 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, ngram_jaccard, pii_crf
+from tallyhouse.llm import decontaminate, ngram_jaccard, pii_crf, toxicity
 from tallyhouse.llm import words as W
 
 
@@ -63,3 +64,15 @@ def test_passes_split_the_n_grams(spark, docs, monkeypatch):
         monkeypatch.setattr(ngram_jaccard._Join, "repeated", real)
         assert len(seen) == passes and sum(map(len, seen)) == len(set().union(*seen)) > 0
     assert found[1] == found[4]
+
+
+def test_the_sample_stays_off_the_driver(spark, monkeypatch):
+    """The driver trains nothing and gets one row: the weights and the ids."""
+    monkeypatch.setattr(toxicity, "train", None)
+    rows = [(i, ("vile awful " if i % 3 == 0 else "good day ") * 5 + f"w{i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model, seen = toxicity.learnt(docs, toxicity._known(labels, 2, 4))
+    assert model.embed.shape == (toxicity.BUCKETS, toxicity.SIZE) and 0 < len(seen) <= 240
+    low, high = model.scores(next(W.chunks(pa.array(["good day", "vile awful"]))))
+    assert low < 0.3 < high
