@@ -36,6 +36,8 @@ PASSES, RATE, SHARE = 5, 0.05, 5
 THRESHOLD, SURE = 0.3, 2.0
 #: Bins of a histogram for each unit of the logit.
 BINS = 32
+#: So many texts at a time go to a worker and come back, whatever their number in a task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 _LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _WORD = np.arange(256, dtype=W.U)
@@ -276,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bins = histograms(docs.filter(_fold("doc_id", folds) != held_out_fold), known, seen, shared)
     # A language has as many rows here as bins.
-    return model, stage.put(bins.repartition("lang").sortWithinPartitions("lang").mapInArrow(_limits, "lang string, threshold double"))
+    with conf(docs.sparkSession, BATCH):
+        return model, stage.put(bins.repartition("lang").sortWithinPartitions("lang").mapInArrow(_limits, "lang string, threshold double"))
 
 
 def _run(shared, name: str = "toxicity"):
@@ -300,7 +303,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     and empty texts get the score of a text without words. A null or unknown
     language has the threshold THRESHOLD. Without labels of both kinds all
     scores are the share of toxic labels. Rows that repeat a doc_id are scored
-    one by one.
+    one by one. Scored rows are staged with what they carry.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = F.col("text").cast("string")
@@ -309,7 +312,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     kept = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
     own = docs.select(F.struct(*kept).alias("row"), text.alias("text"), lang.alias("lang"))
     shape = StructType([own.schema["row"], own.schema["lang"], StructField("toxicity", DoubleType())])
-    found = own.mapInArrow(_run(shared), shape)
+    # Staged, as the size of batches is that of the moment when a plan runs, and a caller's may run any time later.
+    with conf(docs.sparkSession, BATCH):
+        found = Stage(docs.sparkSession, "toxicity").put(own.mapInArrow(_run(shared), shape))
     # A few languages at most differ: Spark broadcasts them, if they are as few as that.
     limits = limits.select(F.col("lang").alias("own_lang"), "threshold")
     limit = F.coalesce("threshold", F.lit(THRESHOLD))

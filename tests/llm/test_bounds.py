@@ -76,3 +76,25 @@ def test_the_sample_stays_off_the_driver(spark, monkeypatch):
     assert model.embed.shape == (toxicity.BUCKETS, toxicity.SIZE) and 0 < len(seen) <= 240
     low, high = model.scores(next(W.chunks(pa.array(["good day", "vile awful"]))))
     assert low < 0.3 < high
+
+
+def test_texts_go_to_the_classifier_some_at_a_time(spark, docs, monkeypatch):
+    """Also where the caller's plan runs later, with the session's own size of batches."""
+
+    def sizes(shared, name="toxicity"):
+        def run(batches):
+            for batch in batches:
+                at = [batch.schema.get_field_index(c) for c in ("row", "lang")]
+                made = pa.array([float(batch.num_rows)] * batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*map(batch.column, at), made], ["row", "lang", name])
+
+        return run
+
+    monkeypatch.setattr(toxicity, "fit", lambda docs, *_: (None, docs.sparkSession.createDataFrame([], "lang string, threshold double")))
+    monkeypatch.setattr(toxicity, "_run", sizes)
+    rows = [(i, "some words") for i in range(3000)] + [(i, "long " * 100_000) for i in range(3000, 3040)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = toxicity.toxicity(docs(*rows).coalesce(1), None).select("row.doc_id", "score").collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    assert max(r.score for r in got) <= 500 and max(r.score for r in got if r.doc_id >= 3020) <= 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
