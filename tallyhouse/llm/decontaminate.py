@@ -44,18 +44,16 @@ def edit_budget(m: int) -> int:
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """Each Q = 8 bytes in a row as one number."""
+    """Each Q = 8 bytes in a row as one number, the first byte lowest."""
     if len(data) < Q:
         return np.zeros(0, dtype=W.U)
-    out, size = data.astype(W.U), 1
-    while size < Q:
-        out = out[:-size] | (out[size:] << W.U(8 * size))
-        size *= 2
-    return out
+    return np.ndarray(len(data) - Q + 1, "<u8", np.ascontiguousarray(data), strides=(1,)).astype(W.U)
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
-    return ((values * W.U(0x9E3779B97F4A7C15)) >> W.U(64 - _TABLE_BITS)).astype(np.int64)
+    out = values * W.U(0x9E3779B97F4A7C15)
+    out >>= W.U(64 - _TABLE_BITS)
+    return out.view(np.int64)
 
 
 def align(segment: bytes, text: bytes, budget: int) -> tuple[int, int, int] | None:
@@ -125,6 +123,7 @@ class Index:
         self.budget = np.array([edit_budget(int(m)) for m in sizes], dtype=np.int64)
         self.bound = sizes + 1 - (self.budget + 1) * Q
         self.half = np.maximum(1, self.budget)
+        self.widest = int(self.half.max()) if len(sizes) else 1
         # Of each item: the q-grams that its least demanding segment must share.
         self.least = np.full(len(parts), 1 << 30)
         if parts:
@@ -139,15 +138,29 @@ class Index:
 
     def dense(self, at: np.ndarray) -> np.ndarray:
         """Of the hits' places, in order, those in a stretch with as many hits as some segment needs."""
-        order, near = np.arange(len(at)), np.zeros(len(at) + 1, dtype=np.int64)
+        return at[self.near(at)]
+
+    def near(self, at: np.ndarray) -> np.ndarray:
+        """Which of the places ``dense`` keeps. Each of a stretch is one of ``need`` in a row that are as near."""
+        change = np.zeros(len(at) + 1, dtype=np.int8)
         for width, need in self.kinds:
             if need > len(at):
                 continue
-            last = np.searchsorted(at, at + width)
-            begin = np.flatnonzero(last - order >= need)
-            np.add.at(near, begin, 1)
-            np.add.at(near, last[begin], -1)
-        return at[np.cumsum(near)[:-1] > 0]
+            begin = at[need - 1 :] - at[: len(at) - need + 1] < width
+            change[: len(begin)] += begin
+            change[need : need + len(begin)] -= begin
+        return np.cumsum(change[:-1], dtype=np.int64) > 0
+
+    def beside(self, owner: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """For the hits' items and bands: which may share their band and one beside it with enough others.
+
+        Counted in fewer slots than there are bands, so counts are too high at most; two
+        bands that reach the bound together both stay.
+        """
+        last = (1 << max(10, 3 + len(band).bit_length())) - 1
+        slot = (owner * 0x9E3779B1 + band) & last
+        n = np.bincount(slot, minlength=last + 1)
+        return n[slot] + np.maximum(n[slot - 1], n[(slot + 1) & last]) >= self.least[owner]
 
     def passages(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(item, start, stop, edits) in a plain text; of a fine segment only where no other of the item lies."""
@@ -172,19 +185,27 @@ class Index:
         if not len(values) or not len(self.values):
             return
         # Most places fall out by one look into the table, and most others by how few are near each other.
-        at = self.dense(np.flatnonzero(self.table[_slot(values)]))
+        at = self.dense(np.flatnonzero(self.table.take(_slot(values))))
         if not len(at):
             return
-        place = np.minimum(np.searchsorted(self.values, values[at]), len(self.values) - 1)
-        at = self.dense(at[self.values[place] == values[at]])
+        own = values[at]
+        place = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        same = self.values[place] == own
+        at, place = at[same], place[same]
+        near = self.near(at)
+        at, place = at[near], place[near]
         if not len(at):
             return
-        place = np.searchsorted(self.values, values[at])
         many = self.count[place]
         entry = np.repeat(self.first[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         begun = np.repeat(at, many) - self.place[entry]  # where the item would begin
+        # Most texts fall out here, before anything is sorted.
+        kept = self.beside(self.owner[entry], begun // self.widest)
+        if not kept.any():
+            return
+        entry, begun = entry[kept], begun[kept]
         # A segment's shared q-grams lie on half + 1 neighbouring diagonals of its item, so in two neighbouring bands.
-        line, which, n = np.unique((self.owner[entry] << 36) + begun // self.half.max() + _FAR, return_inverse=True, return_counts=True)
+        line, which, n = np.unique((self.owner[entry] << 36) + begun // self.widest + _FAR, return_inverse=True, return_counts=True)
         beside = np.diff(line) == 1
         near = n + np.maximum(np.append(n[1:] * beside, 0), np.insert(n[:-1] * beside, 0, 0))
         kept = near[which] >= self.least[self.owner[entry]]

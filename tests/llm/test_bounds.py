@@ -98,3 +98,34 @@ def test_texts_go_to_the_classifier_some_at_a_time(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
     assert max(r.score for r in got) <= 500 and max(r.score for r in got if r.doc_id >= 3020) <= 20
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_common_q_grams_alone_are_not_sorted(monkeypatch):
+    """A text of an item's q-grams, none with enough others on a diagonal, falls out before bands are sorted."""
+    rng = np.random.default_rng(4)
+    known = ["".join(chr(97 + k) for k in rng.integers(0, 26, 10)) for _ in range(300)]
+    items = [(i, " ".join(known[k] for k in rng.integers(0, 300, 40))) for i in range(20)]
+    index = decontaminate.Index(items)
+    text = decontaminate.plain(" ".join(known[k] for k in rng.integers(0, 300, 400)))
+    values = decontaminate.grams(np.frombuffer(text, dtype=np.uint8))
+    assert len(index.dense(np.flatnonzero(index.table[decontaminate._slot(values)]))) > 500
+    sorted_ = []
+    real = np.unique
+    monkeypatch.setattr(decontaminate.np, "unique", lambda x, *a, **k: sorted_.append(len(x)) or real(x, *a, **k))
+    assert index.passages(text) == [] and sum(sorted_) < 200
+    assert {x[0] for x in index.passages(text + b" " + decontaminate.plain(items[7][1]))} == {7}
+
+
+def test_hits_beside_each_other_stay():
+    index = decontaminate.Index([(i, "a line of some words that is long enough " * 3) for i in range(3)])
+    rng = np.random.default_rng(5)
+    for n in (3, 60, 4000):
+        owner, band = rng.integers(0, 3, n), rng.integers(-40, n // 4, n)
+        owner[: n // 3], band[: n // 3] = 1, np.repeat([7, 8], n)[rng.integers(0, 2 * n, n // 3)]
+        seen = {}
+        for line in zip(owner.tolist(), band.tolist()):
+            seen[line] = seen.get(line, 0) + 1
+        kept = index.beside(owner, band)
+        for k, (o, b) in enumerate(zip(owner.tolist(), band.tolist())):
+            beside = max(seen.get((o, b - 1), 0), seen.get((o, b + 1), 0))
+            assert kept[k] or seen[o, b] + beside < index.least[o]
