@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tallyhouse.llm import words as W
 from tallyhouse.llm.staging import ship
 
-#: Texts between white space, words and arcs that a worker keeps at hand, in two generations.
-KEPT_STRETCHES, KEPT_WORDS, KEPT_ARCS = 1 << 17, 1 << 18, 1 << 18
+#: Texts between white space, words and arcs that a task keeps at hand, in two generations.
+KEPT_STRETCHES, KEPT_WORDS, KEPT_ARCS = 1 << 16, 1 << 16, 1 << 16
 
 
 def byte_signs() -> list[str]:
@@ -73,6 +73,10 @@ class Kept(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Automaton:
     def __init__(self, definition: str):
@@ -110,6 +114,11 @@ class Automaton:
         if accepted and self.time[w] < 0:
             self.entry[w], self.exit[w], self.time[w] = u, v, time
 
+    def forget(self) -> None:
+        """Give up what was noted of texts; the automaton stays."""
+        for notes in (self.known, self.words, self.stretches):
+            notes.forget()
+
     @cached_property
     def library(self):
         """For texts with unusual signs: the library's own normalizer and pre-tokenizer."""
@@ -215,13 +224,17 @@ def compiled(definition: str) -> Automaton:
 def _run(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(shared.value)
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for chunk in W.chunks(batch.column(batch.schema.get_field_index("text"))):
-                data = chunk.data.tobytes()
-                made = [automaton.both_ways(data[a:b].decode()) for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
-                columns = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.large_string(), pa.large_string()))]
-                yield pa.RecordBatch.from_arrays([ids.slice(chunk.rows.start, len(made)), columns[0], columns[1].cast(pa.string()), columns[2].cast(pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        try:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("doc_id"))
+                for chunk in W.chunks(batch.column(batch.schema.get_field_index("text"))):
+                    data = chunk.data.tobytes()
+                    made = [automaton.both_ways(data[a:b].decode()) for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
+                    columns = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.large_string(), pa.large_string()))]
+                    yield pa.RecordBatch.from_arrays([ids.slice(chunk.rows.start, len(made)), columns[0], columns[1].cast(pa.string()), columns[2].cast(pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        finally:
+            # The worker lives on, beside those of the operators to come.
+            automaton.forget()
 
     return run
 

@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from tallyhouse.llm import words as W
 from tallyhouse.llm.components import components, forest
-from tallyhouse.llm.staging import Stage
+from tallyhouse.llm.staging import BATCH, Stage
 from tallyhouse.session import conf
 
 FRAGMENT_BITS = 3
@@ -235,7 +235,8 @@ class _Join:
 
     def sign(self) -> None:
         shape = "doc_id long, text_hash long, n long, class long, check long, left_out long, head array<long>"
-        self.heads = self.stage.put(self.docs.mapInArrow(_sign(self.n_words, self.percent), shape))
+        with conf(self.docs.sparkSession, BATCH):
+            self.heads = self.stage.put(self.docs.mapInArrow(_sign(self.n_words, self.percent), shape))
         linked = self.heads.filter("n > 0 and doc_id is not null")
         self.classes = self.stage.put(linked.groupBy("n", "class", "check").agg(F.min("doc_id").alias("doc_id")))
 
@@ -258,7 +259,8 @@ class _Join:
             self.stage.drop(table)
         wanted = self.met.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
         own = self.docs.join(wanted, "doc_id").mapInArrow(_fragments(self.n_words), "class long, part int, grams array<long>")
-        self.fragments = self.stage.put(own.groupBy("class", "part").agg(F.first("grams").alias("grams")))
+        with conf(self.docs.sparkSession, BATCH):
+            self.fragments = self.stage.put(own.groupBy("class", "part").agg(F.first("grams").alias("grams")))
 
     def repeated(self, one: DataFrame, turn: int) -> DataFrame:
         """N-grams of one pass that two classes have, with each class: (gram, class, n, left_out, times)."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyhouse.llm import words as W
-from tallyhouse.llm.staging import Stage
+from tallyhouse.llm.staging import BATCH, Stage
 from tallyhouse.session import conf
 
 #: The sample: at most so many labelled rows, in hash order, and words of them.
@@ -36,8 +36,6 @@ PASSES, RATE, SHARE = 5, 0.05, 5
 THRESHOLD, SURE = 0.3, 2.0
 #: Bins of a histogram for each unit of the logit.
 BINS = 32
-#: So many texts at a time go to a worker and come back, whatever their number in a task.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 _LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _WORD = np.arange(256, dtype=W.U)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, ngram_jaccard, pii_crf, toxicity
+from tallyhouse.llm import bpe_automaton, decontaminate, ngram_jaccard, pii_crf, queries, toxicity
 from tallyhouse.llm import words as W
 
 
@@ -129,3 +129,57 @@ def test_hits_beside_each_other_stay():
         for k, (o, b) in enumerate(zip(owner.tolist(), band.tolist())):
             beside = max(seen.get((o, b - 1), 0), seen.get((o, b + 1), 0))
             assert kept[k] or seen[o, b] + beside < index.least[o]
+
+
+def test_texts_go_to_the_n_grams_some_at_a_time(spark, docs, monkeypatch):
+    """Both where sets are signed and where they are cut in fragments."""
+
+    def small(real):
+        def made(*bounds):
+            run = real(*bounds)
+
+            def checked(batches):
+                def each():
+                    for batch in batches:
+                        if batch.num_rows > 500 or batch.num_rows > 20 and batch.nbytes > 12 << 20:
+                            raise ValueError(f"{batch.num_rows} rows, {batch.nbytes} bytes")
+                        yield batch
+
+                return run(each())
+
+            return checked
+
+        return made
+
+    rows = [(i, f"one two three four five six w{i // 2} seven eight nine") for i in range(2400)]
+    rows += [(i, f"w{i // 2} {i // 2} " + "long " * 100_000) for i in range(2400, 2440)]
+    table = docs(*rows).coalesce(1)
+    want = sorted(map(tuple, ngram_jaccard.near_duplicates(table).select("doc_id", "n_shingles", "component_id").collect()))
+    for name in ("_sign", "_fragments"):
+        monkeypatch.setattr(ngram_jaccard, name, small(getattr(ngram_jaccard, name)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted(map(tuple, ngram_jaccard.near_duplicates(table).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == want and all(c == i - i % 2 for i, _, c in got if i < 2400)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_worker_keeps_the_automaton_but_not_its_notes(monkeypatch):
+    """A worker lives on in the tasks of other operators; its notes of texts are bounded and go with the task."""
+    for name in ("KEPT_STRETCHES", "KEPT_WORDS", "KEPT_ARCS"):
+        assert getattr(bpe_automaton, name) <= 1 << 16
+    with open(queries.vocabulary_path(), encoding="utf-8") as file:
+        definition = file.read()
+
+    class Shared:
+        value = definition
+
+    texts = [f"some words of number{i} and qxzvwkj{chr(97 + i % 26)}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    made = bpe_automaton._run(Shared)(iter([batch, batch]))
+    first = next(made).to_pylist()
+    automaton = bpe_automaton.compiled(definition)
+    notes = (automaton.known, automaton.words, automaton.stretches)
+    assert all(notes) and next(made).to_pylist() == first
+    assert list(made) == [] and not any(len(x) + len(x.old) for x in notes)
+    assert bpe_automaton.compiled(definition) is automaton
+    assert next(bpe_automaton._run(Shared)(iter([batch]))).to_pylist() == first
