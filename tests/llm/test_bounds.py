@@ -183,3 +183,32 @@ def test_a_worker_keeps_the_automaton_but_not_its_notes(monkeypatch):
     assert list(made) == [] and not any(len(x) + len(x.old) for x in notes)
     assert bpe_automaton.compiled(definition) is automaton
     assert next(bpe_automaton._run(Shared)(iter([batch]))).to_pylist() == first
+
+
+def test_new_words_are_encoded_side_by_side(monkeypatch):
+    """Not one by one, but for a few; as the tokenizers library does it."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary_path(), encoding="utf-8") as file:
+        definition = file.read()
+    rng = random.Random(5)
+    parts = ["th", "er", "ing", "é", "ß", "qx", "9", "'ll", "-", "A", "ation", "zz", "ou", "s"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) + " " + " ".join("".join(rng.choices(parts, k=rng.randint(2, 14))) for _ in range(60)) for _ in range(200)]
+    texts += [None, "", " \t\n", "a" * 700, "日本語 <|endoftext|>x", "\n" + "ab" * 31 + " " + "ab" * 32 + " "]
+
+    class Shared:
+        value = definition
+
+    automaton, one_by_one, alone = bpe_automaton.compiled(definition), [], bpe_automaton.Automaton.encode_word
+    monkeypatch.setattr(bpe_automaton.Automaton, "encode_word", lambda self, word: one_by_one.append(word) or alone(self, word))
+    library = Tokenizer.from_str(definition)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for made in bpe_automaton._run(Shared)(iter([batch])):
+        for row in made.to_pylist():
+            ids = library.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
+            assert (row["n_tokens"], row["ids"], row["decoded"]) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+    assert len(one_by_one) < 500
+    words = ["".join(rng.choices(automaton.signs, k=rng.randint(1, 12))) for _ in range(500)]
+    assert automaton.abreast.both_ways(words) == [automaton._word(w) for w in words]
