@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import words as W
-from tallyhouse.llm.staging import ship
+from tallyhouse.llm.staging import ship, tidy
 
 #: Texts between white space, words and arcs that a task keeps at hand, in two generations.
 KEPT_STRETCHES, KEPT_WORDS, KEPT_ARCS = 1 << 16, 1 << 16, 1 << 16
 #: Bytes of text whose stretches are looked up together, about.
 CHUNK = 4 << 20
+#: Rows that go back together.
+GOES_BACK = 300
 #: Words that are encoded side by side: at most so many, at least so many, of so many signs at most.
 ABREAST, FEW_WORDS, LONG_WORD = 1 << 15, 64, 64
 
@@ -450,7 +452,9 @@ def _run(shared):
                 for chunk in W.chunks(batch.column(batch.schema.get_field_index("text")), CHUNK):
                     texts = pa.LargeStringArray.from_buffers(len(chunk.rows), pa.py_buffer(np.ascontiguousarray(chunk.offsets)), pa.py_buffer(chunk.data))
                     columns = automaton.all_both_ways(texts)
-                    yield pa.RecordBatch.from_arrays([ids.slice(chunk.rows.start, len(texts)), columns[0], columns[1].cast(pa.string()), columns[2].cast(pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                    made = pa.RecordBatch.from_arrays([ids.slice(chunk.rows.start, len(texts)), columns[0], columns[1].cast(pa.string()), columns[2].cast(pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                    # Ids are some times their text: they go back to the JVM some rows at a time.
+                    yield from (made.slice(first, GOES_BACK) for first in range(0, len(texts), GOES_BACK))
         finally:
             # The worker lives on, beside those of the operators to come.
             automaton.forget()
@@ -473,4 +477,4 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     with open(vocabulary, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_run(shared), "doc_id long, n_tokens long, ids string, decoded string")
+    return own.mapInArrow(tidy(_run(shared)), "doc_id long, n_tokens long, ids string, decoded string")

@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from tallyhouse.llm import words as W
 from tallyhouse.llm.components import components, forest
-from tallyhouse.llm.staging import BATCH, Stage
+from tallyhouse.llm.staging import BATCH, Stage, tidy
 from tallyhouse.session import conf
 
 FRAGMENT_BITS = 3
@@ -236,7 +236,7 @@ class _Join:
     def sign(self) -> None:
         shape = "doc_id long, text_hash long, n long, class long, check long, left_out long, head array<long>"
         with conf(self.docs.sparkSession, BATCH):
-            self.heads = self.stage.put(self.docs.mapInArrow(_sign(self.n_words, self.percent), shape))
+            self.heads = self.stage.put(self.docs.mapInArrow(tidy(_sign(self.n_words, self.percent)), shape))
         linked = self.heads.filter("n > 0 and doc_id is not null")
         self.classes = self.stage.put(linked.groupBy("n", "class", "check").agg(F.min("doc_id").alias("doc_id")))
 
@@ -258,7 +258,7 @@ class _Join:
         for table in hits:
             self.stage.drop(table)
         wanted = self.met.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
-        own = self.docs.join(wanted, "doc_id").mapInArrow(_fragments(self.n_words), "class long, part int, grams array<long>")
+        own = self.docs.join(wanted, "doc_id").mapInArrow(tidy(_fragments(self.n_words)), "class long, part int, grams array<long>")
         with conf(self.docs.sparkSession, BATCH):
             self.fragments = self.stage.put(own.groupBy("class", "part").agg(F.first("grams").alias("grams")))
 
@@ -335,7 +335,7 @@ class _Join:
         cells = cells.select("left", F.when(F.col("i") != F.col("j"), F.col("other")).alias("right"))
         # A row is two blocks: one at a time goes to a worker.
         with conf(met.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
-            found = self.stage.put(cells.mapInArrow(_cells(self.percent), "a long, b long"))
+            found = self.stage.put(cells.mapInArrow(tidy(_cells(self.percent)), "a long, b long"))
         for table in (crowd, placed, packed, held):
             self.stage.drop(table)
         return found

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import block_search, bpe_automaton, chat_format, decontaminate, embedding_dedup, license_scan, maxent_lm, ngram_jaccard, pii_crf, substring_dedup, token_alignment, toxicity, warc
+from tallyhouse.llm.staging import Stage
+from tallyhouse.session import conf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +52,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     made = bpe_automaton.encode_decode(docs, vocabulary_path())
-    return made.select("doc_id", "n_tokens", _sha256("ids").alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
+    digests = made.select("doc_id", "n_tokens", _sha256("ids").alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
+    # Staged, as the size of batches is that of the moment when a plan runs.
+    with conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
+        return Stage(docs.sparkSession, "bpe").put(digests)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyhouse.llm import words as W
-from tallyhouse.llm.staging import BATCH, Stage
+from tallyhouse.llm.staging import BATCH, Stage, tidy
 from tallyhouse.session import conf
 
 #: The sample: at most so many labelled rows, in hash order, and words of them.
@@ -178,7 +178,7 @@ def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, toxic, buckets) of ``ROWS`` labelled rows at most, in hash order, as one partition."""
     chosen = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").dropna(subset=["doc_id"]).join(F.broadcast(chosen), "doc_id")
-    made = rows.mapInArrow(_to_buckets, "place long, doc_id long, lang string, toxic int, buckets binary")
+    made = rows.mapInArrow(tidy(_to_buckets), "place long, doc_id long, lang string, toxic int, buckets binary")
     size = (F.octet_length("buckets") / (4 * (len(BEGINNINGS) + 1))).cast("long")
     # A single text beyond the bound is left out of the sample.
     return made.filter(size <= WORDS // 20).orderBy("place", F.xxhash64("buckets")).limit(ROWS).select("doc_id", "toxic", "buckets").coalesce(1)
@@ -205,7 +205,7 @@ def learnt(docs: DataFrame, known: DataFrame) -> tuple[Model, list[int]]:
     """The model and the documents that it has learnt from. Learnt in one task; the sample doesn't come to the driver."""
     # Some texts at a time go to the worker.
     with conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "200"}):
-        got = _sample(docs, known).mapInArrow(_learn, "learnt array<long>, parts array<binary>, shapes array<array<int>>").first()
+        got = _sample(docs, known).mapInArrow(tidy(_learn), "learnt array<long>, parts array<binary>, shapes array<array<int>>").first()
     if got is None:  # no row, no task
         return train([], np.zeros(0)), []
     embed, *filters, bias, out = (np.frombuffer(p, dtype=np.float32).reshape(s) for p, s in zip(got["parts"], got["shapes"], strict=True))
@@ -220,7 +220,7 @@ def histograms(docs: DataFrame, known: DataFrame, learnt: list[int], shared) ->
     """
     own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text", "lang")
     shape = StructType([own.schema["row"], own.schema["lang"], StructField("score", DoubleType())])
-    found = own.filter("row.doc_id is not null and lang is not null").mapInArrow(_run(shared, "score"), shape).select("row.doc_id", "lang", "score")
+    found = own.filter("row.doc_id is not null and lang is not null").mapInArrow(tidy(_run(shared, "score")), shape).select("row.doc_id", "lang", "score")
     seen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(learnt))], "doc_id long")
     rest = found.join(known.join(F.broadcast(seen), "doc_id", "left_anti"), "doc_id")
     logit = F.coalesce(F.log(F.col("score") / (1 - F.col("score"))), F.lit(40.0))
@@ -312,7 +312,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     shape = StructType([own.schema["row"], own.schema["lang"], StructField("toxicity", DoubleType())])
     # Staged, as the size of batches is that of the moment when a plan runs, and a caller's may run any time later.
     with conf(docs.sparkSession, BATCH):
-        found = Stage(docs.sparkSession, "toxicity").put(own.mapInArrow(_run(shared), shape))
+        found = Stage(docs.sparkSession, "toxicity").put(own.mapInArrow(tidy(_run(shared)), shape))
     # A few languages at most differ: Spark broadcasts them, if they are as few as that.
     limits = limits.select(F.col("lang").alias("own_lang"), "threshold")
     limit = F.coalesce("threshold", F.lit(THRESHOLD))

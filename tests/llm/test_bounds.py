@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe_automaton, decontaminate, ngram_jaccard, pii_crf, queries, toxicity
+from tallyhouse.llm import bpe_automaton, decontaminate, ngram_jaccard, pii_crf, queries, staging, toxicity
 from tallyhouse.llm import words as W
 
 
@@ -212,3 +212,21 @@ def test_new_words_are_encoded_side_by_side(monkeypatch):
     assert len(one_by_one) < 500
     words = ["".join(rng.choices(automaton.signs, k=rng.randint(1, 12))) for _ in range(500)]
     assert automaton.abreast.both_ways(words) == [automaton._word(w) for w in words]
+
+
+def test_a_worker_gives_freed_memory_back_and_sends_some_rows_at_a_time(monkeypatch):
+    given = []
+    monkeypatch.setattr(staging, "give_back", lambda: given.append(1))
+    run = staging.tidy(lambda batches: (b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2] and given == [1]
+    monkeypatch.undo()
+    staging.give_back()
+    with open(queries.vocabulary_path(), encoding="utf-8") as file:
+        definition = file.read()
+
+    class Shared:
+        value = definition
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["some words"] * 1000)], ["doc_id", "text"])
+    sizes = [made.num_rows for made in bpe_automaton._run(Shared)(iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 300
